@@ -129,14 +129,14 @@ SELECT o_orderkey AS campaign, o_custkey AS lead,
   ['won', 'qualified', 'engaged', 'contacted', 'lost'][CAST(o_orderpriority[1] AS INTEGER)] AS stage,
   CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders""",
     "v_shows": """
-SELECT n_nationkey AS show, 'Expo ' || n_name AS show_name, n_name AS country,
+SELECT n_nationkey AS show_id, 'Expo ' || n_name AS show_name, n_name AS country,
   DATE '2001-08-01' + CAST(n_nationkey * 15 - 30 AS INTEGER) AS start_on,
   ['Economy goods', 'Large goods', 'Medium goods', 'Promo goods', 'Small goods', 'Standard goods'][n_nationkey % 6 + 1] AS label1,
   ['Economy goods', 'Large goods', 'Medium goods', 'Promo goods', 'Small goods', 'Standard goods'][(n_nationkey * 3 + 1) % 6 + 1] AS label2
 FROM nation""",
-    "v_show_labels": "SELECT show, label1 AS label FROM v_shows UNION SELECT show, label2 FROM v_shows",
+    "v_show_labels": "SELECT show_id, label1 AS label FROM v_shows UNION SELECT show_id, label2 FROM v_shows",
     "v_exhibitors": """
-SELECT s_nationkey AS show, s_suppkey AS suppkey,
+SELECT s_nationkey AS show_id, s_suppkey AS suppkey,
   CASE WHEN s_suppkey % 3 = 0 THEN 'BRAND#' || CAST(s_suppkey % 40 + 1 AS VARCHAR) ELSE s_name END AS exhibitor FROM supplier""",
     "v_engagement": """
 SELECT event_id, ts, user_id AS lead, CASE event_type WHEN 'view' THEN 'opened' WHEN 'click' THEN 'clicked' WHEN 'error' THEN 'bounced'
@@ -145,6 +145,7 @@ SELECT event_id, ts, user_id AS lead, CASE event_type WHEN 'view' THEN 'opened'
     "v_flags": _values(dims.REGULATORY_FLAGS, "category, market, risk, kind, description"),
     "v_rules": _values(dims.TRIGGER_RULES, "rule, metric, threshold, action"),
     "v_show_keywords": _values([(c, k) for c, ws in dims.SHOW_KEYWORDS.items() for k in ws], "category, keyword"),
+    "v_synonyms": _values([(c, a) for c, ws in dims.CATEGORY_SYNONYMS.items() for a in ws], "category, alias"),
     "v_complexity": _values(list(dims.REGULATORY_COMPLEXITY.items()), "category, complexity"),
     "v_tier_bonus": _values(list(dims.TIER_BONUS.items()), "tier, bonus"),
     "v_tier_base": _values(list(dims.TIER_BASE.items()), "tier, base"),

@@ -10,7 +10,7 @@ from tradewind.plans.oracle_views import with_views
 from tradewind.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_ORACLE_BODIES: dict[str, str] = {}
 
 
 def query(name: str, oracle: str | None = None) -> Callable:
@@ -19,7 +19,12 @@ def query(name: str, oracle: str | None = None) -> Callable:
     def wrap(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if oracle is not None:
-            ORACLES[name] = with_views(oracle)
+            _ORACLE_BODIES[name] = oracle
         return fn
 
     return wrap
+
+
+def oracles() -> dict[str, str]:
+    """Oracle SQL by query name, each preceded by the views it names."""
+    return {name: with_views(body) for name, body in _ORACLE_BODIES.items()}

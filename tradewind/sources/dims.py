@@ -95,6 +95,16 @@ SHOW_KEYWORDS = {
     "STANDARD": ["standard", "classic"],
 }
 
+# Names a brand may use for a category, matched as text in either direction.
+CATEGORY_SYNONYMS = {
+    "ECONOMY": ["economy", "budget"],
+    "LARGE": ["large", "bulk"],
+    "MEDIUM": ["medium", "small to medium"],
+    "PROMO": ["promo", "large promotional"],
+    "SMALL": ["small", "compact"],
+    "STANDARD": ["standard", "classic"],
+}
+
 # Keywords of the product sub-categories and the group each belongs to.
 SUBCATEGORY_KEYWORDS = {
     "bolts_small": ["small", "bolt"],
@@ -192,6 +202,11 @@ def show_keywords(spark: SparkSession) -> DataFrame:
     return frame(spark, rows, "category string, keyword string")
 
 
+def category_synonyms(spark: SparkSession) -> DataFrame:
+    rows = [(c, a) for c, words in CATEGORY_SYNONYMS.items() for a in words]
+    return frame(spark, rows, "category string, alias string")
+
+
 def subcategory_keywords(spark: SparkSession) -> DataFrame:
     rows = [(label, SUBCATEGORY_GROUP[label], k) for label, words in SUBCATEGORY_KEYWORDS.items() for k in words]
     return frame(spark, rows, "label string, parent string, keyword string")

@@ -357,7 +357,7 @@ def shows(t: Tables) -> DataFrame:
     first, second = F.lit(len(words)), F.lit(len(words))
     labels = F.array(*[F.lit(f"{w.title()} goods") for w in words])
     return t.read("nation").select(
-        key.cast("int").alias("show"),
+        key.cast("int").alias("show_id"),
         F.concat(F.lit("Expo "), F.col("n_name")).alias("show_name"),
         F.col("n_name").alias("country"),
         F.date_add(F.lit(dims.AS_OF).cast("date"), key * 15 - 30).alias("start_on"),
@@ -371,7 +371,7 @@ def exhibitors(t: Tables) -> DataFrame:
     """Every supplier shows at its nation's fair; every third one under a brand name in capitals."""
     key = F.col("s_suppkey")
     return t.read("supplier").select(
-        F.col("s_nationkey").cast("int").alias("show"),
+        F.col("s_nationkey").cast("int").alias("show_id"),
         key.alias("suppkey"),
         F.when(key % 3 == 0, F.concat(F.lit("BRAND#"), (key % 40 + 1).cast("string")))
         .otherwise(F.col("s_name"))
