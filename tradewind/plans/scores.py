@@ -232,7 +232,7 @@ JOIN v_show_cat USING (show_id) LEFT JOIN (SELECT show_id, count(*) AS n FROM v_
 register("v_coverage", f"""
 SELECT country, category, n AS distributors, yoy_growth_pct, CASE WHEN n < 2 THEN 'sparse' WHEN n < 5 THEN 'moderate' ELSE 'dense' END AS density,
   {R("0.6 * least(greatest(coalesce(yoy_growth_pct, 0), 0) / 50.0, 1) + 0.4 * greatest(0, 1 - n / 10.0)")} AS brokered_score
-FROM (SELECT partner AS country, category, yoy_growth_pct, coalesce(n, 0) AS n FROM v_series_growth g LEFT JOIN (
+FROM (SELECT g.partner AS country, g.category, yoy_growth_pct, coalesce(n, 0) AS n FROM v_series_growth g LEFT JOIN (
   SELECT d.country, k.category, count(DISTINCT suppkey) AS n FROM v_distributors d JOIN v_dist_cat c USING (suppkey)
   JOIN v_show_keywords k ON contains(lower(c.category), k.keyword) GROUP BY 1, 2) x ON x.country = g.partner AND x.category = g.category WHERE flow = 'us_to_eu')""")
 register("v_correlation", """
