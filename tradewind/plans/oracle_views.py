@@ -118,7 +118,7 @@ FROM (SELECT brand, CAST(split_part(brand, '#', 2) AS INTEGER) AS num, sum(c) AS
   coalesce(sum(c) FILTER (WHERE partner_region = 'EUROPE'), 0) AS eu FROM v_brand_cells GROUP BY brand)""",
     "v_leads": """
 SELECT c_custkey AS lead, c_name AS company, n_name AS country, 'Brand#' || CAST(c_custkey % 25 + 1 AS VARCHAR) AS brand,
-  c_custkey % 3 <> 0 AS has_email, c_custkey % 4 <> 0 AS has_profile, c_custkey % 5 <> 0 AS has_site,
+  c_custkey % 10 <> 0 AS linked, c_custkey % 3 <> 0 AS has_email, c_custkey % 4 <> 0 AS has_profile, c_custkey % 5 <> 0 AS has_site,
   ['new', 'reviewed', 'approved', 'replied', 'qualified', 'lost'][c_custkey % 6 + 1] AS status,
   CASE WHEN c_custkey % 2 = 1 THEN DATE '2001-08-01' - CAST(c_custkey % 15 AS INTEGER) END AS exported_on
 FROM customer JOIN nation ON c_nationkey = n_nationkey""",

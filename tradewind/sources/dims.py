@@ -236,3 +236,21 @@ def taxonomy_keywords(spark: SparkSession) -> DataFrame:
 def label_aliases(spark: SparkSession) -> DataFrame:
     rows = [(c, a) for c, words in CATEGORY_ALIASES.items() for a in words]
     return frame(spark, rows, "category string, alias string")
+
+# Words in a distributor's description and the category they point to, tested in this order.
+DESCRIPTION_RULES = [
+    ("SMALL", ["small", "rod"]),
+    ("LARGE", ["large", "plate"]),
+    ("PROMO", ["new", "gizmo"]),
+    ("STANDARD", ["old", "anvil"]),
+    ("ECONOMY", ["red", "blue"]),
+]
+
+# Job titles that show a buying role.
+BUYER_ROLES = ["buyer", "purchasing", "procurement", "sourcing"]
+
+# Strength of each kind of buying evidence.
+INTENT_STRENGTH = {"category": 0.3, "description": 0.4, "show": 0.7, "job": 0.9}
+
+# Words in booth information that mark a distributor.
+DISTRIBUTOR_WORDS = ["distribut", "wholesale", "import"]

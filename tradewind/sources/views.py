@@ -327,6 +327,7 @@ def leads(t: Tables) -> DataFrame:
         F.col("c_name").alias("company"),
         F.col("cust_nation").alias("country"),
         F.concat(F.lit("Brand#"), (key % 25 + 1).cast("string")).alias("brand"),
+        (key % 10 != 0).alias("linked"),
         (key % 3 != 0).alias("has_email"),
         (key % 4 != 0).alias("has_profile"),
         (key % 5 != 0).alias("has_site"),
