@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from tradewind.functions import text
@@ -15,6 +14,7 @@ from tradewind.plans.oracle_views import register
 from tradewind.plans.registry import query
 from tradewind.plans.scores import Inputs, R
 from tradewind.sources import dims, views
+from tradewind.sources.stages import stage
 from tradewind.sources.tables import Tables, list_scan, optional
 
 
@@ -110,39 +110,7 @@ SELECT brand, category, composite_score, country, rank FROM (SELECT *, CAST(row_
 
 
 class LeadInputs(Inputs):
-    """Corridor inputs plus the brand, distributor and profile tables the lead stages share.
-
-    Small shared results (bounded by brands, markets and categories) are kept; lead rows are not.
-    """
-
-    def _keep(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-    @cached_property
-    def cells(self) -> DataFrame:
-        return self._keep(views.brand_cells(self.t))
-
-    @cached_property
-    def dims_by_corridor(self) -> DataFrame:
-        return self._keep(self.dimensions())
-
-    @cached_property
-    def gap(self) -> DataFrame:
-        return self._keep(self.gaps())
-
-    @cached_property
-    def corridor_scores(self) -> DataFrame:
-        margin = scores.margin_potential(self.annual)
-        return self._keep(scores.composite(self.active, self.gap, margin, self.dims_by_corridor, self.entry_confidence()))
-
-    @cached_property
-    def brand_categories(self) -> DataFrame:
-        return views.brand_categories(self.cells)
-
-    @cached_property
-    def brand_fit(self) -> DataFrame:
-        matches = scores.category_match(self.brand_categories, dims.category_synonyms(self.t.spark))
-        return self._keep(scores.brand_fit(views.brands(self.cells), matches, self.corridor_scores, self.dims_by_corridor))
+    """Corridor inputs plus the distributor and profile tables the lead stages share. Lead rows are never staged."""
 
     @cached_property
     def all_scores(self) -> DataFrame:
@@ -154,9 +122,9 @@ class LeadInputs(Inputs):
 
     @cached_property
     def intent(self) -> DataFrame:
-        return dist.buying_intent(
-            self.distributors, self.dist_categories, views.exhibitors(self.t), self.show_categories, dist.audit_rows(self.distributors)
-        )
+        audits = dist.audit_rows(self.distributors)
+        rows = dist.buying_intent(self.distributors, self.dist_categories, views.exhibitors(self.t), self.show_categories, audits)
+        return stage(rows, "buying_intent")
 
     @cached_property
     def distributor_scores(self) -> DataFrame:
@@ -173,7 +141,8 @@ class LeadInputs(Inputs):
 
     @cached_property
     def matches(self) -> DataFrame:
-        return self._keep(dist.match(self.profiles, self.distributors, self.dist_categories, self.intent, self.distributor_scores))
+        rows = dist.match(self.profiles, self.distributors, self.dist_categories, self.intent, self.distributor_scores)
+        return stage(rows, "lead_matches")
 
     @cached_property
     def risks(self) -> DataFrame:
@@ -186,7 +155,7 @@ class LeadInputs(Inputs):
 
     @cached_property
     def pitched(self) -> DataFrame:
-        strength = self.routing_signals().groupBy("country", "category").agg(F.avg("strength").alias("mean_strength"))
+        strength = self.routing_signals.groupBy("country", "category").agg(F.avg("strength").alias("mean_strength"))
         return leads.pitch_angle(self.quality, strength)
 
     def day_pairs(self) -> DataFrame:

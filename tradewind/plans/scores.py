@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, functions as F
 
 from tradewind.functions.numeric import half_up
@@ -9,6 +11,7 @@ from tradewind.operators import retail, routing, scores, trade
 from tradewind.plans.oracle_views import register
 from tradewind.plans.registry import query
 from tradewind.sources import dims, views
+from tradewind.sources.stages import stage
 from tradewind.sources.tables import Tables
 
 R = lambda x, p=2: f"floor(({x}) * {10**p} + 0.5) / {10**p}.0"
@@ -64,42 +67,75 @@ register("v_active", "SELECT * FROM v_trends WHERE last_ym >= 200105", True)
 
 
 class Inputs:
-    """The corridor-level inputs several queries share, derived from one kept rollup."""
+    """The inputs several corridor queries share; each is staged on first use."""
 
     def __init__(self, t: Tables) -> None:
         self.t = t
-        self.cube = views.corridor_cube(t, reuse=True)
-        self.annual = views.annual(self.cube)
-        self.yoy = trade.yoy(self.annual)
-        self.trends = views.trends(self.cube)
-        self.active = scores.active_trends(self.trends)
-        self.distributors = views.distributors(t)
-        self.dist_categories = views.distributor_categories(t)
 
+    @cached_property
+    def cube(self) -> DataFrame:
+        return views.corridor_cube(self.t, reuse=True)
+
+    @cached_property
+    def annual(self) -> DataFrame:
+        return views.annual(self.cube)
+
+    @cached_property
+    def yoy(self) -> DataFrame:
+        return trade.yoy(self.annual)
+
+    @cached_property
+    def trends(self) -> DataFrame:
+        return stage(views.trends(self.cube), "trends")
+
+    @cached_property
+    def active(self) -> DataFrame:
+        return scores.active_trends(self.trends)
+
+    @cached_property
+    def distributors(self) -> DataFrame:
+        return views.distributors(self.t)
+
+    @cached_property
+    def dist_categories(self) -> DataFrame:
+        return stage(views.distributor_categories(self.t), "distributor_categories")
+
+    @cached_property
     def routing_signals(self) -> DataFrame:
-        return routing.all_signals(self.annual, self.yoy, routing.importer_counts(self.distributors, self.dist_categories))
+        importers = routing.importer_counts(self.distributors, self.dist_categories)
+        return stage(routing.all_signals(self.annual, self.yoy, importers), "routing_signals")
 
+    @cached_property
     def dimensions(self) -> DataFrame:
-        return routing.corridor_dimensions(self.routing_signals(), self.active.select("category", "country")).drop("n_dims")
+        return routing.corridor_dimensions(self.routing_signals, self.active.select("category", "country")).drop("n_dims")
 
-    def gaps(self) -> DataFrame:
+    @cached_property
+    def gap(self) -> DataFrame:
         density = scores.brand_density(self.distributors, self.dist_categories, views.distributor_brands(self.t))
         reliance = scores.import_reliance(self.active.select("country", "category"), views.share(self.cube))
-        return scores.gap_scores(self.active, views.corridor_strength(self.cube), density, reliance)
+        return stage(scores.gap_scores(self.active, views.corridor_strength(self.cube), density, reliance), "gap_scores")
 
     def entry_confidence(self) -> DataFrame:
         events = retail.foreign_events(views.activity(self.t, 30), us_brands(self.t))
         return retail.foreign_entry(events).select("country", "category", F.col("confidence").alias("entry_confidence"))
 
-    def composite(self) -> DataFrame:
-        return scores.composite(
-            self.active, self.gaps(), scores.margin_potential(self.annual), self.dimensions(), self.entry_confidence()
-        )
+    @cached_property
+    def corridor_scores(self) -> DataFrame:
+        margin = scores.margin_potential(self.annual)
+        return stage(scores.composite(self.active, self.gap, margin, self.dimensions, self.entry_confidence()), "corridor_scores")
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        return stage(views.brand_cells(self.t), "brand_cells")
 
-    def brand_scores(self, corridors: DataFrame) -> DataFrame:
-        cells = views.brand_cells(self.t)
-        matches = scores.category_match(views.brand_categories(cells), dims.category_synonyms(self.t.spark))
-        return scores.brand_fit(views.brands(cells), matches, corridors, self.dimensions())
+    @cached_property
+    def brand_categories(self) -> DataFrame:
+        return views.brand_categories(self.cells)
+
+    @cached_property
+    def brand_fit(self) -> DataFrame:
+        matches = scores.category_match(self.brand_categories, dims.category_synonyms(self.t.spark))
+        return stage(scores.brand_fit(views.brands(self.cells), matches, self.corridor_scores, self.dimensions), "brand_fit")
 
 
 def us_brands(t: Tables) -> DataFrame:
@@ -130,7 +166,7 @@ def distributor_gap(t: Tables) -> DataFrame:
 
 @query("routing_signals", "SELECT * FROM v_routing")
 def routing_signals(t: Tables) -> DataFrame:
-    return Inputs(t).routing_signals()
+    return Inputs(t).routing_signals
 
 
 @query("suitability", f"""
@@ -142,7 +178,7 @@ FROM (SELECT d.*, CAST(1 - coalesce(complexity, 0.5) AS DOUBLE) AS reg FROM v_su
 def suitability(t: Tables) -> DataFrame:
     x = Inputs(t)
     corridors = x.annual.filter("flow = 'us_to_eu'").select("category", F.col("partner").alias("country")).distinct()
-    return routing.suitability(x.routing_signals(), corridors)
+    return routing.suitability(x.routing_signals, corridors)
 
 
 # ---- retail -------------------------------------------------------------------------------------
@@ -341,17 +377,17 @@ def import_reliance(t: Tables) -> DataFrame:
 
 @query("gap_scores", "SELECT * FROM v_gap")
 def gap_scores(t: Tables) -> DataFrame:
-    return Inputs(t).gaps()
+    return Inputs(t).gap
 
 
 @query("top_gaps", "SELECT country, category, gap_score FROM v_gap ORDER BY gap_score DESC, country, category LIMIT 20")
 def top_gaps(t: Tables) -> DataFrame:
-    return trade.top_rows(Inputs(t).gaps().select("country", "category", "gap_score"), "gap_score", ["country", "category"], 20)
+    return trade.top_rows(Inputs(t).gap.select("country", "category", "gap_score"), "gap_score", ["country", "category"], 20)
 
 
 @query("composite_scores", "SELECT * FROM v_scores")
 def composite_scores(t: Tables) -> DataFrame:
-    return Inputs(t).composite()
+    return Inputs(t).corridor_scores
 
 
 @query("score_summary", f"""
@@ -359,7 +395,7 @@ SELECT count(*) AS corridors, count(*) FILTER (WHERE composite_score >= 80) AS a
  {R("avg(CAST(round(composite_score * 100) AS BIGINT)) / 100.0")} AS mean_score FROM v_scores""")
 def score_summary(t: Tables) -> DataFrame:
     s = F.col("composite_score")
-    return Inputs(t).composite().agg(
+    return Inputs(t).corridor_scores.agg(
         F.count("*").alias("corridors"),
         F.count_if(s >= 80).alias("above_80"),
         F.count_if(s >= 70).alias("above_70"),
@@ -369,5 +405,4 @@ def score_summary(t: Tables) -> DataFrame:
 
 @query("brand_fit", "SELECT * FROM v_brand_scores")
 def brand_fit(t: Tables) -> DataFrame:
-    x = Inputs(t)
-    return x.brand_scores(x.composite())
+    return Inputs(t).brand_fit

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from tradewind.functions.numeric import fisher_p, half_up, student_t_two_sided
@@ -10,6 +9,7 @@ from tradewind.operators import series
 from tradewind.plans.oracle_views import TIER_SQL, register
 from tradewind.plans.registry import query
 from tradewind.sources import dims, views
+from tradewind.sources.stages import stage
 from tradewind.sources.tables import Tables
 
 K = "country, category"
@@ -143,9 +143,9 @@ def rounded_sql(view: str, columns: list[str]) -> str:
 
 
 def clean(t: Tables, keep: bool = False) -> DataFrame:
-    """Cleaned daily series; kept when several detectors read it (bounded: a year of days per series)."""
+    """Cleaned daily series; staged when several detectors read it (bounded: a year of days per series)."""
     out = series.clean_series(views.signals(t))
-    return out.persist(StorageLevel.MEMORY_AND_DISK) if keep else out
+    return stage(out, "clean_series") if keep else out
 
 
 def recorded(t: Tables) -> DataFrame:

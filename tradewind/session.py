@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -26,9 +25,3 @@ def build_session(master: str | None = None, app: str = "tradewind", shuffle_par
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names, or a temporary one in local tests."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured if configured else tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -185,8 +185,18 @@ CATEGORY_CODE = {
 
 
 def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A literal dimension. Fixed in code, so its size is known when it is joined as a broadcast."""
-    return spark.createDataFrame(rows, schema)
+    """A literal dimension as a local relation: its size is fixed in code and known to the planner."""
+
+    def literal(value: object) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, str):
+            return "'" + value.replace("'", "\\'") + "'"
+        return f"{value}D" if isinstance(value, float) else str(value)
+
+    names = ", ".join(part.split()[0] for part in schema.split(", "))
+    body = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS d({names})")
 
 
 def regulatory_flags(spark: SparkSession) -> DataFrame:

@@ -6,17 +6,24 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
+
+
+_SCHEMAS: dict[str, StructType] = {}
 
 
 @dataclass(frozen=True)
 class Tables:
-    """Lazy access to one directory of Parquet tables."""
+    """Lazy access to one directory of Parquet tables. A table's footer is read once per process."""
 
     spark: SparkSession
     path: str
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        file = f"{self.path}/{name}.parquet"
+        if file not in _SCHEMAS:
+            _SCHEMAS[file] = self.spark.read.parquet(file).schema
+        return self.spark.read.schema(_SCHEMAS[file]).parquet(file)
 
 
 def list_scan(

@@ -7,11 +7,11 @@ Raw rows are read once per view and reduced map-side; what leaves a view is boun
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tradewind.functions.numeric import cents, half_up, money, ratio
 from tradewind.sources import dims
+from tradewind.sources.stages import stage
 from tradewind.sources.tables import Tables
 
 
@@ -86,8 +86,8 @@ def lines(t: Tables) -> DataFrame:
 def corridor_cube(t: Tables, reuse: bool = False) -> DataFrame:
     """(seller region, buyer nation, product type, month) totals: the rollup most views start from.
 
-    At most regions x nations x types x months rows. ``reuse`` keeps it for plans that read it
-    several times; blocks lost with an executor are recomputed from the tables.
+    At most regions x nations x types x months rows. ``reuse`` stages it for plans that read it
+    several times.
     """
     cube = (
         lines(t)
@@ -100,7 +100,7 @@ def corridor_cube(t: Tables, reuse: bool = False) -> DataFrame:
         )
         .agg(F.sum("cents").alias("cents"), F.sum("qty").alias("qty"), F.count("*").alias("n"))
     )
-    return cube.persist(StorageLevel.MEMORY_AND_DISK) if reuse else cube
+    return stage(cube, "corridor_cube") if reuse else cube
 
 
 def annual(cube: DataFrame) -> DataFrame:
