@@ -79,24 +79,22 @@ def taxonomy(text: Column) -> Column:
     return F.when(best["score"] > 0, best)
 
 
-def segment(signals: Column) -> Column:
-    """Segment with the highest keyword weight over an array of signal texts, at least 5, else other."""
-    rows = [(name, -i, [k for k, _ in words], [w for _, w in words]) for i, (name, words) in enumerate(dims.SEGMENT_KEYWORDS.items())]
+def segment_weights(text: Column) -> dict[str, Column]:
+    """Keyword weight of one signal text for each segment; sum them over the signals of an entity."""
+    lower = F.lower(F.trim(text))
+    out = {}
+    for name, words in dims.SEGMENT_KEYWORDS.items():
+        total = F.lit(0)
+        for word, weight in words:
+            total = total + F.when(lower.contains(word), weight).otherwise(0)
+        out[name] = total
+    return out
 
-    def weight(text: Column, r: Column) -> Column:
-        pairs = F.arrays_zip(r["words"].alias("k"), r["weights"].alias("w"))
-        return F.aggregate(pairs, F.lit(0), lambda a, p: a + F.when(text.contains(p["k"]), p["w"]).otherwise(0))
 
-    scored = F.transform(
-        _literal(rows, ["segment", "rank", "words", "weights"]),
-        lambda r: F.struct(
-            F.aggregate(signals, F.lit(0), lambda a, s: a + weight(F.lower(F.trim(s)), r)).alias("score"),
-            r["rank"].alias("rank"),
-            r["segment"].alias("segment"),
-        ),
-    )
-    best = F.array_max(scored)
-    return F.when(best["score"] >= dims.SEGMENT_FLOOR, best["segment"]).otherwise("other")
+def best_segment(scores: dict[str, Column]) -> Column:
+    """Segment with the highest total, at least 5, else other; the first listed on ties."""
+    best = F.array_max(F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("rank"), F.lit(n).alias("name")) for i, (n, s) in enumerate(scores.items())]))
+    return F.when(best["score"] >= dims.SEGMENT_FLOOR, best["name"]).otherwise("other")
 
 
 def sentiment(text: Column) -> Column:
@@ -159,8 +157,10 @@ def price_range(text: Column) -> Column:
 
 
 def string_leaves(json: Column) -> Column:
-    """All string values of a JSON document as one text: a string not followed by a colon is a value."""
-    return F.array_join(F.regexp_extract_all(json, F.lit(r'"((?:[^"\\]|\\.)*)"(?!\s*:)'), 1), " ")
+    """All string values of a JSON document as one text; a string followed by a colon is a key."""
+    pattern = F.lit(r'"((?:[^"\\]|\\.)*)"(\s*:)?')
+    pairs = F.arrays_zip(F.regexp_extract_all(json, pattern, 1).alias("text"), F.regexp_extract_all(json, pattern, 2).alias("colon"))
+    return F.array_join(F.transform(F.filter(pairs, lambda p: p["colon"] == ""), lambda p: p["text"]), " ")
 
 
 def confidence(score: Column, brand: Column, descriptor: Column, groups: Column) -> Column:
