@@ -141,8 +141,8 @@ def sku(text: Column) -> Column:
     return F.coalesce(*[F.concat(F.lit(f"{label}:"), m) for (label, _), m in zip(SKU_PATTERNS, found)])
 
 
-def demographics(text: Column) -> Column:
-    lower = F.lower(text)
+def demographics(lower: Column) -> Column:
+    """Audience groups of a text already in lower case."""
     return F.filter(F.array(*[F.when(contains_any(lower, words), name) for name, words in DEMOGRAPHICS.items()]), lambda g: g.isNotNull())
 
 
@@ -218,8 +218,9 @@ def clean_category(text: Column) -> Column:
     return F.when((F.length(merged) > 2) & (F.length(merged) < 50), merged)
 
 
-def words_over_two(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[\s,/]+"), lambda w: F.length(w) > 2)
+def words_over_two(lower: Column) -> Column:
+    """Words of more than two letters of a text already in lower case."""
+    return F.filter(F.split(lower, r"[\s,/]+"), lambda w: F.length(w) > 2)
 
 
 # ---- URLs ---------------------------------------------------------------------------------------

@@ -252,7 +252,9 @@ def upsert_latest(t: Tables) -> DataFrame:
     return merge.upsert(*_rows(t), CORRIDOR_KEYS)
 
 
-@query("insert_absent", "SELECT * FROM (SELECT * FROM v_old_rows WHERE category <> 'SMALL') o UNION ALL SELECT * FROM v_new_rows n WHERE category = 'SMALL'")
+@query("insert_absent", """
+SELECT * FROM v_old_rows WHERE category <> 'SMALL' UNION ALL SELECT * FROM v_new_rows n
+WHERE NOT EXISTS (SELECT 1 FROM v_old_rows o WHERE o.category <> 'SMALL' AND o.country = n.country AND o.category = n.category)""")
 def insert_absent(t: Tables) -> DataFrame:
     old, new = _rows(t)
     return merge.insert_absent(old.filter("category <> 'SMALL'"), new, CORRIDOR_KEYS)

@@ -166,9 +166,13 @@ class LeadInputs(Inputs):
         return leads.fire_rules(self.all_scores, dims.trigger_rules(self.t.spark))
 
 
+# Independent inputs of the score chain, staged side by side.
+SCORING = ("cube", "dist_categories", "cells")
+
+
 @query("distributor_score", "SELECT * FROM v_dist_score")
 def distributor_score(t: Tables) -> DataFrame:
-    return LeadInputs(t).distributor_scores
+    return LeadInputs(t, *SCORING).distributor_scores
 
 
 @query("buyer_intent", "SELECT * FROM v_intent")
@@ -178,14 +182,14 @@ def buyer_intent(t: Tables) -> DataFrame:
 
 @query("lead_match", "SELECT * FROM v_match")
 def lead_match(t: Tables) -> DataFrame:
-    return LeadInputs(t).matches
+    return LeadInputs(t, *SCORING).matches
 
 
 @query("lead_match_count", """
 SELECT l.lead, l.country, profile, coalesce(matches, 0) AS matches, best_match FROM v_lead_prof l LEFT JOIN v_match_counts USING (country, profile)
 WHERE status IN ('new', 'reviewed', 'approved')""")
 def lead_match_count(t: Tables) -> DataFrame:
-    x = LeadInputs(t)
+    x = LeadInputs(t, *SCORING)
     rows = x.leads.filter(F.col("status").isin("new", "reviewed", "approved"))
     counts = dist.match_counts(x.matches)
     return rows.join(counts, dist.PROFILE, "left").select(
@@ -197,7 +201,7 @@ def lead_match_count(t: Tables) -> DataFrame:
 SELECT m.country, m.profile, m.suppkey, m.match_score, d.region, coalesce(n, 0) AS leads FROM v_match m JOIN v_distributors d USING (suppkey)
 LEFT JOIN (SELECT country, profile, count(*) AS n FROM v_lead_prof WHERE status = 'qualified' GROUP BY 1, 2) l ON l.country = m.country AND l.profile = m.profile""")
 def match_list(t: Tables) -> DataFrame:
-    x = LeadInputs(t)
+    x = LeadInputs(t, *SCORING)
     waiting = x.leads.filter("status = 'qualified'").groupBy(*dist.PROFILE).agg(F.count("*").alias("n"))
     return (
         x.matches.join(x.distributors.select("suppkey", "region"), "suppkey")
@@ -210,7 +214,7 @@ def match_list(t: Tables) -> DataFrame:
 SELECT l.lead, m.rank, m.suppkey, m.name, m.match_score, i.strength AS best_strength FROM v_lead_prof l JOIN v_match_top m USING (country, profile)
 LEFT JOIN (SELECT suppkey, max(strength) AS strength FROM v_intent GROUP BY 1) i ON i.suppkey = m.suppkey WHERE l.status = 'approved'""")
 def match_top5(t: Tables) -> DataFrame:
-    x = LeadInputs(t)
+    x = LeadInputs(t, *SCORING)
     best = x.intent.groupBy("suppkey").agg(F.max("strength").alias("best_strength"))
     top = dist.match_top(x.matches).join(best, "suppkey", "left")
     return x.leads.filter("status = 'approved'").join(top, dist.PROFILE).select("lead", "rank", "suppkey", "name", "match_score", "best_strength")
@@ -254,7 +258,7 @@ def part_labels(t: Tables) -> DataFrame:
 
 @query("proximity", "SELECT * FROM v_proximity")
 def proximity(t: Tables) -> DataFrame:
-    x = LeadInputs(t)
+    x = LeadInputs(t, *SCORING)
     labelled = t.read("part").join(part_labels(t), "p_name")
     pairs = t.read("lineitem").select(F.col("l_suppkey").alias("suppkey"), F.col("l_partkey").alias("p_partkey")).distinct()
     portfolio = pairs.join(labelled, "p_partkey").groupBy("suppkey", "label", "parent").agg(F.count("*").alias("n"))
@@ -266,12 +270,12 @@ def proximity(t: Tables) -> DataFrame:
 
 @query("lead_quality", "SELECT * EXCLUDE (exported_on) FROM v_quality")
 def lead_quality(t: Tables) -> DataFrame:
-    return LeadInputs(t).quality.drop("exported_on")
+    return LeadInputs(t, *SCORING).quality.drop("exported_on")
 
 
 @query("pitch_angle", "SELECT lead, quality, best_country, best_category, angle, hook FROM v_pitch")
 def pitch_angle(t: Tables) -> DataFrame:
-    return LeadInputs(t).pitched.select("lead", "quality", "best_country", "best_category", "angle", "hook")
+    return LeadInputs(t, *SCORING).pitched.select("lead", "quality", "best_country", "best_category", "angle", "hook")
 
 
 @query("outreach_pick", """
@@ -279,12 +283,12 @@ SELECT lead, company, quality, angle, rank, CAST(ceil(quality / 34.0) AS INTEGER
  WHERE status = 'approved' AND quality >= 60 AND has_email) LEFT JOIN v_last_campaign USING (lead)
 WHERE rank <= 50 - (SELECT count(*) FROM v_campaigns WHERE status = 'sent' AND created_on >= DATE '2001-08-01') AND (last IS NULL OR last.created_on <= DATE '2001-07-29')""")
 def outreach_pick(t: Tables) -> DataFrame:
-    return leads.outreach_pick(LeadInputs(t).pitched, views.campaigns(t), min_quality=60.0)
+    return leads.outreach_pick(LeadInputs(t, *SCORING).pitched, views.campaigns(t), min_quality=60.0)
 
 
 @query("crm_export", "SELECT * FROM v_export")
 def crm_export(t: Tables) -> DataFrame:
-    return leads.crm_selection(LeadInputs(t).quality, views.campaigns(t))
+    return leads.crm_selection(LeadInputs(t, *SCORING).quality, views.campaigns(t))
 
 
 @query("stage_rollup", """
@@ -297,7 +301,7 @@ def stage_rollup(t: Tables) -> DataFrame:
 
 @query("rules_fire", "SELECT rule, action, brand, country, category, metric_value, CAST(rank AS INTEGER) AS rank FROM v_fired")
 def rules_fire(t: Tables) -> DataFrame:
-    return LeadInputs(t).fired().select("rule", "action", "brand", "country", "category", "metric_value", "rank")
+    return LeadInputs(t, *SCORING).fired().select("rule", "action", "brand", "country", "category", "metric_value", "rank")
 
 
 @query("rule_alerts", """
@@ -305,7 +309,7 @@ SELECT title, rule, metric_value, composite_score FROM (SELECT *, row_number() O
  SELECT *, 'High-score alert: ' || category || ' x ' || country AS title FROM v_fired WHERE action = 'alert_insight'))
 WHERE rn = 1 AND title NOT IN (SELECT 'High-score alert: ' || category || ' x ' || country FROM v_day_pairs)""")
 def rule_alerts(t: Tables) -> DataFrame:
-    x = LeadInputs(t)
+    x = LeadInputs(t, *SCORING)
     recent = x.day_pairs().select(leads.alert_title("High-score alert").alias("title"))
     return leads.alerts(x.fired(), recent)
 
@@ -313,7 +317,7 @@ def rule_alerts(t: Tables) -> DataFrame:
 @query("rule_approvals", """
 SELECT lead, brand, CASE WHEN linked AND status IN ('new', 'reviewed') AND brand IN (SELECT brand FROM v_fired WHERE action = 'approve_lead' AND brand IS NOT NULL) THEN 'approved' ELSE status END AS status FROM v_leads""")
 def rule_approvals(t: Tables) -> DataFrame:
-    return leads.approvals(LeadInputs(t).fired(), views.leads(t)).select("lead", "brand", "status")
+    return leads.approvals(LeadInputs(t, *SCORING).fired(), views.leads(t)).select("lead", "brand", "status")
 
 
 @query("insights_pick", """
@@ -322,20 +326,20 @@ SELECT * FROM (SELECT 'alert' AS kind, 'Opportunity alert: ' || category || ' x
  UNION ALL SELECT * FROM (SELECT 'brief', 'Market brief: ' || category || ' in ' || country, composite_score FROM v_scores ORDER BY composite_score DESC, country, category LIMIT 10))
 WHERE title NOT IN (SELECT 'Opportunity alert: ' || category || ' x ' || country FROM v_day_pairs)""")
 def insights_pick(t: Tables) -> DataFrame:
-    x = LeadInputs(t)
+    x = LeadInputs(t, *SCORING)
     recent = x.day_pairs().select(leads.alert_title("Opportunity alert").alias("title"))
     return leads.insight_pick(x.all_scores, recent, threshold=50.0)
 
 
 @query("top_brands", "SELECT * FROM v_top_brands")
 def top_brands(t: Tables) -> DataFrame:
-    return leads.top_brands(LeadInputs(t).brand_fit)
+    return leads.top_brands(LeadInputs(t, *SCORING).brand_fit)
 
 
 @query("scored_brands", """
 SELECT brand, b.revenue AS revenue, s.country, s.category, s.composite_score FROM (SELECT brand, round(revenue, 2) AS revenue FROM v_brands) b JOIN v_brand_scores s USING (brand) WHERE s.composite_score >= 60""")
 def scored_brands(t: Tables) -> DataFrame:
-    x = LeadInputs(t)
+    x = LeadInputs(t, *SCORING)
     b, s = views.brands(x.cells).select("brand", F.round("revenue", 2).alias("revenue")), x.brand_fit
     return b.join(s, (b.brand == s.brand) & (s.composite_score >= 60)).select(b.brand, "revenue", "country", "category", "composite_score")
 
@@ -349,12 +353,12 @@ def brand_scores_list(t: Tables) -> DataFrame:
         "category": optional("category", "=", None),
     }
     order = [F.desc_nulls_first("composite_score"), F.asc("brand"), F.asc("category")]
-    return list_scan(LeadInputs(t).all_scores, filters, order, 50).select("brand", "country", "category", "composite_score")
+    return list_scan(LeadInputs(t, *SCORING).all_scores, filters, order, 50).select("brand", "country", "category", "composite_score")
 
 
 @query("exhibitor_match", "SELECT * FROM v_exhibitor_match")
 def exhibitor_match(t: Tables) -> DataFrame:
-    x = LeadInputs(t)
+    x = LeadInputs(t, *SCORING)
     return leads.exhibitor_match(views.exhibitors(t), views.brands(x.cells), x.brand_fit, x.show_categories)
 
 
@@ -389,25 +393,35 @@ LEFT JOIN (SELECT show_id, count(*) AS exhibitors, count(brand) AS matched FROM
 LEFT JOIN (SELECT show_id, string_agg(DISTINCT brand, ',' ORDER BY brand) AS pipeline_brands FROM v_show_cat k JOIN v_top_brands b ON b.category = k.category GROUP BY 1) p USING (show_id)
 WHERE s.start_on >= DATE '2001-08-01'""")
 def playbook(t: Tables) -> DataFrame:
-    x = LeadInputs(t)
+    x = LeadInputs(t, *SCORING)
     matched = leads.exhibitor_match(views.exhibitors(t), views.brands(x.cells), x.brand_fit, x.show_categories)
     cover = dist.coverage(x.dist_categories, x.distributors, x.active.select("country", "category"))
     return leads.playbook(views.shows(t), x.show_categories, matched, x.corridor_scores, cover, leads.top_brands(x.brand_fit))
 
 
-@query("weekly_report", """
+@query("weekly_report", f"""
 SELECT * FROM (SELECT 'top_corridor' AS section, CAST(row_number() OVER (ORDER BY composite_score DESC, country, category) AS INTEGER) AS position,
-  category || ' x ' || country || ': composite ' || printf('%.1f', composite_score) AS line FROM v_scores) WHERE position <= 5
-UNION ALL SELECT * FROM (SELECT 'breakthrough', CAST(row_number() OVER (ORDER BY growth DESC, country, category) AS INTEGER) AS position, category || ' x ' || country || ' (+' || printf('%.1f', growth * 100) || '%)' FROM v_active WHERE tier = 'breakthrough') WHERE position <= 5
+  category || ' x ' || country || ': composite ' || printf('%.1f', {R("composite_score", 1)}) AS line FROM v_scores) WHERE position <= 5
+UNION ALL SELECT * FROM (SELECT 'breakthrough', CAST(row_number() OVER (ORDER BY growth DESC, country, category) AS INTEGER) AS position, category || ' x ' || country || ' (+' || printf('%.1f', {R("growth * 100", 1)}) || '%)' FROM v_active WHERE tier = 'breakthrough') WHERE position <= 5
 UNION ALL SELECT 'leads', 1, 'Total leads: ' || count(*) FROM v_leads UNION ALL SELECT 'qualified', 1, 'Qualified leads: ' || count(*) FROM v_leads WHERE status = 'qualified'
 UNION ALL SELECT 'title', 1, 'Weekly digest: week ' || weekofyear(DATE '2001-08-01') || ', 2001'""")
 def weekly_report(t: Tables) -> DataFrame:
-    x = LeadInputs(t)
+    x = LeadInputs(t, *SCORING)
 
 
     return reports.weekly(x.corridor_scores, x.active, views.leads(t))
 
 
+@query("monthly_report", f"""
+SELECT * FROM (SELECT 'top_corridor' AS section, CAST(row_number() OVER (ORDER BY composite_score DESC, country, category) AS INTEGER) AS position,
+  category || ' x ' || country || ': composite ' || printf('%.1f', {R("composite_score", 1)}) || ' (category ' || printf('%.1f', {R("category_score", 1)}) || ', routing ' || printf('%.1f', {R("ni_score", 1)}) || ')' AS line FROM v_scores) WHERE position <= 10
+UNION ALL SELECT 'leads', 1, 'Total leads: ' || count(*) FROM v_leads UNION ALL SELECT 'qualified', 1, 'Qualified leads: ' || count(*) FROM v_leads WHERE status = 'qualified'
+UNION ALL SELECT 'trends', 1, 'Trends detected: ' || count(*) FROM v_active UNION ALL SELECT 'title', 1, 'Monthly market brief: August 2001'""")
+def monthly_report(t: Tables) -> DataFrame:
+    x = LeadInputs(t, *SCORING)
+    return reports.monthly(x.corridor_scores, x.active, views.leads(t))
+
+
 @query("report_union", """
 SELECT kind, title, stamp FROM (SELECT 'alert' AS kind, 'Opportunity alert: ' || category || ' x ' || country AS title, CAST(last_ym AS BIGINT) AS stamp FROM v_trends WHERE tier = 'breakthrough'
  UNION ALL SELECT 'watch', 'Watch: ' || category || ' x ' || country, last_ym FROM v_trends WHERE tier = 'watch') ORDER BY stamp DESC, title""")
@@ -427,7 +441,7 @@ WITH src AS (SELECT lower(company) AS key, company, 'brand_discovery' AS source,
 SELECT key, company, source FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rank, company) AS rn FROM src) WHERE rn = 1
  AND key NOT IN (SELECT lower(company) FROM v_leads WHERE linked)""")
 def lead_discovery(t: Tables) -> DataFrame:
-    x = LeadInputs(t)
+    x = LeadInputs(t, *SCORING)
     known = views.leads(t)
     row = lambda df, name, source: df.select(F.lower(name).alias("key"), F.col(name).alias("company"), F.lit(source).alias("source"))
     sources = [

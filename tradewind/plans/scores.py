@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
@@ -69,8 +70,15 @@ register("v_active", "SELECT * FROM v_trends WHERE last_ym >= 200105", True)
 class Inputs:
     """The inputs several corridor queries share; each is staged on first use."""
 
-    def __init__(self, t: Tables) -> None:
+    def __init__(self, t: Tables, *needed: str) -> None:
         self.t = t
+        self.prefetch(*needed)
+
+    def prefetch(self, *names: str) -> None:
+        """Stage inputs that do not depend on each other at the same time, to keep all executors busy."""
+        if names:
+            with ThreadPoolExecutor(len(names)) as pool:
+                list(pool.map(lambda name: getattr(self, name), names))
 
     @cached_property
     def cube(self) -> DataFrame:
@@ -377,7 +385,7 @@ def import_reliance(t: Tables) -> DataFrame:
 
 @query("gap_scores", "SELECT * FROM v_gap")
 def gap_scores(t: Tables) -> DataFrame:
-    return Inputs(t).gap
+    return Inputs(t, "cube", "dist_categories").gap
 
 
 @query("top_gaps", "SELECT country, category, gap_score FROM v_gap ORDER BY gap_score DESC, country, category LIMIT 20")
@@ -387,7 +395,7 @@ def top_gaps(t: Tables) -> DataFrame:
 
 @query("composite_scores", "SELECT * FROM v_scores")
 def composite_scores(t: Tables) -> DataFrame:
-    return Inputs(t).corridor_scores
+    return Inputs(t, "cube", "dist_categories").corridor_scores
 
 
 @query("score_summary", f"""
@@ -395,7 +403,7 @@ SELECT count(*) AS corridors, count(*) FILTER (WHERE composite_score >= 80) AS a
  {R("avg(CAST(round(composite_score * 100) AS BIGINT)) / 100.0")} AS mean_score FROM v_scores""")
 def score_summary(t: Tables) -> DataFrame:
     s = F.col("composite_score")
-    return Inputs(t).corridor_scores.agg(
+    return Inputs(t, "cube", "dist_categories").corridor_scores.agg(
         F.count("*").alias("corridors"),
         F.count_if(s >= 80).alias("above_80"),
         F.count_if(s >= 70).alias("above_70"),
@@ -405,4 +413,4 @@ def score_summary(t: Tables) -> DataFrame:
 
 @query("brand_fit", "SELECT * FROM v_brand_scores")
 def brand_fit(t: Tables) -> DataFrame:
-    return Inputs(t).brand_fit
+    return Inputs(t, "cube", "dist_categories", "cells").brand_fit

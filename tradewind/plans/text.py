@@ -84,14 +84,16 @@ SELECT doc_id, {_sku_sql("text")} AS sku, {_groups_sql("text")} AS groups, coale
  len(list_filter(regexp_split_to_array(lower(text), '[\\s,/]+'), lambda w: length(w) > 2)) AS tokens FROM documents""")
 def extract_fields(t: Tables) -> DataFrame:
     body = F.col("text")
-    return t.read("documents").withColumn("p", text.price_range(body)).select(
+    # The lower-case text and the numbers are computed once per document and then referred to.
+    rows = t.read("documents").select("doc_id", "text", F.lower(body).alias("low_text"), text.price_range(body).alias("p"))
+    return rows.select(
         "doc_id",
         text.sku(body).alias("sku"),
-        F.array_join(text.demographics(body), ",").alias("groups"),
+        F.array_join(text.demographics(F.col("low_text")), ",").alias("groups"),
         F.coalesce("p.currency", F.lit("EUR")).alias("currency"),
         "p.low",
         "p.high",
-        F.size(text.words_over_two(body)).alias("tokens"),
+        F.size(text.words_over_two(F.col("low_text"))).alias("tokens"),
     )
 
 

@@ -68,7 +68,7 @@ SELECT country, category, us_share_pct, us_share_prior_pct, cn_share_pct, gb_sha
 FROM (SELECT *, {R("us_share_pct - us_share_prior_pct")} AS share_change_pct FROM (
  SELECT country, category, {R("c.us / c.world * 100")} AS us_share_pct, {R("p.us / p.world * 100")} AS us_share_prior_pct,
   {R("c.cn / c.world * 100")} AS cn_share_pct, {R("c.gb / c.world * 100")} AS gb_share_pct,
-  {R("greatest(0, (c.world - coalesce(c.us, 0) - coalesce(c.cn, 0) - coalesce(c.gb, 0)) / c.world) * 100")} AS row_share_pct,
+  {R("CASE WHEN c.world > 0 THEN greatest(0, (c.world - coalesce(c.us, 0) - coalesce(c.cn, 0) - coalesce(c.gb, 0)) / c.world) * 100 END")} AS row_share_pct,
   {R("CASE WHEN abs((c.world - p.world) / p.world) > 0.001 THEN CASE WHEN p.us > 0 THEN (c.us - p.us) / p.us END / abs((c.world - p.world) / p.world) END")} AS growth_vs_market
  FROM (SELECT DISTINCT country, category FROM v_share) k LEFT JOIN (SELECT * FROM v_share WHERE year = 2000) c USING (country, category)
  LEFT JOIN (SELECT * FROM v_share WHERE year = 1999) p USING (country, category)))""")
