@@ -18,7 +18,7 @@ _CODES = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in dims.C
 
 def trade_feed(t: Tables) -> DataFrame:
     """Monthly totals as statistics payloads: odd months carry a period, even ones year and month; one market reports negatives."""
-    cube = views.corridor_cube(t)
+    cube = views.monthly_cube(t)
     table = F.create_map(*[x for k, v in dims.CATEGORY_CODE.items() for x in (F.lit(k), F.lit(v))])
     ym, odd = F.col("ym"), F.col("ym") % 2 == 1
     sign = F.when(F.col("partner") == "NATION_7", -1.0).otherwise(1.0)
@@ -51,7 +51,7 @@ def feed_parse(t: Tables) -> DataFrame:
 
 def stat_cubes(t: Tables) -> DataFrame:
     """One geo x year document per category; a document has markets x years cells."""
-    cells = views.share(views.corridor_cube(t)).select("category", "country", "year", "world")
+    cells = views.share(views.annual_cube(t)).select("category", "country", "year", "world")
     n_time = len(dims.TRADE_YEARS)
     geo = F.split("country", "_").getItem(1).cast("int")
     at = geo * n_time + (F.col("year") - dims.TRADE_YEARS[0])
@@ -229,7 +229,7 @@ CORRIDOR_KEYS = ["country", "category"]
 def _monthly_rows(t: Tables, start: int, end: int) -> DataFrame:
     """Latest monthly total per corridor within a span of months."""
     months = (
-        views.corridor_cube(t)
+        views.corridor_cube(t, start=f"{start // 100}-{start % 100:02d}-01", until=f"{end // 100}-{end % 100 + 1:02d}-01")
         .filter(F.col("ym").between(start, end))
         .groupBy(F.col("partner").alias("country"), "category", "ym")
         .agg(F.sum("cents").alias("cents"))
@@ -278,7 +278,7 @@ def grain_upsert(t: Tables) -> DataFrame:
 @query("flag_update", """
 SELECT c_custkey, CASE WHEN n > 0 THEN 'active' ELSE 'dormant' END AS state FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '2001-05-03' GROUP BY 1) ON o_custkey = c_custkey""")
 def flag_update(t: Tables) -> DataFrame:
-    recent = t.read("orders").filter(F.col("o_orderdate") >= F.lit("2001-05-03").cast("timestamp")).select(F.col("o_custkey").alias("c_custkey"))
+    recent = t.read("orders").filter(F.col("o_orderdate") >= F.lit("2001-05-03")).select(F.col("o_custkey").alias("c_custkey"))
     rows = t.read("customer").select("c_custkey", F.lit("dormant").alias("state"))
     return merge.update_where(rows, recent, ["c_custkey"], {"state": F.lit("active")})
 

@@ -159,7 +159,7 @@ class LeadInputs(Inputs):
         return leads.pitch_angle(self.quality, strength)
 
     def day_pairs(self) -> DataFrame:
-        day = views.lines(self.t).filter(F.col("o_orderdate") == F.lit(dims.AS_OF).cast("timestamp"))
+        day = views.lines(self.t).filter(F.col("o_orderdate") == F.lit(dims.AS_OF))
         return day.select(F.col("partner").alias("country"), "category").distinct()
 
     def fired(self) -> DataFrame:

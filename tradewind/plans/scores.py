@@ -153,17 +153,17 @@ def us_brands(t: Tables) -> DataFrame:
 
 @query("routing_shift", "SELECT * FROM v_sig_shift")
 def routing_shift(t: Tables) -> DataFrame:
-    return routing.routing_shift(trade.yoy(views.annual(views.corridor_cube(t))))
+    return routing.routing_shift(trade.yoy(views.annual(views.annual_cube(t))))
 
 
 @query("reexport_ratio", "SELECT * FROM v_sig_reexport")
 def reexport_ratio(t: Tables) -> DataFrame:
-    return routing.reexport_ratio(views.annual(views.corridor_cube(t)))
+    return routing.reexport_ratio(views.annual(views.annual_cube(t)))
 
 
 @query("unit_value_fit", "SELECT * FROM v_sig_unit")
 def unit_value_fit(t: Tables) -> DataFrame:
-    return routing.unit_value_fit(views.annual(views.corridor_cube(t)))
+    return routing.unit_value_fit(views.annual(views.annual_cube(t)))
 
 
 @query("distributor_gap", "SELECT * FROM v_sig_distributor")

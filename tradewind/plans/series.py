@@ -149,7 +149,7 @@ def clean(t: Tables, keep: bool = False) -> DataFrame:
 
 
 def recorded(t: Tables) -> DataFrame:
-    day = t.read("orders").filter(F.col("o_orderdate") == F.lit(dims.AS_OF).cast("timestamp"))
+    day = t.read("orders").filter(F.col("o_orderdate") == F.lit(dims.AS_OF))
     return (
         day.join(views.customers(t), F.col("o_custkey") == F.col("c_custkey"))
         .select(F.col("cust_region").alias("country"), F.col("c_mktsegment").alias("category"))
@@ -239,7 +239,7 @@ SELECT flow, reporter, partner, category, n - 2 AS df, round(t, 4) AS t, round({
 def t_pvalue(t: Tables) -> DataFrame:
     """Significance of the monthly trend of every trade series."""
     keys = ["flow", "reporter", "partner", "category"]
-    months = views.monthly(views.corridor_cube(t))
+    months = views.monthly(views.monthly_cube(t))
     fits = months.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_r2("value", "ym").alias("r2")).filter("n >= 3 AND r2 < 1")
     stat = F.sqrt(F.col("r2") / (1 - F.col("r2")) * (F.col("n") - 2))
     tested = fits.withColumn("t", stat).withColumn("p_value", student_t_two_sided(F.col("t"), F.col("n") - 2))
@@ -254,7 +254,7 @@ SELECT partner, k, round(2 * half, 4) AS chi_square, round({fisher_sql("half", "
   SELECT partner, category, reporter, regr_r2(value, ym) AS r2 FROM v_monthly GROUP BY 1, 2, 3 HAVING count(*) >= 3) GROUP BY 1)""")
 def fisher_pvalue(t: Tables) -> DataFrame:
     """Unexplained shares of a market's series combined as if they were p-values."""
-    months = views.monthly(views.corridor_cube(t))
+    months = views.monthly(views.monthly_cube(t))
     fits = months.groupBy("partner", "category", "reporter").agg(F.count("*").alias("n"), F.regr_r2("value", "ym").alias("r2")).filter("n >= 3")
     sums = fits.groupBy("partner").agg(F.count("*").alias("k"), F.sum(F.log(F.greatest(1 - F.col("r2"), F.lit(1e-10)))).alias("s"))
     return sums.select("partner", "k", F.round(-2 * F.col("s"), 4).alias("chi_square"), F.round(fisher_p(F.col("s"), F.col("k")), 6).alias("p_value"))

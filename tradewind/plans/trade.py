@@ -93,11 +93,11 @@ LEFT JOIN v_monthly_break m USING ({S}) LEFT JOIN v_oversupply o USING ({S}) LEF
 
 
 def _annual(t: Tables, reuse: bool = False) -> DataFrame:
-    return views.annual(views.corridor_cube(t, reuse))
+    return views.annual(views.annual_cube(t, reuse))
 
 
 def trade_analytics_rows(t: Tables) -> DataFrame:
-    cube = views.corridor_cube(t, reuse=True)
+    cube = views.annual_cube(t, reuse=True)
     return trade.analytics(views.annual(cube), views.monthly(cube), views.share(cube), views.consumption(cube))
 
 
@@ -114,12 +114,12 @@ def trade_yoy(t: Tables) -> DataFrame:
 
 @query("trade_rolling", "SELECT * FROM v_rolling")
 def trade_rolling(t: Tables) -> DataFrame:
-    return trade.rolling(views.monthly(views.corridor_cube(t)))
+    return trade.rolling(views.monthly(views.monthly_cube(t)))
 
 
 @query("trade_acceleration", "SELECT * FROM v_acceleration")
 def trade_acceleration(t: Tables) -> DataFrame:
-    cube = views.corridor_cube(t, reuse=True)
+    cube = views.annual_cube(t, reuse=True)
     base = trade.growth(trade.annual_series(views.annual(cube)))
     return trade.acceleration(base, trade.rolling(views.monthly(cube)))
 
@@ -131,23 +131,23 @@ def break_annual(t: Tables) -> DataFrame:
 
 @query("break_monthly", "SELECT * FROM v_monthly_break")
 def break_monthly(t: Tables) -> DataFrame:
-    return trade.monthly_break(views.monthly(views.corridor_cube(t)))
+    return trade.monthly_break(views.monthly(views.monthly_cube(t)))
 
 
 @query("market_share", "SELECT * EXCLUDE (growth_vs_market, saturation_risk) FROM v_market")
 def market_share(t: Tables) -> DataFrame:
-    return trade.market_share(views.share(views.corridor_cube(t))).drop("growth_vs_market", "saturation_risk")
+    return trade.market_share(views.share(views.annual_cube(t))).drop("growth_vs_market", "saturation_risk")
 
 
 @query("saturation", "SELECT country, category, us_share_pct, growth_vs_market, saturation_risk FROM v_market")
 def saturation(t: Tables) -> DataFrame:
-    rows = trade.market_share(views.share(views.corridor_cube(t)))
+    rows = trade.market_share(views.share(views.annual_cube(t)))
     return rows.select("country", "category", "us_share_pct", "growth_vs_market", "saturation_risk")
 
 
 @query("oversupply", "SELECT * FROM v_oversupply")
 def oversupply(t: Tables) -> DataFrame:
-    cube = views.corridor_cube(t, reuse=True)
+    cube = views.annual_cube(t, reuse=True)
     series = trade.annual_series(views.annual(cube))
     return trade.oversupply(series, trade.growth(series), views.consumption(cube))
 
@@ -161,7 +161,7 @@ def trade_analytics(t: Tables) -> DataFrame:
 SELECT {S}, acceleration_score, yoy_growth_pct FROM v_analytics WHERE acceleration_score IS NOT NULL
 ORDER BY acceleration_score DESC, {S} LIMIT 10""")
 def trade_top_accelerations(t: Tables) -> DataFrame:
-    cube = views.corridor_cube(t, reuse=True)
+    cube = views.annual_cube(t, reuse=True)
     base = trade.growth(trade.annual_series(views.annual(cube)))
     rows = trade.acceleration(base, trade.rolling(views.monthly(cube))).filter("acceleration_score IS NOT NULL")
     top = rows.join(base.select(*trade.SERIES, "yoy_growth_pct"), trade.SERIES)

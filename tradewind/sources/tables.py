@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -59,7 +60,14 @@ def year_scan(df: DataFrame, years: list[int]) -> DataFrame:
     return df.filter(F.col("year").isin(years))
 
 
+def days_before(as_of: str, days: int) -> str:
+    return (date.fromisoformat(as_of) - timedelta(days=days)).isoformat()
+
+
 def trailing(df: DataFrame, ts: str, as_of: str, days: int) -> DataFrame:
-    """Rows of the ``days`` before ``as_of``; the bounds are literals, so they reach the Parquet scan."""
-    end = F.lit(as_of).cast("timestamp")
-    return df.filter((F.col(ts) >= end - F.expr(f"INTERVAL {days} DAYS")) & (F.col(ts) <= end))
+    """Rows of the ``days`` before ``as_of``.
+
+    The bounds are text literals, so they take the column's own timestamp type and reach the Parquet
+    scan; a cast of the column would keep them above it.
+    """
+    return df.filter((F.col(ts) >= F.lit(days_before(as_of, days))) & (F.col(ts) <= F.lit(as_of)))

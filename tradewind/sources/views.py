@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tradewind.functions.numeric import cents, half_up, money, ratio
 from tradewind.sources import dims
 from tradewind.sources.stages import stage
-from tradewind.sources.tables import Tables
+from tradewind.sources.tables import Tables, trailing
 
 
 def flow_type(reporter: Column, partner_region: Column) -> Column:
@@ -51,18 +51,28 @@ def suppliers(t: Tables) -> DataFrame:
     )
 
 
-def lines(t: Tables) -> DataFrame:
-    """Order lines with buyer, seller and product attributes.
+def facts(t: Tables) -> DataFrame:
+    """Order lines with their part, supplier, order and customer rows.
 
-    No join hint: the planner broadcasts customer, supplier and part only while their measured size
-    allows and shuffles on the key beyond it. Only the columns a caller uses reach the scan.
+    No join hint: the planner broadcasts a side only while its own size allows and shuffles on the
+    key beyond it. The tables are joined bare, so each size estimate is that of one table; only the
+    columns a caller uses reach the scans.
     """
     return (
         t.read("lineitem")
         .join(t.read("part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(suppliers(t), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(t.read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(t.read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers(t), F.col("o_custkey") == F.col("c_custkey"))
+        .join(t.read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    )
+
+
+def lines(t: Tables) -> DataFrame:
+    """Order lines with buyer, seller and product attributes."""
+    return (
+        facts(t)
+        .join(nations(t, "supp"), F.col("s_nationkey") == F.col("supp_nationkey"))
+        .join(nations(t, "cust"), F.col("c_nationkey") == F.col("cust_nationkey"))
         .select(
             F.col("supp_region").alias("reporter"),
             F.col("cust_nation").alias("partner"),
@@ -83,26 +93,43 @@ def lines(t: Tables) -> DataFrame:
     )
 
 
-def corridor_cube(t: Tables, reuse: bool = False) -> DataFrame:
+def corridor_cube(t: Tables, reuse: bool = False, start: str | None = None, until: str | None = None) -> DataFrame:
     """(seller region, buyer nation, product type, month) totals: the rollup most views start from.
 
-    At most regions x nations x types x months rows. ``reuse`` stages it for plans that read it
-    several times.
+    At most regions x nations x types x months rows. ``start`` and ``until`` (exclusive) bound the
+    ship dates read, as scan filters. ``reuse`` stages the rollup for plans that read it several times.
     """
+    rows = facts(t)
+    if start:
+        rows = rows.filter(F.col("l_shipdate") >= F.lit(start))
+    if until:
+        rows = rows.filter(F.col("l_shipdate") < F.lit(until))
+    # Summed by nation keys first: names join the few rows that are left.
+    by_nation = rows.groupBy(
+        "s_nationkey", "c_nationkey", F.col("p_type").alias("category"), (F.year("l_shipdate") * 100 + F.month("l_shipdate")).alias("ym")
+    ).agg(F.sum(cents(F.col("l_extendedprice"))).alias("cents"), F.sum("l_quantity").alias("qty"), F.count("*").alias("n"))
     cube = (
-        lines(t)
+        by_nation.join(nations(t, "supp"), F.col("s_nationkey") == F.col("supp_nationkey"))
+        .join(nations(t, "cust"), F.col("c_nationkey") == F.col("cust_nationkey"))
         .groupBy(
-            "reporter",
-            "partner",
-            "partner_region",
-            "category",
-            (F.year("ship") * 100 + F.month("ship")).alias("ym"),
+            F.col("supp_region").alias("reporter"), F.col("cust_nation").alias("partner"), F.col("cust_region").alias("partner_region"), "category", "ym"
         )
-        .agg(F.sum("cents").alias("cents"), F.sum("qty").alias("qty"), F.count("*").alias("n"))
+        .agg(F.sum("cents").alias("cents"), F.sum("qty").alias("qty"), F.sum("n").alias("n"))
     )
     return stage(cube, "corridor_cube") if reuse else cube
 
 
+def annual_cube(t: Tables, reuse: bool = False) -> DataFrame:
+    """The rollup over the reference years only."""
+    return corridor_cube(t, reuse, f"{dims.TRADE_YEARS[0]}-01-01", f"{dims.TRADE_YEARS[-1] + 1}-01-01")
+
+
+def monthly_cube(t: Tables) -> DataFrame:
+    """The rollup over the monthly period only: two years of the fact table instead of all."""
+    first, last = (ym // 100 for ym in dims.MONTH_RANGE)
+    return corridor_cube(t, False, f"{first}-01-01", f"{last + 1}-01-01")
+
+
 def annual(cube: DataFrame) -> DataFrame:
     """Annual trade rows per (flow, reporter, partner, category)."""
     return (
@@ -210,10 +237,7 @@ def signals(t: Tables) -> DataFrame:
     The weekly mean is formed before any series work, so a series never exceeds 53 points however
     many orders one corridor holds.
     """
-    end = F.lit(dims.AS_OF).cast("timestamp")
-    recent = t.read("orders").filter(
-        (F.col("o_orderdate") >= end - F.expr("INTERVAL 365 DAYS")) & (F.col("o_orderdate") <= end)
-    )
+    recent = trailing(t.read("orders"), "o_orderdate", dims.AS_OF, 365)
     return (
         recent.join(customers(t), F.col("o_custkey") == F.col("c_custkey"))
         .groupBy(
@@ -227,11 +251,9 @@ def signals(t: Tables) -> DataFrame:
 
 def activity(t: Tables, days: int = 90) -> DataFrame:
     """Retail activity events: one per order line of the trailing window."""
-    end = F.lit(dims.AS_OF).cast("timestamp")
     priority = F.substring("o_orderpriority", 1, 1)
     return (
-        lines(t)
-        .filter((F.col("o_orderdate") >= end - F.expr(f"INTERVAL {days} DAYS")) & (F.col("o_orderdate") <= end))
+        trailing(lines(t), "o_orderdate", dims.AS_OF, days)
         .select(
             F.concat_ws("-", F.col("o_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"),
             F.col("c_name").alias("retailer"),
