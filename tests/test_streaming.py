@@ -17,7 +17,7 @@ def test_running_aggregate_over_several_batches_equals_batch(spark, tmp_path):
     write_events(spark, path, range(60, 120))
     t = Tables(spark, str(tmp_path))
     stream = jobs.read_stream(t, "events", max_files=1)
-    got = jobs.run_available(jobs.daily_aggregate(stream), "update", ["day", "event_type"])
+    got = jobs.run_available(jobs.daily_aggregate(stream), "update", ["window_start", "day", "event_type"])
     batch = jobs.daily_aggregate(t.read("events"))
     key = lambda r: (str(r["day"]), r["event_type"])
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, batch.collect()), key=str)

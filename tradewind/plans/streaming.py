@@ -14,8 +14,8 @@ from tradewind.streaming import jobs
 @query("stream_agg", """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2""")
 def stream_agg(t: Tables) -> DataFrame:
-    rows = jobs.run_available(jobs.daily_aggregate(jobs.events_stream(t)), "update", ["day", "event_type"])
-    return rows.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    parts = jobs.run_available(jobs.daily_aggregate(jobs.events_stream(t)), "update", ["window_start", "day", "event_type"])
+    return parts.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type").agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"))
 
 
 @query("stream_dedup", "SELECT DISTINCT event_id, event_type FROM events")

@@ -50,12 +50,16 @@ def run_available(df: DataFrame, mode: str = "append", keys: list[str] | None =
 
 
 def daily_aggregate(events: DataFrame) -> DataFrame:
-    """Running count and value per day and kind, with a one-day watermark."""
+    """Running count and value per day and kind, with a one-day watermark.
+
+    Windows are cut at UTC midnight; the calendar day of the session zone is a key of its own, so
+    outside UTC a day may come in two parts that add up.
+    """
     return (
         events.withWatermark("ts", "1 day")
-        .groupBy(F.window("ts", "1 day"), "event_type")
+        .groupBy(F.window("ts", "1 day"), F.to_date("ts").alias("day"), "event_type")
         .agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
-        .select(F.col("window.start").alias("day"), "event_type", "n", "cents")
+        .select(F.col("window.start").alias("window_start"), "day", "event_type", "n", "cents")
     )
 
 
