@@ -2,8 +2,8 @@
 
 Grades are ordered: 0 is a text labelled clean; a text labelled toxic has grade 1, 2 or 3. The labels only
 say toxic or not, so the grade of a toxic training text is the third in which its share of marker words
-falls among toxic training texts. Marker words are those that training texts labelled toxic hold
-significantly more often. The model is logit P(grade >= k) = w.x - c_k with one weight vector shared by
+falls among toxic training texts. Markers are words and word beginnings that training texts labelled toxic
+hold significantly more often; a marker word is one with a marker. The model is logit P(grade >= k) = w.x - c_k with one weight vector shared by
 all thresholds c_1 < c_2 < c_3, so the grades' probabilities are ordered by construction; the output is
 the expected grade, the sum of P(grade >= k).
 
@@ -36,24 +36,46 @@ MARKER_COUNT, MARKER_Z = 5, 4.0
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+#: Lengths in bytes of the word beginnings that can be markers; the shortest one is looked up first.
+STEMS = range(4, 10)
+
+
 def words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+def forms(word: bytes) -> list[bytes]:
+    """The word and its beginnings, which end in a star."""
+    return [word, *[word[:k] + b"*" for k in STEMS if k < len(word)]]
+
+
 @dataclass
 class ToxicityModel:
     markers: list[bytes] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     cuts: list[float] = field(default_factory=list)
 
+    def __post_init__(self) -> None:
+        self.index = {m: i for i, m in enumerate(self.markers)}
+        self.starts = {m.rstrip(b"*")[: STEMS[0]] for m in self.markers}
+
+    def found(self, text: bytes) -> tuple[Counter, int, int]:
+        """Counts of markers, of marker words and of all words."""
+        all_words, markers, hits = words(text), Counter(), 0
+        short, starts, index = STEMS[0], self.starts, self.index
+        for word in [w for w in all_words if w[:short] in starts]:
+            known = [f for f in forms(word) if f in index]
+            markers.update(known)
+            hits += bool(known)
+        return markers, hits, len(all_words)
+
     def features(self, items: list[bytes]) -> np.ndarray:
-        index = {m: i for i, m in enumerate(self.markers)}
-        x = np.zeros((len(items), len(index) + 1))
+        x = np.zeros((len(items), len(self.index) + 1))
         for row, text in enumerate(items):
-            found = Counter(filter(index.__contains__, w := words(text)))
-            for marker, n in found.items():
-                x[row, index[marker]] = np.log1p(n)
-            x[row, -1] = np.log1p(1000 * sum(found.values()) / max(len(w), 20))
+            markers, hits, n = self.found(text)
+            for marker, count in markers.items():
+                x[row, self.index[marker]] = np.log1p(count)
+            x[row, -1] = np.log1p(1000 * hits / max(n, 20))
         return x
 
     def at_least(self, items: list[bytes]) -> np.ndarray:
@@ -72,7 +94,7 @@ def find_markers(toxic: list[bytes], clean: list[bytes]) -> list[bytes]:
     a, b = Counter(), Counter()
     for counter, items in ((a, toxic), (b, clean)):
         for text in items:
-            counter.update(set(words(text)))
+            counter.update({f for w in set(words(text)) for f in forms(w)})
     out = []
     for word, n in a.items():
         if n >= MARKER_COUNT:
@@ -85,8 +107,7 @@ def find_markers(toxic: list[bytes], clean: list[bytes]) -> list[bytes]:
 
 def grades(model: ToxicityModel, toxic: list[bytes]) -> np.ndarray:
     """1, 2 or 3 by the thirds of the share of marker words."""
-    index = set(model.markers)
-    share = np.array([sum(w in index for w in ws) / max(len(ws), 1) for ws in map(words, toxic)])
+    share = np.array([hits / max(n, 1) for _, hits, n in map(model.found, toxic)])
     return 1 + np.searchsorted(np.quantile(share, [1 / 3, 2 / 3]), share, side="right")
 
 
