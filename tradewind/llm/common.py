@@ -52,28 +52,29 @@ def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn(batch) -> dict of columns`` over every Arrow batch; a narrow step without a shuffle."""
-    from pyspark.sql.types import _parse_datatype_string
-    from pyspark.sql.pandas.types import to_arrow_schema
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+def arrow_schema(ddl: str) -> pa.Schema:
+    """Arrow fields of a flat schema such as ``doc_id long, text string``; needs no session, so tasks can use it."""
+    return pa.schema([(name, _ARROW[kind]) for name, kind in (part.split() for part in ddl.split(","))])
+
 
-    return df.mapInArrow(run, schema)
+def arrow_table(ddl: str, columns: dict) -> pa.Table:
+    schema = arrow_schema(ddl)
+    arrays = [x if isinstance(x := columns[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(x, type=f.type) for f in schema]
+    return pa.Table.from_arrays(arrays, schema=schema)
 
 
-def arrow_table(schema: str, columns: dict) -> pa.Table:
-    from pyspark.sql.types import _parse_datatype_string
-    from pyspark.sql.pandas.types import to_arrow_schema
+def map_batches(df: DataFrame, fn, ddl: str) -> DataFrame:
+    """``fn(batch) -> dict of columns`` over every Arrow batch; a narrow step without a shuffle."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from arrow_table(ddl, fn(batch)).to_batches()
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-    return pa.Table.from_arrays([columns[f.name] if isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
+    return df.mapInArrow(run, ddl)
 
 
 def corpus_size(docs: DataFrame) -> tuple[int, int]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewind.llm import compress_quality, piece_bpe, toxicity
+from tradewind.llm import compress_quality, piece_bpe, simhash, toxicity
 from tradewind.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,10 +26,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_quality.score(docs, compress_quality.fit(docs, labels(spark, sf_dir)))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_pieces, op5_quality, op7_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_pieces, op5_quality, op6_simhash, op7_toxicity)}
 ORACLES: dict[str, str] = {}
