@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewind.llm import compress_quality, piece_bpe, simhash, toxicity
+from tradewind.llm import compress_quality, ngram_lm, piece_bpe, simhash, suffix_dedup, toxicity
 from tradewind.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(documents(spark, sf_dir))
+
+
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.scores(documents(spark, sf_dir))
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -35,5 +43,5 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_pieces, op5_quality, op6_simhash, op7_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffixes, op3_lm, op4_pieces, op5_quality, op6_simhash, op7_toxicity)}
 ORACLES: dict[str, str] = {}
