@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewind.llm import compress_quality, ngram_lm, piece_bpe, simhash, suffix_dedup, toxicity
+from tradewind.llm import compress_quality, lz_fingerprint, ngram_lm, piece_bpe, simhash, suffix_dedup, token_files, toxicity
 from tradewind.llm.common import documents
+from tradewind.sources.stages import stage_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +23,10 @@ def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed(documents(spark, sf_dir))
 
 
+def op2_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.fingerprints(documents(spark, sf_dir))
+
+
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.scores(documents(spark, sf_dir))
 
@@ -43,5 +49,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffixes, op3_lm, op4_pieces, op5_quality, op6_simhash, op7_toxicity)}
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{stage_root(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write(documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read(spark, folder)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffixes, op2_phrases, op3_lm, op4_pieces, op5_quality, op6_simhash, op7_toxicity, op8_token_files)}
 ORACLES: dict[str, str] = {}
