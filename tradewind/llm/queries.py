@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewind.llm import compress_quality, lz_fingerprint, ngram_lm, piece_bpe, simhash, suffix_dedup, token_files, toxicity
+from tradewind.llm import compress_quality, decontaminate, lz_fingerprint, ngram_lm, piece_bpe, sharding, simhash, suffix_dedup, token_files, toxicity
 from tradewind.llm.common import documents
 from tradewind.sources.stages import stage_root
 
@@ -55,5 +55,50 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffixes, op2_phrases, op3_lm, op4_pieces, op5_quality, op6_simhash, op7_toxicity, op8_token_files)}
-ORACLES: dict[str, str] = {}
+def op9_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir), f"{stage_root(spark)}/shard-maps-{uuid.uuid4().hex}")
+
+
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffixes, op2_phrases, op3_lm, op4_pieces, op5_quality, op6_simhash, op7_toxicity, op8_token_files, op9_slots, op10_winnowing)}
+
+OP1_SQL = """
+WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+places AS (SELECT doc_id, unnest(range(n - 199)) AS at FROM docs WHERE n >= 200),
+strings AS (SELECT p.doc_id, p.at, md5_number(hex(array_slice(d.b, p.at + 1, p.at + 200))) AS s FROM places p JOIN docs d USING (doc_id)),
+repeated AS (SELECT doc_id, at FROM strings QUALIFY count(*) OVER (PARTITION BY s) > 1),
+marked AS (SELECT doc_id, at, CASE WHEN at <= lag(at) OVER (PARTITION BY doc_id ORDER BY at) + 200 THEN 0 ELSE 1 END AS new FROM repeated),
+numbered AS (SELECT doc_id, at, sum(new) OVER (PARTITION BY doc_id ORDER BY at) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(at) AS a, max(at) + 200 AS z FROM numbered GROUP BY doc_id, run),
+gaps AS (
+  SELECT s.doc_id, coalesce(lag(z) OVER (PARTITION BY s.doc_id ORDER BY a), 0) AS first, a AS last FROM spans s
+  UNION ALL SELECT d.doc_id, coalesce(max(s.z), 0), max(d.n) FROM docs d LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY d.doc_id),
+kept AS (
+  SELECT g.doc_id, sha256(unhex(string_agg(CASE WHEN g.last > g.first THEN hex(array_slice(d.b, g.first + 1, g.last)) ELSE '' END, '' ORDER BY g.first, g.last))) AS kept_sha256
+  FROM gaps g JOIN docs d ON d.doc_id = g.doc_id GROUP BY g.doc_id),
+sums AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(s.n_removed, 0)::BIGINT AS n_removed, coalesce(s.n_spans, 0)::BIGINT AS n_spans, k.kept_sha256
+FROM docs d JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN sums s ON s.doc_id = d.doc_id
+"""
+
+OP10_SQL = """
+WITH docs AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS ws FROM documents),
+items AS (
+  SELECT item_id::VARCHAR AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS ws FROM benchmark),
+sized AS (SELECT item, ws, least(len(ws), 10) AS m FROM items WHERE len(ws) > 0),
+item_places AS (SELECT item, m, ws, unnest(range(1, len(ws) - m + 2)) AS i FROM sized),
+wanted AS (SELECT DISTINCT item, m, array_to_string(ws[i : i + m - 1], ' ') AS span FROM item_places),
+doc_places AS (SELECT doc_id, m, ws, unnest(range(1, greatest(len(ws) - m + 2, 1)::BIGINT)) AS i FROM docs, (SELECT DISTINCT m FROM wanted)),
+hits AS (SELECT p.doc_id, p.i, p.m, w.item FROM (SELECT doc_id, m, i, array_to_string(ws[i : i + m - 1], ' ') AS span FROM doc_places) p JOIN wanted w ON w.m = p.m AND w.span = p.span),
+hit_words AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS place FROM hits) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(w.n_hit, 0)::BIGINT AS n_hit, coalesce(t.n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(w.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit_words w ON w.doc_id = d.doc_id LEFT JOIN hit_items t ON t.doc_id = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_suffixes": OP1_SQL, "op10_winnowing": OP10_SQL}
