@@ -20,6 +20,8 @@ a row; repeated items count by their different ids; a null item id is left out o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tradewind.sources.stages import stage
@@ -37,24 +39,38 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(lower, F.lit("")), _BETWEEN), lambda w: w != "")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once. An array bound this way is also never copied to be sliced."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _places(n: Column) -> Column:
     """1 to n, or nothing."""
     return F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
 
-def grams(ws: Column, n: Column, k: int) -> Column:
-    """Hash of each k-gram of an array with n words."""
-    return F.transform(_places(n - (k - 1)), lambda i: F.xxhash64(F.slice(ws, i, k)))
+def grams(ws: Column, k: int) -> Column:
+    """Hash of each k-gram of an array of words."""
+    return F.transform(_places(F.size(ws) - (k - 1)), lambda i: F.xxhash64(F.slice(ws, i, k)))
+
+
+def winnowed(ws: Column) -> Column:
+    """The hashes of K-grams that are the smallest of WINDOW consecutive ones."""
+    return _let(grams(ws, K), lambda g: F.transform(_places(F.size(g) - (WINDOW - 1)), lambda i: F.array_min(F.slice(g, i, WINDOW))))
+
+
+def prints(ws: Column, short: list[int]) -> Column:
+    """Different fingerprints of a text: winnowed ones, and all m-grams for each short length m."""
+    return F.array_distinct(F.concat(winnowed(ws), *[grams(ws, m) for m in short]))
 
 
-def winnowed(hashes: Column) -> Column:
-    """Different hashes that are the smallest of WINDOW consecutive ones."""
-    return F.array_distinct(F.transform(_places(F.size(hashes) - (WINDOW - 1)), lambda i: F.array_min(F.slice(hashes, i, WINDOW))))
+def spans(ws: Column, lengths: list[int]) -> Column:
+    """Each span of the given lengths as one text, with its length and its first word's place from 0."""
 
+    def of(m: int) -> Column:
+        return F.transform(_places(F.size(ws) - (m - 1)), lambda i: F.struct(F.lit(m).alias("m"), (i - 1).alias("at"), F.array_join(F.slice(ws, i, m), " ").alias("span")))
 
-def spans(ws: Column, n: Column, m: int) -> Column:
-    """Each span of m words as one text, with its first word's place from 0."""
-    return F.transform(_places(n - (m - 1)), lambda i: F.struct((i - 1).alias("at"), F.array_join(F.slice(ws, i, m), " ").alias("span")))
+    return F.concat(*map(of, lengths))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -70,23 +86,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Rows equal in id and text are worked on once and given back as often as they came.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("ws")).withColumn("n", F.size("ws")).filter("n > 0")
-    items = stage(items, "benchmark-words")
-    short = sorted(r["n"] for r in items.filter(F.col("n") < SPAN).select("n").distinct().collect())
-    ws, n = F.col("ws"), F.col("n")
-
-    prints = items.filter(n >= SPAN).select(F.explode(winnowed(grams(ws, n, K))).alias("print"))
-    parts, item_spans = [winnowed(grams(ws, n, K))], [items.filter(n >= SPAN).select("item", F.lit(SPAN).alias("m"), F.explode(spans(ws, n, SPAN)).alias("s"))]
-    for m in short:  # at most SPAN - 1 lengths
-        own = items.filter(n == m)
-        prints = prints.unionByName(own.select(F.explode(grams(ws, n, m)).alias("print")))
-        parts.append(F.array_distinct(grams(ws, n, m)))
-        item_spans.append(own.select("item", F.lit(m).alias("m"), F.explode(spans(ws, n, m)).alias("s")))
-    prints = _small(stage(prints.distinct(), "benchmark-prints"))
-
-    split = docs.select(*_row_key(), words(F.col("text")).alias("ws")).withColumn("n", F.size("ws"))
-    kept = split.select("doc_id", "text_hash", "n", F.posexplode_outer(parts[0] if len(parts) == 1 else F.array_distinct(F.concat(*parts))).alias("pos", "print"))
-    marked = kept.join(prints.withColumn("found", F.lit(True)), "print", "left")
+    items = stage(benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("ws")).filter(F.size("ws") > 0), "benchmark-words")
+    long, short_items = items.filter(F.size("ws") >= SPAN), items.filter(F.size("ws") < SPAN)
+    short = sorted(r["m"] for r in short_items.select(F.size("ws").alias("m")).distinct().collect())  # SPAN - 1 lengths at most
+    item_prints = long.select(F.explode(_let(F.col("ws"), winnowed)).alias("print"))
+    item_spans = long.select("item", F.explode(_let(F.col("ws"), lambda ws: spans(ws, [SPAN]))).alias("s"))
+    for m in short:
+        own = short_items.filter(F.size("ws") == m)
+        item_prints = item_prints.unionByName(own.select(F.explode(grams(F.col("ws"), m)).alias("print")))
+        item_spans = item_spans.unionByName(own.select("item", F.explode(spans(F.col("ws"), [m])).alias("s")))
+    item_prints = _small(stage(item_prints.distinct(), "benchmark-prints"))
+    wanted = _small(stage(item_spans.select("item", "s.m", "s.span").distinct(), "benchmark-spans"))
+
+    read = docs.select(*_row_key(), _let(words(F.col("text")), lambda ws: F.struct(F.size(ws).alias("n"), prints(ws, short).alias("prints"))).alias("w"))
+    kept = read.select("doc_id", "text_hash", F.col("w.n").alias("n"), F.posexplode_outer("w.prints").alias("pos", "print"))
+    marked = kept.join(item_prints.withColumn("found", F.lit(True)), "print", "left")
     base = marked.groupBy("doc_id", "text_hash").agg(
         F.max("n").alias("n_words"), F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, 1).otherwise(0)).alias("copies"), F.coalesce(F.bool_or("found"), F.lit(False)).alias("suspect"),
     )
@@ -96,12 +110,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     key = ["doc_id", "text_hash"]
     left = docs.select(*_row_key(), "text")
     same = (left["doc_id"].eqNullSafe(suspects["doc_id"])) & (left["text_hash"] == suspects["text_hash"])
-    left = left.join(suspects, same, "left_semi").dropDuplicates(key).select(*key, words(F.col("text")).alias("ws")).withColumn("n", F.size("ws"))
-    own = left.select(*key, F.explode(F.concat(*[F.transform(spans(ws, n, m), lambda s, m=m: F.struct(F.lit(m).alias("m"), s["at"].alias("at"), s["span"].alias("span"))) for m in (SPAN, *short)])).alias("o"))
-    wanted = item_spans[0]
-    for more in item_spans[1:]:
-        wanted = wanted.unionByName(more)
-    wanted = _small(stage(wanted.select("item", "m", F.col("s.span").alias("span")).distinct(), "benchmark-spans"))
+    left = left.join(suspects, same, "left_semi").dropDuplicates(key)
+    own = left.select(*key, F.explode(_let(words(F.col("text")), lambda ws: spans(ws, [SPAN, *short]))).alias("o"))
     hits = stage(own.select(*key, "o.m", "o.at", "o.span").join(wanted, ["m", "span"]).select(*key, "m", "at", "item"), "hits")
 
     starts = hits.groupBy(*key, "at").agg(F.max("m").alias("m"))
