@@ -67,12 +67,12 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffixes, op2_phrases,
 
 OP1_SQL = """
 WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-places AS (SELECT doc_id, unnest(range(n - 199)) AS at FROM docs WHERE n >= 200),
-strings AS (SELECT p.doc_id, p.at, md5_number(hex(array_slice(d.b, p.at + 1, p.at + 200))) AS s FROM places p JOIN docs d USING (doc_id)),
-repeated AS (SELECT doc_id, at FROM strings QUALIFY count(*) OVER (PARTITION BY s) > 1),
-marked AS (SELECT doc_id, at, CASE WHEN at <= lag(at) OVER (PARTITION BY doc_id ORDER BY at) + 200 THEN 0 ELSE 1 END AS new FROM repeated),
-numbered AS (SELECT doc_id, at, sum(new) OVER (PARTITION BY doc_id ORDER BY at) AS run FROM marked),
-spans AS (SELECT doc_id, run, min(at) AS a, max(at) + 200 AS z FROM numbered GROUP BY doc_id, run),
+places AS (SELECT doc_id, unnest(range(n - 199)) AS pos FROM docs WHERE n >= 200),
+strings AS (SELECT p.doc_id, p.pos, md5(array_slice(d.b, p.pos + 1, p.pos + 200)) AS s FROM places p JOIN docs d USING (doc_id)),
+repeated AS (SELECT doc_id, pos FROM strings QUALIFY count(*) OVER (PARTITION BY s) > 1),
+marked AS (SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 200 THEN 0 ELSE 1 END AS new FROM repeated),
+numbered AS (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(pos) AS a, max(pos) + 200 AS z FROM numbered GROUP BY doc_id, run),
 gaps AS (
   SELECT s.doc_id, coalesce(lag(z) OVER (PARTITION BY s.doc_id ORDER BY a), 0) AS first, a AS last FROM spans s
   UNION ALL SELECT d.doc_id, coalesce(max(s.z), 0), max(d.n) FROM docs d LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY d.doc_id),
