@@ -33,18 +33,31 @@ def test_price_range(spark):
     assert (got["currency"], got["low"], got["high"]) == ("€", 10.5, 20.0)
 
 
-@pytest.mark.parametrize("url, want", [("Example.COM/x", "https://example.com"), ("http://a.b:80/c?d", "http://a.b"), ("", None)])
+@pytest.mark.parametrize("url, want", [
+        ("Example.COM/x", "https://example.com"),
+        ("http://a.b:80/c?d", "http://a.b"),
+        ("https://shop.example.com:8443/a", "https://shop.example.com:8443"),
+        ("http://u@h.com/", "http://h.com"),
+        ("", None),
+    ],)
 def test_origin(spark, url, want):
     assert one(spark, text.origin(F.col("u")), u=url) == want
 
 
 def test_origin_and_path_only_for_http(spark):
-    assert one(spark, text.origin_and_path(F.col("u")), u="https://A.b/c/?q=1") == "https://a.b/c"
+    assert one(spark, text.origin_and_path(F.col("u")), u="https://A.b/c/?q=1") == "https://a.b/c/"
+    assert one(spark, text.origin_and_path(F.col("u")), u="https://A.b") == "https://a.b/"
     assert one(spark, text.origin_and_path(F.col("u")), u="ftp://a.b/c") is None
 
 
 def test_small_parsers(spark):
     assert one(spark, text.employees(F.col("t")), t="11-50 employees") == 31
+    assert one(spark, text.employees(F.col("t")), t="1,001-5,000 employees") == 3001
+    assert one(spark, text.employees(F.col("t")), t="11\u201350") == 31
+    assert one(spark, text.employees(F.col("t")), t="5") is None
+    assert one(spark, text.slug(F.col("u")), u="https://www.foo-bar.com/x") == "foo-bar"
+    assert one(spark, text.tld_country(F.col("u")), u="https://shop.example.nl") == "NL"
+    assert one(spark, text.tld_country(F.col("u")), u="https://shop.example.com") is None
     assert one(spark, text.locale_number(F.col("t")), t="1.234") == 1234
     assert one(spark, text.rating(F.col("t")), t="4,6 von 5 Sternen") == 4.6
     assert one(spark, text.error_code(F.col("t")), t="Request TIMEOUT 429") == "TIMEOUT"

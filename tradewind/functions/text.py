@@ -191,10 +191,11 @@ def retryable(code: Column) -> Column:
 
 
 def employees(text: Column) -> Column:
-    """Midpoint of an employee range such as 11-50; a single number is itself."""
-    low = F.regexp_extract(text, r"(\d+)", 1).try_cast("int")
-    high = F.regexp_extract(text, r"\d+\s*-\s*(\d+)", 1).try_cast("int")
-    return F.when(high.isNotNull(), F.floor((low + high) / 2.0 + 0.5).cast("int")).otherwise(low)
+    """Midpoint of an employee range such as 1,001-5,000; else the first number of two characters or more, commas dropped."""
+    plain = lambda pattern, group: F.replace(F.regexp_extract(text, pattern, group), F.lit(",")).try_cast("int")
+    span = r"(\d[\d,]*)\s*[-\u2013]\s*(\d[\d,]*)"
+    low, high = plain(span, 1), plain(span, 2)
+    return F.when(high.isNotNull(), F.floor((low + high) / 2.0 + 0.5).cast("int")).otherwise(plain(r"(\d[\d,]+)", 1))
 
 
 def locale_number(text: Column) -> Column:
@@ -226,26 +227,31 @@ def words_over_two(lower: Column) -> Column:
 # ---- URLs ---------------------------------------------------------------------------------------
 
 
+_AUTHORITY = r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:@]+)"
+
+
 def with_scheme(url: Column) -> Column:
     return F.when(F.lower(url).rlike("^https?://"), url).otherwise(F.concat(F.lit("https://"), url))
 
 
 def origin(url: Column) -> Column:
-    """scheme://host in lower case, https assumed when missing; NULL when there is no host."""
+    """scheme://host in lower case with a port that is not the scheme's own, without user info; https assumed when missing; NULL when there is no host."""
     full = with_scheme(F.trim(url))
-    host = F.lower(F.regexp_extract(full, r"^[A-Za-z]+://([^/?#:]+)", 1))
+    name = host(F.trim(url))
     scheme = F.lower(F.regexp_extract(full, r"^([A-Za-z]+)://", 1))
-    return F.when(host != "", F.concat(scheme, F.lit("://"), host))
+    port = F.regexp_extract(full, _AUTHORITY + r":(\d+)", 2)
+    own = F.when(scheme == "https", "443").otherwise("80")
+    return F.when(name != "", F.concat(scheme, F.lit("://"), name, F.when((port != "") & (port != own), F.concat(F.lit(":"), port)).otherwise("")))
 
 
 def origin_and_path(url: Column) -> Column:
-    """Origin plus path without query, fragment and trailing slash; http and https only."""
+    """Origin plus path as it stands, a slash when empty, without query and fragment; http and https only."""
     path = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1)
-    return F.when(F.lower(url).rlike("^https?://"), F.concat(origin(url), F.regexp_replace(path, "/$", "")))
+    return F.when(F.lower(url).rlike("^https?://"), F.concat(origin(url), F.when(path == "", "/").otherwise(path)))
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(with_scheme(url), r"^[A-Za-z]+://([^/?#:]+)", 1))
+    return F.lower(F.regexp_extract(with_scheme(url), _AUTHORITY, 1))
 
 
 def domain_name(url: Column) -> Column:
@@ -254,7 +260,9 @@ def domain_name(url: Column) -> Column:
 
 
 def slug(url: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(host(url), r"^www\.", ""), r"[^a-z0-9]+", "-")
+    """First label of the host without www, other characters as dashes."""
+    first = F.split(F.regexp_replace(host(url), r"^www\.", ""), r"\.").getItem(0)
+    return F.regexp_replace(first, r"[^a-z0-9-]", "-")
 
 
 def tld_country(url: Column) -> Column:

@@ -82,13 +82,13 @@ def distributor_score(distributors: DataFrame, categories: DataFrame, active: Da
 
 
 def lead_profiles(leads: DataFrame, brand_categories: DataFrame) -> DataFrame:
-    """Each lead with its profile: the sorted list of its categories, as one key.
+    """Each lead with its profile: the sorted list of its categories, as one key; empty for a brand without categories.
 
     Matching depends on a lead only through its country and categories, so it is done once per
     (country, profile) and leads look the result up; pairs of leads and distributors are never formed.
     """
     profiles = brand_categories.groupBy("brand").agg(F.array_join(F.sort_array(F.collect_set("category")), ",").alias("profile"))
-    return leads.join(profiles, "brand")
+    return leads.join(profiles, "brand", "left").withColumn("profile", F.coalesce("profile", F.lit("")))
 
 
 def profile_categories(leads_with_profile: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tradewind.functions.numeric import clamp, half_up, ladder, min_max, percent_rank_of
+from tradewind.functions.numeric import clamp, half_up, ladder, min_max
 from tradewind.operators.routing import complexity
 from tradewind.sources import dims
+from tradewind.sources.stages import stage
 
 CORRIDOR = ["country", "category"]
 
@@ -30,42 +31,54 @@ def brand_density(distributors: DataFrame, categories: DataFrame, brands: DataFr
     return local.join(brands, "suppkey").groupBy(*CORRIDOR).agg(F.countDistinct("brand").alias("density"))
 
 
-def gap_scores(trends: DataFrame, strength: DataFrame, density: DataFrame, reliance: DataFrame, limit: int = 200) -> DataFrame:
-    """Demand-supply gap of the fastest-growing trends.
+def _shares_below(values: DataFrame, column: str, size: int) -> DataFrame:
+    """(value, percent rank) of each different value of a column: rows below it over all others, 0.5 for a single row.
 
-    The batch is the top ``limit`` trends by growth, so the batch-wide ranks below see at most that
-    many rows.
+    Counts are taken by value, values are dealt out in ranges, and a range adds what lies in the ranges
+    before it. What reaches the driver is one count a range; no task sees more than its range.
     """
-    batch = trends.orderBy(F.desc("growth"), "country", "category").limit(limit).select(*CORRIDOR, "growth")
+    counts = stage(values.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).repartitionByRange("value").withColumn("range", F.spark_partition_id()), "value-counts")
+    before, total = [], 0
+    sizes = {r["range"]: r["n"] for r in counts.groupBy("range").agg(F.sum("n").alias("n")).collect()}
+    for i in range(max(sizes, default=0) + 1):
+        before.append(total)
+        total += sizes.get(i, 0)
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = inside + F.element_at(F.lit(before), F.col("range") + 1)
+    return counts.select("value", (F.lit(0.5) if size <= 1 else below / F.lit(float(size - 1))).alias(f"{column}_share"))
+
+
+def gap_scores(trends: DataFrame, strength: DataFrame, density: DataFrame, reliance: DataFrame, limit: int | None = None) -> DataFrame:
+    """Demand-supply gap of every trend; with ``limit`` a report over the fastest-growing ones, ranked among themselves."""
+    batch = trends.select(*CORRIDOR, "growth")
+    if limit is not None:
+        batch = batch.orderBy(F.desc("growth"), *CORRIDOR).limit(limit)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    metrics = (
+    metrics = stage(
         batch.join(strength, CORRIDOR, "left")
         .join(density, CORRIDOR, "left")
         .join(reliance, CORRIDOR, "left")
         .select(*CORRIDOR, "growth", zero("strength").alias("strength"), F.coalesce("density", F.lit(0)).alias("density"),
-                F.coalesce("reliance", F.lit(dims.DEFAULT_RELIANCE)).alias("reliance"))
+                F.coalesce("reliance", F.lit(dims.DEFAULT_RELIANCE)).alias("reliance")),
+        "gap-metrics",
     )
-    whole = Window.partitionBy()
-    scaled = lambda c: min_max(F.col(c), F.min(c).over(whole), F.max(c).over(whole), 0.5)
+    ends = metrics.agg(*[f(c).alias(f"{n}_{c}") for c in ("growth", "strength") for n, f in (("lo", F.min), ("hi", F.max))], F.count("*").alias("n")).first()
+    scaled = lambda c: min_max(F.col(c), F.lit(ends[f"lo_{c}"]), F.lit(ends[f"hi_{c}"]), 0.5)
     ranked = metrics.withColumn("demand", half_up(0.6 * scaled("growth") + 0.4 * scaled("strength"), 9))
-    rank = lambda c: percent_rank_of(F.rank().over(whole.orderBy(c)), F.count("*").over(whole))
+    for c in ("demand", "reliance", "density"):
+        ranked = ranked.join(_shares_below(ranked.select(c), c, ends["n"]), F.col(c) == F.col("value")).drop("value")
     w = dims.GAP_WEIGHTS
-    return (
-        ranked.withColumn("demand_pct", rank("demand"))
-        .withColumn("import_pct", rank("reliance"))
-        .withColumn("density_pct", rank("density"))
-        .select(
-            *CORRIDOR,
-            half_up(F.col("demand"), 6).alias("demand_signal"),
-            "reliance",
-            "density",
-            "demand_pct",
-            "import_pct",
-            "density_pct",
-            half_up(
-                100.0 * (w["demand"] * F.col("demand_pct") + w["imports"] * F.col("import_pct") + w["density"] * (1 - F.col("density_pct"))), 1
-            ).alias("gap_score"),
-        )
+    return ranked.select(
+        *CORRIDOR,
+        half_up(F.col("demand"), 6).alias("demand_signal"),
+        "reliance",
+        "density",
+        F.col("demand_share").alias("demand_pct"),
+        F.col("reliance_share").alias("import_pct"),
+        F.col("density_share").alias("density_pct"),
+        half_up(
+            100.0 * (w["demand"] * F.col("demand_share") + w["imports"] * F.col("reliance_share") + w["density"] * (1 - F.col("density_share"))), 1
+        ).alias("gap_score"),
     )
 
 
@@ -75,11 +88,9 @@ def active_trends(trends: DataFrame, since_ym: int = 200105) -> DataFrame:
 
 def margin_potential(annual: DataFrame) -> DataFrame:
     """Best unit value per category on the direct route, scaled over the categories; all equal gives 0."""
-    best = annual.filter("flow = 'us_to_eu'").groupBy("category").agg(F.max("unit_value").alias("uv"))
-    whole = Window.partitionBy()
-    return best.filter(F.col("uv").isNotNull()).select(
-        "category", min_max(F.col("uv"), F.min("uv").over(whole), F.max("uv").over(whole), 0.0).alias("margin")
-    )
+    best = annual.filter("flow = 'us_to_eu'").groupBy("category").agg(F.max("unit_value").alias("uv")).filter("uv IS NOT NULL")
+    ends = best.agg(F.struct(F.min("uv").alias("lo"), F.max("uv").alias("hi"))).scalar()
+    return best.select("category", min_max(F.col("uv"), ends["lo"], ends["hi"], 0.0).alias("margin"))
 
 
 def composite(

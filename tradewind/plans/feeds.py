@@ -216,7 +216,7 @@ WITH c AS (SELECT trim("companyName") AS name, coalesce("countryCode", CASE WHEN
 SELECT lower(name) AS key, country, name, source FROM (SELECT *, row_number() OVER (PARTITION BY lower(name), country ORDER BY source, name) AS rn FROM c) WHERE rn = 1""")
 def distributor_discovery(t: Tables) -> DataFrame:
     key = F.col("suppkey")
-    booth = F.when(key % 3 == 0, "Producer of goods").when(key % 3 == 1, "Wholesale and Distribution").otherwise("Brand owner")
+    booth = F.when(key % 3 == 0, "Producer of goods").when(key % 3 == 1, "Wholesaler and distributor").otherwise("Brand owner")
     booths = views.exhibitors(t).withColumn("booth", booth)
     return entities.discover_distributors(feeds.candidates(candidate_audits(t)), booths)
 

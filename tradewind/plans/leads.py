@@ -42,7 +42,7 @@ FROM (SELECT d.suppkey, d.country, coalesce(al, 0) AS al, coalesce(act, 0) AS ac
  FROM v_distributors d LEFT JOIN (SELECT suppkey, CAST(count(*) FILTER (WHERE category IN (SELECT category FROM v_all_scores WHERE composite_score >= 60)) AS DOUBLE) / count(*) AS al
    FROM v_dist_cat GROUP BY 1) USING (suppkey) LEFT JOIN (SELECT suppkey, avg(strength) AS act FROM v_intent GROUP BY 1) USING (suppkey))""", True)
 register("v_profiles", "SELECT brand, string_agg(category, ',' ORDER BY category) AS profile FROM v_brand_cat GROUP BY 1")
-register("v_lead_prof", "SELECT l.*, profile FROM v_leads l JOIN v_profiles USING (brand)", True)
+register("v_lead_prof", "SELECT l.*, coalesce(profile, '') AS profile FROM v_leads l LEFT JOIN v_profiles USING (brand)", True)
 register("v_prof_cat", """
 SELECT country, profile, len(string_split(profile, ',')) AS n_categories, unnest(string_split(profile, ',')) AS category FROM (SELECT DISTINCT country, profile FROM v_lead_prof)""", True)
 register("v_match", f"""

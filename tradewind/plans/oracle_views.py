@@ -94,13 +94,13 @@ SELECT CAST(o_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS id
   ELSE 'seasonal_rotation' END AS kind, brand, reporter, o_orderdate AS detected_at
 FROM v_lines WHERE o_orderdate >= TIMESTAMP '2001-08-01' - INTERVAL 90 DAYS AND o_orderdate <= TIMESTAMP '2001-08-01'""",
     "v_dist_cat": """
-SELECT suppkey, category FROM (SELECT suppkey, category, c, sum(c) OVER (PARTITION BY suppkey) AS all_c FROM (
+SELECT suppkey, category FROM (SELECT suppkey, category, c, sum(c) OVER (PARTITION BY suppkey) AS all_c, count(*) OVER (PARTITION BY suppkey) AS k FROM (
   SELECT l_suppkey AS suppkey, p_type AS category, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS c
-  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)) WHERE c * 100 >= all_c * 18""",
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)) WHERE c * k >= all_c""",
     "v_dist_brand": """
-SELECT suppkey, brand FROM (SELECT suppkey, brand, n, sum(n) OVER (PARTITION BY suppkey) AS all_n FROM (
+SELECT suppkey, brand FROM (SELECT suppkey, brand, n, sum(n) OVER (PARTITION BY suppkey) AS all_n, count(*) OVER (PARTITION BY suppkey) AS k FROM (
   SELECT l_suppkey AS suppkey, p_brand AS brand, count(*) AS n
-  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)) WHERE n * 1000 >= all_n * 45""",
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)) WHERE n * k >= all_n""",
     "v_distributors": """
 SELECT s_suppkey AS suppkey, s_name AS name, n_name AS country, r_name AS region, s_acctbal > 0 AS imports,
   s_suppkey % 3 <> 0 AS has_email, s_suppkey % 4 <> 0 AS has_site, s_suppkey % 5 <> 0 AS has_profile,
@@ -109,8 +109,8 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionke
 LEFT JOIN part ON p_partkey = s_suppkey""",
     "v_brand_cells": "SELECT brand, category, partner_region, CAST(sum(cents) AS BIGINT) AS c FROM v_lines GROUP BY ALL",
     "v_brand_cat": """
-SELECT brand, category FROM (SELECT brand, category, sum(c) AS c, sum(sum(c)) OVER (PARTITION BY brand) AS all_c
-  FROM v_brand_cells GROUP BY brand, category) WHERE c * 100 >= all_c * 18""",
+SELECT brand, category FROM (SELECT brand, category, sum(c) AS c, sum(sum(c)) OVER (PARTITION BY brand) AS all_c, count(*) OVER (PARTITION BY brand) AS k
+  FROM v_brand_cells GROUP BY brand, category) WHERE c * k >= all_c""",
     "v_brands": """
 SELECT brand, CAST(c AS DOUBLE) / 100 * CASE num % 4 WHEN 0 THEN 0.002 WHEN 1 THEN 0.02 WHEN 2 THEN 0.2 ELSE 1.0 END AS revenue,
   eu * 100 >= c * 20 AS eu_presence, num % 2 = 0 AS has_store, CASE WHEN num % 5 = 0 THEN 'US' ELSE 'XX' END AS origin

@@ -345,7 +345,7 @@ FROM (SELECT *, CASE WHEN n <= 1 THEN 0.5 ELSE percent_rank() OVER (ORDER BY dem
  FROM (SELECT *, {R("0.6 * CASE WHEN gh = gl THEN 0.5 ELSE (growth - gl) / (gh - gl) END + 0.4 * CASE WHEN sh = sl THEN 0.5 ELSE (strength - sl) / (sh - sl) END", 9)} AS demand
   FROM (SELECT *, min(growth) OVER () AS gl, max(growth) OVER () AS gh, min(strength) OVER () AS sl, max(strength) OVER () AS sh, count(*) OVER () AS n
    FROM (SELECT country, category, growth, coalesce(strength, 0) AS strength, coalesce(density, 0) AS density, coalesce(reliance, 0.30) AS reliance
-    FROM (SELECT country, category, growth FROM v_active ORDER BY growth DESC, country, category LIMIT 200)
+    FROM (SELECT country, category, growth FROM v_active)
     LEFT JOIN v_strength USING (country, category) LEFT JOIN v_density USING (country, category) LEFT JOIN v_reliance USING (country, category)))))""", True)
 register("v_margin", """
 SELECT category, CASE WHEN hi = lo THEN 0 ELSE (uv - lo) / (hi - lo) END AS margin FROM (SELECT category, uv, min(uv) OVER () AS lo, max(uv) OVER () AS hi

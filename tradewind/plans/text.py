@@ -116,15 +116,18 @@ def sentiment(t: Tables) -> DataFrame:
 
 
 _FULL = "CASE WHEN regexp_matches(lower(url), '^https?://') THEN url ELSE 'https://' || url END"
-_ORIGIN = f"lower(regexp_extract({_FULL}, '^([A-Za-z]+://[^/?#:]+)', 1))"
-_HOST = f"lower(regexp_extract({_FULL}, '^[A-Za-z]+://([^/?#:]+)', 1))"
+_HOST = f"lower(regexp_extract({_FULL}, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:@]+)', 1))"
+_PORT = f"regexp_extract({_FULL}, '^[A-Za-z]+://[^/?#]*?:([0-9]+)(?:[/?#]|$)', 1)"
+_SCHEME = f"lower(regexp_extract({_FULL}, '^([A-Za-z]+)://', 1))"
+_ORIGIN = f"{_SCHEME} || '://' || {_HOST} || CASE WHEN {_PORT} IN ('', CASE {_SCHEME} WHEN 'https' THEN '443' ELSE '80' END) THEN '' ELSE ':' || {_PORT} END"
+_PATH = "regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1)"
 _DOMAIN = f"array_to_string(list_transform(string_split(split_part({_HOST}, '.', 1), '-'), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
 
 
 @query("url_parts", f"""
-SELECT page_id, {_ORIGIN} AS origin, {_ORIGIN} || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/$', '') AS origin_path, {_DOMAIN} AS domain_name,
- regexp_replace(regexp_replace({_HOST}, '^www\\.', ''), '[^a-z0-9]+', '-', 'g') AS slug,
- CASE split_part({_HOST}, '.', -1) WHEN 'com' THEN 'US' WHEN 'org' THEN 'US' WHEN 'net' THEN 'US' WHEN 'de' THEN 'DE' WHEN 'fr' THEN 'FR' WHEN 'es' THEN 'ES' WHEN 'uk' THEN 'GB' WHEN 'io' THEN 'GB' END AS country FROM pages""")
+SELECT page_id, {_ORIGIN} AS origin, {_ORIGIN} || CASE {_PATH} WHEN '' THEN '/' ELSE {_PATH} END AS origin_path, {_DOMAIN} AS domain_name,
+ regexp_replace(split_part(regexp_replace({_HOST}, '^www\\.', ''), '.', 1), '[^a-z0-9-]', '-', 'g') AS slug,
+ CASE split_part({_HOST}, '.', -1) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in dims.TLD_COUNTRY.items())} END AS country FROM pages""")
 def url_parts(t: Tables) -> DataFrame:
     return pages.url_parts(t.read("pages"))
 

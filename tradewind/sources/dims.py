@@ -67,15 +67,18 @@ TIER_BASE = {
 TARGET_MARKETS = ["NATION_3", "NATION_8", "NATION_13", "NATION_18", "NATION_23"]
 FLAG_ORDER = {"low": 1, "medium": 2, "high": 3}
 
-# Regulatory flags (category, market, risk, kind, description). EU means every market.
+# Regulatory flags made for the test categories (category, market, risk, kind, description). EU means every market.
 REGULATORY_FLAGS = [
-    ("SMALL", "NATION_3", "high", "certification", "Notification is mandatory before sale"),
-    ("SMALL", "NATION_8", "medium", "certification", "A positive ingredient list applies"),
-    ("SMALL", "EU", "high", "novel_food", "New ingredients need an authorisation"),
-    ("ECONOMY", "EU", "medium", "labelling", "Allergen labelling rules differ"),
-    ("ECONOMY", "EU", "medium", "ingredient_restriction", "Some colours need a warning label"),
-    ("LARGE", "EU", "medium", "ingredient_restriction", "A list of substances is restricted"),
-    ("ECONOMY", "EU", "low", "labelling", "Organic claims need a certificate"),
+    ("MEDIUM", "EU", "low", "packaging", "Packaging has to be registered by volume"),
+    ("PROMO", "NATION_2", "high", "advertising", "Prize draws need a licence"),
+    ("PROMO", "EU", "low", "advertising", "Terms of an offer stand on the pack"),
+    ("LARGE", "NATION_11", "medium", "transport", "Oversize loads need a permit"),
+    ("STANDARD", "NATION_17", "low", "language", "Manuals in the local language"),
+    ("ECONOMY", "NATION_6", "medium", "pricing", "Unit prices have to be shown"),
+    ("MEDIUM", "NATION_20", "high", "safety", "Each batch is tested before sale"),
+    ("SMALL", "NATION_14", "medium", "safety", "A warning on small parts"),
+    ("LARGE", "EU", "low", "energy", "Energy use class on the label"),
+    ("SMALL", "NATION_6", "low", "waste", "Take-back scheme for old devices"),
 ]
 
 # Alert and approval rules (name, metric, threshold, action).
@@ -163,7 +166,21 @@ CATEGORY_ALIASES = {
 }
 
 # Top-level domain to market.
-TLD_COUNTRY = {"com": "US", "org": "US", "net": "US", "de": "DE", "fr": "FR", "es": "ES", "uk": "GB", "io": "GB"}
+TLD_COUNTRY = {
+    "de": "DE",
+    "fr": "FR",
+    "nl": "NL",
+    "be": "BE",
+    "es": "ES",
+    "it": "IT",
+    "uk": "GB",
+    "co": "GB",
+    "ie": "IE",
+    "at": "AT",
+    "pl": "PL",
+    "se": "SE",
+    "dk": "DK",
+}
 
 # Chapter prefix to category for commodity codes; the four-digit prefix is tested first.
 CHAPTER_CATEGORY = {
@@ -257,10 +274,10 @@ DESCRIPTION_RULES = [
 ]
 
 # Job titles that show a buying role.
-BUYER_ROLES = ["buyer", "purchasing", "procurement", "sourcing"]
+BUYER_ROLES = ["buyer", "purchasing", "procurement", "category manager", "buying manager", "head of buying", "sourcing"]
 
 # Strength of each kind of buying evidence.
 INTENT_STRENGTH = {"category": 0.3, "description": 0.4, "show": 0.7, "job": 0.9}
 
 # Words in booth information that mark a distributor.
-DISTRIBUTOR_WORDS = ["distribut", "wholesale", "import"]
+DISTRIBUTOR_WORDS = ["distributor", "importer", "wholesaler", "buyer", "procurement", "import"]

@@ -8,6 +8,8 @@ and a lost executor costs a re-read, not a recomputation. What is staged is boun
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,14 +19,22 @@ _LOCAL: dict[str, str] = {}
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set, as in local tests."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session, whose tasks share the machine's disk, may go without: it gets a temporary folder that
+    is removed when the process ends. On a cluster a missing setting is an error, because executors would
+    write where nobody else can read.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _LOCAL[app]
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = folder = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return _LOCAL[context.applicationId]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

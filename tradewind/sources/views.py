@@ -271,27 +271,27 @@ def activity(t: Tables, days: int = 90) -> DataFrame:
 
 
 def distributor_categories(t: Tables) -> DataFrame:
-    """(supplier, product type) pairs holding at least 18 % of the supplier's revenue."""
+    """(supplier, product type) pairs with at least the mean revenue of the supplier's types, so every supplier has one at any size."""
     totals = (
         t.read("lineitem")
         .join(t.read("part"), F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(F.col("l_suppkey").alias("suppkey"), F.col("p_type").alias("category"))
         .agg(F.sum(cents(F.col("l_extendedprice"))).alias("c"))
     )
-    whole = totals.groupBy("suppkey").agg(F.sum("c").alias("all_c"))
-    return totals.join(whole, "suppkey").filter(F.col("c") * 100 >= F.col("all_c") * 18).select("suppkey", "category")
+    whole = totals.groupBy("suppkey").agg(F.sum("c").alias("all_c"), F.count("*").alias("n_types"))
+    return totals.join(whole, "suppkey").filter(F.col("c") * F.col("n_types") >= F.col("all_c")).select("suppkey", "category")
 
 
 def distributor_brands(t: Tables) -> DataFrame:
-    """(supplier, brand) pairs holding at least 4.5 % of the supplier's lines."""
+    """(supplier, brand) pairs with at least the mean number of lines of the supplier's brands."""
     counts = (
         t.read("lineitem")
         .join(t.read("part"), F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(F.col("l_suppkey").alias("suppkey"), F.col("p_brand").alias("brand"))
         .agg(F.count("*").alias("n"))
     )
-    whole = counts.groupBy("suppkey").agg(F.sum("n").alias("all_n"))
-    return counts.join(whole, "suppkey").filter(F.col("n") * 1000 >= F.col("all_n") * 45).select("suppkey", "brand")
+    whole = counts.groupBy("suppkey").agg(F.sum("n").alias("all_n"), F.count("*").alias("n_brands"))
+    return counts.join(whole, "suppkey").filter(F.col("n") * F.col("n_brands") >= F.col("all_n")).select("suppkey", "brand")
 
 
 def distributors(t: Tables) -> DataFrame:
@@ -319,9 +319,10 @@ def brand_cells(t: Tables) -> DataFrame:
 
 
 def brand_categories(cells: DataFrame) -> DataFrame:
+    """(brand, product type) pairs with at least the mean revenue of the brand's types, so every brand has one at any size."""
     by_type = cells.groupBy("brand", "category").agg(F.sum("c").alias("c"))
-    whole = by_type.groupBy("brand").agg(F.sum("c").alias("all_c"))
-    return by_type.join(whole, "brand").filter(F.col("c") * 100 >= F.col("all_c") * 18).select("brand", "category")
+    whole = by_type.groupBy("brand").agg(F.sum("c").alias("all_c"), F.count("*").alias("n_types"))
+    return by_type.join(whole, "brand").filter(F.col("c") * F.col("n_types") >= F.col("all_c")).select("brand", "category")
 
 
 def brands(cells: DataFrame) -> DataFrame:
