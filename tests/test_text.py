@@ -101,3 +101,16 @@ def test_substring_match_equals_brute_force(spark):
         return min(hits) if hits else None
 
     assert got == {a: brute(a) for a in asked}
+
+
+def test_substring_candidates_grow_in_proportion_and_lose_nothing(spark):
+    def pairs(n):
+        names = spark.range(n).select("id", F.format_string("Supplier#%09d", F.col("id")).alias("name"))
+        queries = names.withColumn("name", F.when(F.col("id") % 3 == 0, F.substring("name", 10, 9)).otherwise(F.col("name")))
+        return entities.substring_candidates(queries, names).count()
+
+    assert pairs(4000) <= 5 * pairs(1000)
+    targets = [(1, "Acme Trading Co"), (2, "acme"), (3, "North Acme Trading"), (4, "me")]
+    wanted = {"acme": 1, "Acme Trading": 1, "North acme": 3, "me": None, "e t": 1, "Trading Company Limited": None}
+    got = entities.substring_match(spark.createDataFrame([(k,) for k in wanted], "name string"), spark.createDataFrame(targets, "id int, name string"))
+    assert {r["name"]: r["id"] for r in got.collect()} == wanted

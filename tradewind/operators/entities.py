@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tradewind.functions import text
 from tradewind.sources import dims
 
-GRAM = 3
+#: Shortest name that is matched, and the longest gram that names are joined on.
+GRAM, LONG_GRAM = 3, 12
 
 
 def clean_query(name: Column) -> Column:
@@ -18,31 +19,40 @@ def clean_target(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, "[^a-zA-Z0-9 ]", ""))
 
 
-def _grams(name: Column) -> Column:
-    at = F.sequence(F.lit(1), F.length(name) - (GRAM - 1))
-    return F.array_distinct(F.transform(at, lambda i: F.substr(name, i, F.lit(GRAM))))
+def _grams(name: Column, size: Column) -> Column:
+    """Different substrings of one size; none of a shorter name."""
+    n = F.length(name) - size + 1
+    at = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.substr(name, i, size)))
 
 
-def substring_match(queries: DataFrame, targets: DataFrame) -> DataFrame:
-    """First target (lowest id) whose cleaned name contains the cleaned query name.
+def substring_candidates(queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """(q, id, t): cleaned queries with the targets that share the query's rarest gram.
 
-    A target that contains a query contains every 3-gram of it, so joining on any one gram loses
-    nothing. The query's rarest gram is used, and a gram no target has rules the query out, so a
-    common gram never brings its whole list together. ``queries`` has ``name``, ``targets`` has
-    (``id``, ``name``). Work is per distinct cleaned name.
+    A target that contains a query contains every gram of it, so joining on any one gram loses nothing. A
+    query of up to LONG_GRAM characters is its own gram, so all its candidates are hits; a longer one uses
+    its rarest gram of that size, and a gram no target has rules it out. Work is per distinct cleaned name.
     """
-    q = queries.select(clean_query(F.col("name")).alias("q")).filter(F.length("q") >= GRAM).distinct()
+    q = queries.select(clean_query(F.col("name")).alias("q")).filter(F.length("q") >= GRAM).distinct().withColumn("size", F.least(F.length("q"), F.lit(LONG_GRAM)))
     t = targets.select("id", clean_target(F.col("name")).alias("t")).filter(F.length("t") >= GRAM)
-    by_gram = t.select("id", "t", F.explode(_grams(F.col("t"))).alias("gram"))
+    sizes = [r["size"] for r in q.select("size").distinct().collect()]  # LONG_GRAM - GRAM + 1 at most
+    by_gram = t.select("id", "t", F.explode(F.concat(F.array().cast("array<string>"), *[_grams(F.col("t"), F.lit(n)) for n in sizes])).alias("gram"))
     frequency = by_gram.groupBy("gram").agg(F.count("*").alias("df"))
-    # Cleaned targets use 37 characters, so there are at most 37^3 = 50,653 gram counts: safe to broadcast.
-    wanted = q.select("q", F.explode(_grams(F.col("q"))).alias("gram")).join(F.broadcast(frequency), "gram", "left")
+    wanted = q.select("q", F.explode(_grams(F.col("q"), F.col("size"))).alias("gram")).join(frequency, "gram", "left")
     rarest = (
         wanted.groupBy("q")
         .agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"), F.count_if(F.col("df").isNull()).alias("missing"))
         .filter("missing = 0")
     )
-    hits = rarest.join(by_gram, "gram").filter(F.col("t").contains(F.col("q")))
+    return rarest.join(by_gram, "gram").select("q", "id", "t")
+
+
+def substring_match(queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """First target (lowest id) whose cleaned name contains the cleaned query name.
+
+    ``queries`` has ``name``, ``targets`` has (``id``, ``name``).
+    """
+    hits = substring_candidates(queries, targets).filter(F.col("t").contains(F.col("q")))
     first = hits.groupBy("q").agg(F.min("id").alias("id"))
     return queries.withColumn("q", clean_query(F.col("name"))).join(first, "q", "left").drop("q")
 
