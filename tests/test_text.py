@@ -19,7 +19,7 @@ def test_sentiment(spark, reply, want):
 
 def test_string_leaves_skip_keys_and_numbers(spark):
     doc = '{"a": "one", "n": 5, "list": ["two", {"b": "th\\"ree"}]}'
-    assert one(spark, text.string_leaves(F.col("j")), j=doc) == 'one two th\\"ree'
+    assert one(spark, text.string_leaves(F.col("j")), j=doc) == 'one two th"ree'
 
 
 def test_sku_patterns_in_order(spark):
@@ -64,6 +64,18 @@ def test_small_parsers(spark):
     assert one(spark, text.clean_category(F.col("t")), t="  Men's   Clothing! ") == "mens clothing"
 
 
+def test_json_leaves_are_decoded(spark):
+    assert one(spark, text.string_leaves(F.col("j")), j='{"a": "caf\\u00e9 \\"x\\"", "b": ["y\\nz"]}') == 'café "x" y\nz'
+
+
+def test_meta_in_any_order_and_quotes(spark):
+    page = "<title>A &amp; B</title><meta content='one &lt; two' name='Description'><meta property=\"og:title\" content=\"T\">"
+    assert one(spark, text.meta(F.col("h"), "name", "description"), h=page) == "one < two"
+    assert one(spark, text.meta(F.col("h"), "property", "og:title"), h=page) == "T"
+    assert one(spark, text.meta(F.col("h"), "property", "og:site_name"), h=page) is None
+    assert one(spark, text.title(F.col("h")), h=page) == "A & B"
+
+
 HTML = """<html><head><title>Shop | Acme Foods</title><meta property="og:site_name" content="Acme"></head>
 <body><img src="a" alt="Nordic Trade"><img alt="logo small"><ul><li>Baltic <b>Import</b></li><li>7 days</li></ul><h2>Brand A</h2>
 <a href="/about">About</a><a href="/stock">Where to buy</a>

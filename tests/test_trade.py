@@ -49,3 +49,17 @@ def test_market_share_and_saturation(spark):
     row = trade.market_share(spark.createDataFrame(rows, "country string, category string, year int, world double, us double, cn double, gb double")).first()
     assert (row["us_share_pct"], row["share_change_pct"], row["share_trend"], row["row_share_pct"]) == (40.0, 20.0, "gaining", 30.0)
     assert row["growth_vs_market"] == 3.0 and row["saturation_risk"] == 90.0
+
+
+def test_every_corridor_has_a_gap_score(spark):
+    from tradewind.operators import scores
+
+    n = 300
+    trends = spark.range(n).selectExpr("concat('C', id) AS country", "'X' AS category", "id / 10.0D AS growth")
+    blank = "country string, category string, {} double"
+    none = lambda c: spark.createDataFrame([], blank.format(c))
+    rows = scores.gap_scores(trends, none("strength"), none("density"), none("reliance")).collect()
+    assert len(rows) == n and all(r["gap_score"] is not None for r in rows)
+    share = {r["country"]: r["demand_pct"] for r in rows}
+    assert share["C0"] == 0 and share["C299"] == 1 and share["C150"] == pytest.approx(150 / 299)
+    assert scores.gap_scores(trends, none("strength"), none("density"), none("reliance"), limit=20).count() == 20

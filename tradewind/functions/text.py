@@ -156,11 +156,16 @@ def price_range(text: Column) -> Column:
     )
 
 
+def _unescaped(leaf: Column) -> Column:
+    """A JSON string without its quotes, decoded by the JSON reader."""
+    return F.get_json_object(F.concat(F.lit('{"v":"'), leaf, F.lit('"}')), "$.v")
+
+
 def string_leaves(json: Column) -> Column:
-    """All string values of a JSON document as one text; a string followed by a colon is a key."""
+    """All string values of a JSON document as one text, escapes decoded; a string followed by a colon is a key."""
     pattern = F.lit(r'"((?:[^"\\]|\\.)*)"(\s*:)?')
     pairs = F.arrays_zip(F.regexp_extract_all(json, pattern, 1).alias("text"), F.regexp_extract_all(json, pattern, 2).alias("colon"))
-    return F.array_join(F.transform(F.filter(pairs, lambda p: p["colon"] == ""), lambda p: p["text"]), " ")
+    return F.array_join(F.transform(F.filter(pairs, lambda p: p["colon"] == ""), lambda p: _unescaped(p["text"])), " ")
 
 
 def confidence(score: Column, brand: Column, descriptor: Column, groups: Column) -> Column:
@@ -279,13 +284,30 @@ def strip_tags(html: Column) -> Column:
 
 
 def title(html: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
+    return F.nullif(F.trim(decoded(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))), F.lit(""))
 
 
-def meta(html: Column, attribute: str, name: str) -> Column:
-    return F.nullif(
-        F.trim(F.regexp_extract(html, rf'(?is)<meta[^>]+{attribute}="{name}"[^>]+content="([^"]*)"', 1)), F.lit("")
-    )
+# Named character references that are decoded; the ampersand comes last, so nothing is decoded twice.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+
+
+def decoded(text: Column) -> Column:
+    for name, character in ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(character))
+    return text
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute in either kind of quotes; empty if the tag lacks it."""
+    double = F.regexp_extract(tag, rf'(?is)\s{name}\s*=\s*"([^"]*)"', 1)
+    return F.when(double != "", double).otherwise(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*'([^']*)'", 1))
+
+
+def meta(html: Column, key: str, value: str) -> Column:
+    """Content of the first meta tag with the key, attributes in any order, entities decoded; NULL when absent or blank."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\s[^>]*>"), 0)
+    named = F.filter(tags, lambda t: F.lower(attribute(t, key)) == value)
+    return F.nullif(F.trim(decoded(attribute(F.get(named, F.lit(0)), "content"))), F.lit(""))
 
 
 # Markers of a shop platform in a page.
@@ -326,12 +348,12 @@ def image_alts(html: Column) -> Column:
 
 
 def company_names(html: Column) -> Column:
-    """Image texts and list items that look like names, distinct, at most 40 as the report shows."""
+    """Image texts and list items that look like names, distinct."""
     alts = F.filter(image_alts(html), lambda a: (F.length(a) > 2) & (F.length(a) < 80) & ~a.rlike("(?i)logo|icon|banner"))
     items = F.filter(
         F.concat(elements(html, "li"), elements(html, "td")), lambda x: (F.length(x) > 2) & (F.length(x) < 80) & ~x.rlike(r"^\d")
     )
-    return F.slice(F.array_distinct(F.concat(alts, items)), 1, 40)
+    return F.array_distinct(F.concat(alts, items))
 
 
 def brand_names(html: Column) -> Column:
@@ -340,7 +362,7 @@ def brand_names(html: Column) -> Column:
         F.regexp_extract_all(html, F.lit(r"(?is)<h[234](?:\s[^>]*)?>(.*?)</h[234]>"), 1), strip_tags
     )
     kept = F.filter(heads, lambda x: (F.length(x) > 1) & (F.length(x) < 60))
-    return F.slice(F.array_distinct(F.concat(alts, kept)), 1, 60)
+    return F.array_distinct(F.concat(alts, kept))
 
 
 def anchors(html: Column) -> Column:

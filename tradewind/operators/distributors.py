@@ -190,14 +190,14 @@ def regulatory_risk(profiles: DataFrame, flags: DataFrame) -> DataFrame:
     )
 
 
-def coverage(categories: DataFrame, distributors: DataFrame, corridors: DataFrame) -> DataFrame:
-    """Distributors per corridor with up to ten names; one or none is a gap."""
+def coverage(categories: DataFrame, distributors: DataFrame, corridors: DataFrame, shown: int = 10) -> DataFrame:
+    """Distributors per corridor, all counted, with the first ``shown`` names for the report; one or none is a gap."""
     key = ["country", "category"]
     local = categories.join(distributors.select("suppkey", "name", "country"), "suppkey")
     w = Window.partitionBy(*key).orderBy("name")
     names = (
         local.withColumn("rn", F.row_number().over(w))
-        .filter("rn <= 10")
+        .filter(F.col("rn") <= shown)
         .groupBy(*key)
         .agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("names"))
     )

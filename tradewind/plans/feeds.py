@@ -44,8 +44,7 @@ SELECT flow, partner, ym, chapter, category, value AS trade_value, weight AS net
 def feed_parse(t: Tables) -> DataFrame:
     feed = trade_feed(t)
     names = list(dict.fromkeys(dims.FLOW_ROUTES.values()))
-    split = {name: feed.filter(F.col("flow") == name).drop("flow") for name in names}
-    rows = feeds.trade_rows(feeds.union_feeds(split))
+    rows = feeds.trade_rows(feed.filter(F.col("flow").isin(names)))
     return rows.select("flow", "partner", "ym", "chapter", "category", "trade_value", "net_weight", "unit_value")
 
 
@@ -186,10 +185,10 @@ def fuzzy_entity(t: Tables) -> DataFrame:
 
 @query("url_match", """
 WITH o AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z]+://[^/?#:]+)', 1)) AS origin FROM pages)
-SELECT o.page_id, o.url, o.origin, k.owner FROM o LEFT JOIN (SELECT origin, min(page_id) AS owner FROM o WHERE page_id % 10 = 0 GROUP BY 1) k USING (origin)""")
+SELECT o.page_id, o.url, o.origin, k.owner FROM o LEFT JOIN (SELECT origin, min(page_id) AS owner FROM o GROUP BY 1) k USING (origin)""")
 def url_match(t: Tables) -> DataFrame:
     pages = t.read("pages")
-    known = pages.filter(F.col("page_id") % 10 == 0).select(F.regexp_replace("url", "^http", "HTTP").alias("site"), F.col("page_id").alias("owner"))
+    known = pages.select(F.regexp_replace("url", "^http", "HTTP").alias("site"), F.col("page_id").alias("owner"))
     return entities.url_match(pages.select("page_id", "url"), known)
 
 
@@ -226,11 +225,15 @@ def distributor_discovery(t: Tables) -> DataFrame:
 CORRIDOR_KEYS = ["country", "category"]
 
 
+def start_of_month(ym: int) -> str:
+    return f"{ym // 100}-{ym % 100:02d}-01"
+
+
 def _monthly_rows(t: Tables, start: int, end: int) -> DataFrame:
-    """Latest monthly total per corridor within a span of months."""
+    """Latest monthly total per corridor within a span of months; both ends count."""
+    until = start_of_month(end + 1 if end % 100 < 12 else end + 89)
     months = (
-        views.corridor_cube(t, start=f"{start // 100}-{start % 100:02d}-01", until=f"{end // 100}-{end % 100 + 1:02d}-01")
-        .filter(F.col("ym").between(start, end))
+        views.corridor_cube(t, start=start_of_month(start), until=until)
         .groupBy(F.col("partner").alias("country"), "category", "ym")
         .agg(F.sum("cents").alias("cents"))
     )
@@ -239,12 +242,14 @@ def _monthly_rows(t: Tables, start: int, end: int) -> DataFrame:
 
 register("v_corridor_months", "SELECT partner AS country, category, ym, CAST(sum(cents) AS BIGINT) AS cents FROM v_cube GROUP BY 1, 2, 3", True)
 _LATEST = "SELECT country, category, max(ym) AS ym, arg_max(cents, ym) AS cents FROM v_corridor_months WHERE ym BETWEEN {0} AND {1} GROUP BY 1, 2"
-register("v_old_rows", _LATEST.format(199901, 199906))
-register("v_new_rows", _LATEST.format(199907, 199909) + " HAVING country < 'NATION_2'")
+# The whole table: history up to a month, and what came after it.
+OLD_MONTHS, NEW_MONTHS = (190001, 199912), (200001, 299912)
+register("v_old_rows", _LATEST.format(*OLD_MONTHS))
+register("v_new_rows", _LATEST.format(*NEW_MONTHS))
 
 
 def _rows(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return _monthly_rows(t, 199901, 199906), _monthly_rows(t, 199907, 199909).filter(F.col("country") < "NATION_2")
+    return _monthly_rows(t, *OLD_MONTHS), _monthly_rows(t, *NEW_MONTHS)
 
 
 @query("upsert_latest", "SELECT * FROM v_new_rows UNION ALL SELECT * FROM v_old_rows o WHERE NOT EXISTS (SELECT 1 FROM v_new_rows n WHERE n.country = o.country AND n.category = o.category)")

@@ -132,7 +132,13 @@ def url_parts(t: Tables) -> DataFrame:
     return pages.url_parts(t.read("pages"))
 
 
-_TITLE = "nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '')"
+def _decoded_sql(value: str) -> str:
+    for name, character in text.ENTITIES:
+        value = f"replace({value}, '{name}', '{character.replace(chr(39), chr(39) * 2)}')"
+    return value
+
+
+_TITLE = f"""nullif(trim({_decoded_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}), '')"""
 
 
 @query("html_meta", f"""

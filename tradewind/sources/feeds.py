@@ -33,7 +33,10 @@ def chapter_category(chapter_code: Column) -> Column:
 
 
 def trade_rows(feed: DataFrame, payload: str = "payload") -> DataFrame:
-    """Annual or monthly statistics rows: month from period or year and month, cleaned code, unit value."""
+    """Annual or monthly statistics rows of all feeds in one pass: month from period or year and month, cleaned code, unit value.
+
+    Rows keep the columns beside the payload, such as the name of their feed.
+    """
     r = F.from_json(payload, STAT_ROW)
     return (
         feed.withColumn("r", r)
@@ -51,15 +54,6 @@ def trade_rows(feed: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
-def union_feeds(feeds: dict[str, DataFrame], name: str = "flow") -> DataFrame:
-    """One frame from several feeds of the same shape, each row marked with its feed."""
-    out = None
-    for label, df in feeds.items():
-        part = df.withColumn(name, F.lit(label))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def cube_cells(cubes: DataFrame, keys: list[str], payload: str = "payload") -> DataFrame:
     """Cells of a geo x time cube by flat index geo * nTime + time, for every value present."""
     c = F.from_json(payload, CUBE)
