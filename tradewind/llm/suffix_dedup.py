@@ -15,7 +15,8 @@ neighbours' prefixes matters, so prefixes are sorted by their fingerprints.
    named by their first LENGTH bytes, dealt out by range and sorted.
 4. *Compare adjacent prefixes.* Equal neighbours are repeated strings; their union per document is removed.
 
-Texts are dealt to blocks once; blocks and ranges have a bounded size whatever the corpus (``tally``). A string
+Whole copies are found first by hashes of their texts: one of each group is sorted for all, counted twice, and the others
+are removed as they are. Texts are dealt to blocks once; blocks and ranges have a bounded size whatever the corpus (``tally``). A string
 that repeats very often costs one entry a block.
 
 Defined cases: a null text counts as empty; documents below LENGTH bytes lose nothing; identical documents of
@@ -30,16 +31,19 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tradewind.llm import tally
 from tradewind.llm.common import arrow_table, corpus_size, raw_texts, seeded, sha256_hex, stir, texts
+from tradewind.sources.stages import stage
 
 LENGTH = 200
 #: A perfect difference set: every residue but 0 is the difference of just one pair.
 PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 BLOCK = (LENGTH - PERIOD + 1) // 3
-SAMPLED, WHOLE = 1, 2
+COPIES, SAMPLED, WHOLE = 0, 1, 2
 SEGMENT = 1 << 17
 BLOCK_BYTES = 2 << 20
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -96,18 +100,26 @@ _TRIPLE = seeded("triple", 3)
 class Block:
     """The texts of one block laid end to end."""
 
-    def __init__(self, table: pa.Table) -> None:
+    def __init__(self, table: pa.Table, flags: pa.Table) -> None:
         self.items = raw_texts(table)
         self.sizes = np.array([len(x) for x in self.items], dtype=np.int64)
         self.ends = np.cumsum(self.sizes)
         self.data = np.frombuffer(b"".join(self.items), dtype=np.uint8)
+        #: How often a document counts: twice for one that stands for its copies, which do not count at all.
+        self.weights = np.ones(len(self.items), dtype=np.int64)
+        own = flags.filter(pa.compute.equal(flags.column("kind"), COPIES))
+        here = {h: bool(f[0]) for h, f in zip(own.column("bucket").to_pylist(), own.column("totals").to_pylist())}
+        for i, text in enumerate(self.items if here else ()):
+            if len(text) >= LENGTH and (h := signed_hash(text)) in here:
+                self.weights[i] = 2 if here[h] else 0
+                here[h] = False
 
     def samples(self) -> np.ndarray:
         """Places of sampled suffixes in documents long enough, with all their three blocks inside the document."""
         cover = np.array(COVER, dtype=np.int64)
         parts = [np.zeros(0, np.int64)]
-        for end, size in zip(self.ends, self.sizes):
-            if size >= LENGTH:
+        for end, size, weight in zip(self.ends, self.sizes, self.weights):
+            if size >= LENGTH and weight:
                 periods = np.arange(-(-size // PERIOD), dtype=np.int64) * PERIOD
                 own = (periods[:, None] + cover[None, :]).reshape(-1)
                 parts.append(own[own <= size - 3 * BLOCK] + (end - size))
@@ -126,14 +138,38 @@ class Block:
         last = np.minimum(repeated, self.ends[doc] - LENGTH)
         return from_spans(*merged(first, last + 1))
 
+    def weight_at(self, places: np.ndarray) -> np.ndarray:
+        return self.weights[np.searchsorted(self.ends, places, side="right")]
+
     def removed(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and end place, and document, of the removed runs."""
+        """First and end place, and document, of the removed runs: of repeated strings, and copies as a whole."""
         doc = np.searchsorted(self.ends, starts, side="right")
-        if not len(starts):
-            return starts, starts, doc
-        new = np.concatenate([[True], (starts[1:] > starts[:-1] + LENGTH) | (doc[1:] != doc[:-1])])
+        new = np.concatenate([[True], (starts[1:] > starts[:-1] + LENGTH) | (doc[1:] != doc[:-1])])[: len(starts)]
         at = np.flatnonzero(new)
-        return starts[at], starts[np.concatenate([at[1:], [len(starts)]]) - 1] + LENGTH, doc[at]
+        last = starts[np.concatenate([at[1:], [len(starts)]]) - 1] + LENGTH if len(starts) else starts
+        copies = np.flatnonzero(self.weights == 0)
+        first = np.concatenate([starts[at], self.ends[copies] - self.sizes[copies]])
+        order = np.argsort(first, kind="stable")
+        return first[order], np.concatenate([last, self.ends[copies]])[order], np.concatenate([doc[at], copies])[order]
+
+
+def signed_hash(text: bytes) -> int:
+    """What ``xxhash64`` gives for the text."""
+    h = xxhash.xxh64_intdigest(text, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def copy_flags(blocked: DataFrame) -> DataFrame:
+    """For each block and each text with copies, the text's hash and whether the block holds the copy that counts.
+
+    Shaped as totals, so that it travels with them. Texts are equal if their xxhash64, crc32 and length are.
+    """
+    key = ["bucket", "crc", "n"]
+    hashed = blocked.select("block", F.xxhash64("text").alias("bucket"), F.crc32("text").alias("crc"), F.octet_length("text").alias("n")).filter(F.col("n") >= LENGTH)
+    by_block = hashed.groupBy(*key, "block").agg(F.count(F.lit(1)).alias("k"))
+    groups = by_block.groupBy(*key).agg(F.sum("k").alias("copies"), F.min("block").alias("first")).filter("copies > 1")
+    flag = F.when(F.col("block") == F.col("first"), F.lit(b"\x01")).otherwise(F.lit(b"\x00"))
+    return stage(by_block.join(groups, key).select(F.lit(COPIES).alias("kind"), "bucket", "block", flag.alias("totals")), "copies")
 
 
 def merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,20 +193,23 @@ def _repeats(rows: DataFrame, finish: Callable[[pa.Table, Block, tuple], pa.Tabl
     """``finish(table, block, removed runs)`` for every block of ``rows``, which hold doc_id, text and more."""
     _, text_bytes = corpus_size(rows)
     sample_bits = tally.bucket_bits(text_bytes * len(COVER) / PERIOD)
-    whole_bits = tally.bucket_bits(text_bytes * 0.5)
+    whole_bits = tally.bucket_bits(text_bytes * 0.15)
     blocked = tally.blocks(rows, text_bytes, BLOCK_BYTES)
 
-    def asked(kind: int, block: int, keys: np.ndarray, bits: int) -> pa.Table:
-        unique, counts = np.unique(keys, return_counts=True)
-        return tally.asked_table(list(tally.ask(kind, block, unique, counts, bits, short=kind == SAMPLED)))
+    def asked(kind: int, number: int, block: Block, places: np.ndarray, keys: np.ndarray, bits: int) -> pa.Table:
+        unique, _, counts = tally.counted(keys, block.weight_at(places))
+        return tally.asked_table(list(tally.ask(kind, number, unique, counts, bits, short=kind == SAMPLED)))
 
     def repeated(keys: np.ndarray, kind: int, totals: pa.Table) -> np.ndarray:
         _, place = np.unique(keys, return_inverse=True)
         return tally.answers(totals, kind, np.uint8)[place] > 1
 
-    def ask_samples(table: pa.Table) -> pa.Table:
-        block = Block(table)
-        return asked(SAMPLED, table.column("block")[0].as_py(), block.triples(block.samples()), sample_bits)
+    def ask_samples(table: pa.Table, flags: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return tally.asked_table([])
+        block = Block(table, flags)
+        samples = block.samples()
+        return asked(SAMPLED, table.column("block")[0].as_py(), block, samples, block.triples(samples), sample_bits)
 
     def remaining(block: Block, totals: pa.Table) -> np.ndarray:
         samples = block.samples()
@@ -179,21 +218,24 @@ def _repeats(rows: DataFrame, finish: Callable[[pa.Table, Block, tuple], pa.Tabl
     def ask_remaining(table: pa.Table, totals: pa.Table) -> pa.Table:
         if not table.num_rows:
             return tally.asked_table([])
-        block = Block(table)
-        return asked(WHOLE, table.column("block")[0].as_py(), names("whole").at(block.data, remaining(block, totals), LENGTH), whole_bits)
+        block = Block(table, totals)
+        starts = remaining(block, totals)
+        return asked(WHOLE, table.column("block")[0].as_py(), block, starts, names("whole").at(block.data, starts, LENGTH), whole_bits)
 
     def end(table: pa.Table, totals: pa.Table) -> pa.Table:
         if not table.num_rows:
             return empty()
-        block = Block(table)
+        block = Block(table, totals)
         starts = remaining(block, totals)
         if len(starts):
             starts = starts[repeated(names("whole").at(block.data, starts, LENGTH), WHOLE, totals)]
         return finish(table, block, block.removed(starts))
 
     by_block = blocked.groupBy("block")
-    sampled = tally.totals(by_block.applyInArrow(ask_samples, tally.ASKED), (SAMPLED,), {SAMPLED: 2, WHOLE: 2})
-    whole = tally.totals(by_block.cogroup(sampled.groupBy("block")).applyInArrow(ask_remaining, tally.ASKED), (SAMPLED,), {SAMPLED: 2, WHOLE: 2})
+    flags = copy_flags(blocked)
+    capped = {SAMPLED: 2, WHOLE: 2}
+    sampled = tally.totals(by_block.cogroup(flags.groupBy("block")).applyInArrow(ask_samples, tally.ASKED), (SAMPLED,), capped).unionByName(flags)
+    whole = tally.totals(by_block.cogroup(sampled.groupBy("block")).applyInArrow(ask_remaining, tally.ASKED), (SAMPLED,), capped)
     return by_block.cogroup(sampled.unionByName(whole).groupBy("block")).applyInArrow(end, ddl)
 
 

@@ -37,6 +37,17 @@ def bucket_bits(expected_keys: float, bucket_keys: int = BUCKET_KEYS) -> int:
     return max(1, int(np.ceil(np.log2(max(2.0, expected_keys / bucket_keys)))))
 
 
+def packed(ordered: np.ndarray) -> bytes:
+    """Ascending keys as differences, whose high bytes are zero and vanish in the shuffle's compression."""
+    steps = ordered.copy()
+    steps[1:] -= ordered[:-1]
+    return planes(steps)
+
+
+def unpacked(data: bytes, dtype) -> np.ndarray:
+    return np.cumsum(unplanes(data, dtype), dtype=dtype)
+
+
 def counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different keys in order, each occurrence's place among them, and the sums of the weights."""
     unique, place = np.unique(keys, return_inverse=True)
@@ -51,7 +62,7 @@ def ask(kind: int, block: int, keys: np.ndarray, counts: np.ndarray, bits: int,
     cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(keys)]])
     sent = ((keys >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4") if short else keys.astype("<u8")
     for a, b in zip(cuts, cuts[1:]):
-        yield {"kind": kind, "bucket": int(bucket[a]), "block": block, "keys": planes(sent[a:b]), "counts": planes(counts[a:b].astype("<u4"))}
+        yield {"kind": kind, "bucket": int(bucket[a]), "block": block, "keys": packed(sent[a:b]), "counts": planes(counts[a:b].astype("<u4"))}
 
 
 def asked_table(rows: list[dict]) -> pa.Table:
@@ -65,7 +76,7 @@ def totals(asked: DataFrame, short_kinds: tuple[int, ...] = (), at_most: dict[in
     def add(table: pa.Table) -> pa.Table:
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
         size = np.uint32 if kind in short_kinds else np.uint64
-        keys = [unplanes(x, size) for x in table.column("keys").to_pylist()]
+        keys = [unpacked(x, size) for x in table.column("keys").to_pylist()]
         counts = [unplanes(x, np.uint32) for x in table.column("counts").to_pylist()]
         _, place, sums = counted(np.concatenate(keys), np.concatenate(counts))
         if distinct_only:
