@@ -150,6 +150,14 @@ def test_pieces_of_random_joins():
         assert encoder.ids(t) == library.encode(t) + [2], t
 
 
+@pytest.mark.parametrize("part", ["今天天气很好我们一起去公园散步吧", "🎉", "👩‍🚀🎉", "\n", "\t", "これはとても長い文章です", "สวัสดีครับ", "word\n🎉。"])
+def test_long_units_of_characters_that_never_join(part):
+    library, encoder = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_bpe.Encoder(PIECES)
+    long = (part * 5000)[:5000]
+    for t in (long, "word" + long, f"so {long} it is", long + "word"):
+        assert encoder.ids(t) == library.encode(t) + [2]
+
+
 def test_remembered_units_are_bounded(monkeypatch):
     monkeypatch.setattr(piece_bpe, "REMEMBERED", 50)
     monkeypatch.setattr(piece_bpe, "REMEMBERED_PAIRS", 50)

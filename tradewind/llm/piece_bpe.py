@@ -223,9 +223,12 @@ class Encoder:
         made = self.older.get(unit)
         if made is None:
             model = self.model
-            if len(unit) > 1 and unit[-2:] not in model.inside:  # the last character is a stretch of its own
-                stem = unit[:-1]
-                return (self.memory.get(stem) or self._made(stem)) + array("H", model.unit(unit[-1])).tobytes()
+            end = len(unit)
+            while end > 1 and unit[end - 2 : end] not in model.inside:  # the last character is a stretch of its own
+                end -= 1
+            if end < len(unit):
+                stem = unit[:end]
+                return (self.memory.get(stem) or self._made(stem)) + array("H", model.unit(unit[end:])).tobytes()
             made = array("H", model.unit(MARK + unit)).tobytes()
         if len(unit) <= REMEMBERED_LENGTH:
             if len(self.memory) >= REMEMBERED:
