@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from llm_helpers import by_id
 from tradewind.llm import components, decontaminate, sharding, simhash, suffix_dedup
@@ -151,6 +152,18 @@ def test_first_of_each_group_stays(docs, texts):
     assert kept == set(roots_by_hand([fingerprint_by_hand(t) for t in texts]))
 
 
+def test_one_row_of_repeated_rows_and_of_rows_without_id(spark):
+    rng = random.Random(12)
+    a, b, c, d, e, f = (prose(rng, 60) for _ in range(6))
+    rows = [(1, a), (1, a), (1, a), (2, b), (None, b), (None, c), (None, c), (3, d), (3, e), (4, e), (None, f), (7, None), (7, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")}).repartition(5)
+    once = simhash.keep_first(docs)
+    got = Counter((r["doc_id"], r["text"] or "") for r in once.collect())
+    assert got == Counter([(1, a), (2, b), (None, c), (3, d), (3, e), (None, f), (7, "")])
+    texts = Counter(r["text"] for r in suffix_dedup.without_repeats(once).collect())
+    assert all(texts[t] == 1 for t in (a, b, c, d, e, f))
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u long, v long")
     assert {r["node"]: r["root"] for r in components.components(edges).collect()} == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}

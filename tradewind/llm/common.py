@@ -27,6 +27,16 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def row_key() -> list[Column]:
+    """What tells rows apart: the id and a hash of the text as it is; either may be the same or missing in other rows."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")]
+
+
+def same_row(docs: DataFrame, keys: DataFrame) -> Column:
+    """Join condition of ``docs`` with rows of ``row_key``."""
+    return docs["doc_id"].cast("long").eqNullSafe(keys["doc_id"]) & (F.xxhash64(docs["text"]) == keys["text_hash"])
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

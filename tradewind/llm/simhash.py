@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tradewind.llm.common import arrow_table, map_batches, raw_texts, texts
+from tradewind.llm.common import arrow_table, map_batches, raw_texts, row_key, same_row, small_batches
 from tradewind.llm.components import components
 from tradewind.sources.stages import stage
 
@@ -54,13 +54,14 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint's 64 bits as a signed long."""
+    """doc_id, text_hash and fp, the fingerprint's 64 bits as a signed long."""
 
     def run(batch: pa.RecordBatch) -> dict:
         fp = np.array([fingerprint(t) for t in raw_texts(batch)], dtype=np.uint64).view(np.int64)
-        return {"doc_id": batch.column("doc_id"), "fp": fp}
+        return {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "fp": fp}
 
-    return map_batches(texts(docs), run, "doc_id long, fp long")
+    small_batches(docs.sparkSession)
+    return map_batches(docs.select(*row_key(), "text"), run, "doc_id long, text_hash long, fp long")
 
 
 def cover(open_bits: list[int]) -> list[int]:
@@ -167,20 +168,35 @@ def links(distinct_fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return found.filter("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(again.select(F.col("a").alias("u"), F.col("b").alias("v"))).distinct()
 
 
+def _rooted(entries: DataFrame, bucket: int) -> DataFrame:
+    """``entries`` (fp and first, one row a fingerprint) with the root of each fingerprint's component."""
+    roots = components(links(entries.select("fp"), bucket), "simhash")
+    linked = entries.join(roots, entries["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return stage(linked, "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint, component_id for every row."""
-    rows = stage(fingerprints(docs), "simhash-fp")
-    entries = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(entries.select("fp"), bucket), "simhash")
-    linked = entries.join(roots, entries["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    linked = stage(linked, "simhash-roots")
-    smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rows = stage(fingerprints(docs).select("doc_id", "fp"), "simhash-fp")
+    linked = _rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), bucket)
+    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     named = linked.join(smallest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, unchanged; rows without an id stay."""
-    kept = F.bool_or(F.col("doc_id") == F.col("component_id"))
-    dropped = near_duplicates(docs).groupBy("doc_id").agg(kept.alias("kept")).filter("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+def keep_first(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """One row of each component, unchanged: that with the smallest id, then the smallest text hash; of equal rows any one.
+
+    Rows without an id come last, so one of them stays only if its component has no id at all.
+    """
+    keys = stage(fingerprints(docs).groupBy("doc_id", "text_hash", "fp").agg(F.count(F.lit(1)).alias("copies")), "simhash-keys")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "copies")
+    linked = _rooted(keys.groupBy("fp").agg(F.min(first).alias("first")), bucket)
+    winners = stage(linked.groupBy("root").agg(F.min("first").alias("first")).select("first.*"), "simhash-first")
+    beaten = keys.join(winners, keys["doc_id"].eqNullSafe(winners["doc_id"]) & (keys["text_hash"] == winners["text_hash"]), "left_anti")
+    repeated = winners.filter("copies > 1").select("doc_id", "text_hash")
+    dropped = stage(beaten.select("doc_id", "text_hash").unionByName(repeated), "simhash-dropped")
+    kept = docs.join(dropped, same_row(docs, dropped), "left_anti")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(docs.join(repeated, same_row(docs, repeated), "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.select(*docs.columns)
