@@ -247,6 +247,15 @@ def test_contamination_like_brute_force(spark, docs, texts):
     assert clean == {i for i, w in enumerate(contamination_by_hand(own, items)) if not w[-1]}
 
 
+def test_clean_rows_stay_beside_contaminated_ones_of_the_same_or_no_id(spark):
+    rng = random.Random(13)
+    item, a, b, c = (prose(rng, 30) for _ in range(4))
+    rows = [(None, f"{a} {item}"), (None, b), (None, None), (5, f"{item} {b}"), (5, c), (5, c), (6, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontaminate.keep_clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([(None, b), (None, None), (5, c), (5, c)])
+
+
 def test_contamination_joined_by_a_shuffle(spark, docs, texts, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     items = [(i, t) for i, t in enumerate(texts[:5])]

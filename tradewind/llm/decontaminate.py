@@ -24,6 +24,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tradewind.llm.common import row_key, same_row
 from tradewind.sources.stages import stage
 
 SPAN, K = 10, 4
@@ -77,15 +78,8 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _row_key() -> list[Column]:
-    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")]
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row.
-
-    Rows equal in id and text are worked on once and given back as often as they came.
-    """
+def _judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, text_hash, copies, n_words, n_hit, n_items, ids of rows that differ in id or text."""
     items = stage(benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("ws")).filter(F.size("ws") > 0), "benchmark-words")
     long, short_items = items.filter(F.size("ws") >= SPAN), items.filter(F.size("ws") < SPAN)
     short = sorted(r["m"] for r in short_items.select(F.size("ws").alias("m")).distinct().collect())  # SPAN - 1 lengths at most
@@ -98,7 +92,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_prints = _small(stage(item_prints.distinct(), "benchmark-prints"))
     wanted = _small(stage(item_spans.select("item", "s.m", "s.span").distinct(), "benchmark-spans"))
 
-    read = docs.select(*_row_key(), _let(words(F.col("text")), lambda ws: F.struct(F.size(ws).alias("n"), prints(ws, short).alias("prints"))).alias("w"))
+    read = docs.select(*row_key(), _let(words(F.col("text")), lambda ws: F.struct(F.size(ws).alias("n"), prints(ws, short).alias("prints"))).alias("w"))
     kept = read.select("doc_id", "text_hash", F.col("w.n").alias("n"), F.posexplode_outer("w.prints").alias("pos", "print"))
     marked = kept.join(item_prints.withColumn("found", F.lit(True)), "print", "left")
     base = marked.groupBy("doc_id", "text_hash").agg(
@@ -108,7 +102,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     suspects = _small(base.filter("suspect").select("doc_id", "text_hash"))
     key = ["doc_id", "text_hash"]
-    left = docs.select(*_row_key(), "text")
+    left = docs.select(*row_key(), "text")
     same = (left["doc_id"].eqNullSafe(suspects["doc_id"])) & (left["text_hash"] == suspects["text_hash"])
     left = left.join(suspects, same, "left_semi").dropDuplicates(key)
     own = left.select(*key, F.explode(_let(words(F.col("text")), lambda ws: spans(ws, [SPAN, *short]))).alias("o"))
@@ -120,14 +114,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = hits.select(*key, "item").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("ids"))
     by_doc = hit_words.alias("h").join(found.alias("f"), F.col("h.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("h.text_hash") == F.col("f.text_hash"))).select("h.doc_id", "h.text_hash", "n_hit", "n_items", "ids")
     joined = base.alias("b").join(by_doc.alias("d"), F.col("b.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("b.text_hash") == F.col("d.text_hash")), "left")
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return joined.select(
-        F.col("b.doc_id").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
+    return joined.select("b.doc_id", "b.text_hash", "copies", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "n_items", "ids")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row.
+
+    Rows equal in id and text are worked on once and given back as often as they came.
+    """
+    return _judged(docs, benchmark).select(
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
     ).drop("copy")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no span of the benchmark, unchanged; rows without an id go by their text as well."""
-    dirty = contamination(docs, benchmark).filter("contaminated").select("doc_id").distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["doc_id"]), "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that hold no span of the benchmark, unchanged; a row goes by its own id and text, with or without an id."""
+    dirty = _judged(docs, benchmark).filter("n_hit > 0").select("doc_id", "text_hash")
+    return docs.join(dirty, same_row(docs, dirty), "left_anti").select(*docs.columns)
