@@ -240,6 +240,22 @@ def test_toxicity_without_labels(spark, docs):
     assert [(r["severity"], r["toxic"]) for r in rows] == [(0.0, False)] * 2
 
 
+def test_odds_of_a_bounded_sample_are_those_of_all_labels(spark):
+    rng = random.Random(21)
+    docs = spark.createDataFrame([(i, prose(rng, 30)) for i in range(1600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0), int(i % 10 == 0)) for i in range(1600)], "doc_id long, quality int, toxic int")
+    few = compress_quality.Sample(rows=100)
+    good = [r["score"] for r in compress_quality.score(docs, compress_quality.fit(docs, labels, few), few).collect()]
+    toxic = [r["p_toxic"] for r in toxicity.score(docs, toxicity.fit(docs, labels, few), few).collect()]
+    assert abs(np.mean(good) - 0.9) < 0.05 and abs(np.mean(toxic) - 0.1) < 0.05
+
+
+def test_all_rows_stay_without_a_model(spark, docs):
+    few = spark.createDataFrame([(0, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    table = docs(["a", None, "c"])
+    assert compress_quality.keep_good(table, compress_quality.fit(table, few)).count() == 3
+
+
 # ---- operator 8
 
 

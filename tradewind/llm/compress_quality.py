@@ -6,11 +6,13 @@ normalised by the text's plain packed size and by its length, is calibrated to a
 regression on labelled texts that went into neither dictionary.
 
 The model is fitted on a bounded sample of the labelled training rows (``Sample``): the bound is a
-parameter, everything else runs over all rows. Scoring is one narrow pass over whole texts.
+parameter, everything else runs over all rows. The bound takes more from the larger class, so the odds of
+all training labels, which are counted, replace those of the sample in the bias. Scoring is one narrow pass
+over whole texts.
 
 Defined cases: a null text counts as empty; an empty or blank text gets the model's score for a text of
 no bytes; repeated rows each get a row; a labels table without both classes gives every text the share
-of good labels (0.5 without labels); other columns of the input are never read.
+of good labels (0.5 without labels), and no row is dropped for it; other columns of the input are never read.
 """
 
 from __future__ import annotations
@@ -108,14 +110,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60)
     return w, mean, scale
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: Sample) -> dict[int, list[bytes]]:
-    """Up to ``sample.rows`` training texts of each class, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: Sample) -> tuple[dict[int, list[bytes]], dict[int, float]]:
+    """Up to ``sample.rows`` training texts of each class, chosen by a hash of the id, and how many training labels each of them stands for.
 
     The ids are cut to the bound before they meet the texts, so the broadcast side has at most
     ``2 * sample.rows`` rows whatever the size of the labels table.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), sample.fold_mod, sample.fold))
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     order = [F.xxhash64("doc_id"), "doc_id"]
     picked = known.filter("label = 0").orderBy(*order).limit(sample.rows).unionByName(known.filter("label = 1").orderBy(*order).limit(sample.rows))
     rows = texts(docs).join(F.broadcast(picked.distinct()), "doc_id").select("doc_id", "label", "text").toArrow()
@@ -123,7 +126,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: Samp
     got = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("label").to_pylist(), raw_texts(rows)))
     for _, value, text in sorted(got, key=lambda r: (hash_order(r[0]), r)):
         out[value].append(text)
-    return out
+    return out, {c: max(1.0, counts.get(c, 0) / sample.rows) for c in out}
 
 
 def hash_order(doc_id: int) -> int:
@@ -139,14 +142,16 @@ def dictionary(items: list[bytes], size: int) -> bytes:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> QualityModel:
-    by = labelled_sample(docs, labels, "quality", sample)
+    by, stands_for = labelled_sample(docs, labels, "quality", sample)
     good, bad = by[1], by[0]
+    n_good, n_bad = len(good) * stands_for[1], len(bad) * stands_for[0]
     if len(good) < 4 or len(bad) < 4:
-        return QualityModel(level=sample.level, prior=len(good) / (len(good) + len(bad)) if good or bad else 0.5)
+        return QualityModel(level=sample.level, prior=n_good / (n_good + n_bad) if good or bad else 0.5)
     model = QualityModel(dictionary(good[::2], sample.dictionary_bytes), dictionary(bad[::2], sample.dictionary_bytes), sample.level, weights=[0.0])
     x = model.scorer().features(good[1::2] + bad[1::2])
     y = np.array([1.0] * len(good[1::2]) + [0.0] * len(bad[1::2]))
     w, mean, scale = logistic(x, y)
+    w[0] += np.log(n_good / n_bad) - np.log(len(good[1::2]) / len(bad[1::2]))
     model.weights, model.mean, model.scale = w.tolist(), mean.tolist(), scale.tolist()
     return model
 
@@ -166,7 +171,9 @@ def score(docs: DataFrame, model: QualityModel, sample: Sample = Sample()) -> Da
 
 
 def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """The rows whose text is predicted good, with all their columns and unchanged."""
+    """The rows whose text is predicted good, with all their columns and unchanged; all rows if no model could be fitted."""
+    if not model.weights:
+        return docs
     small_batches(docs.sparkSession)
     held: list[Scorer] = []
 

@@ -7,8 +7,9 @@ hold significantly more often; a marker word is one with a marker. The model is
 all thresholds c_1 < c_2 < c_3, so the grades' probabilities are ordered by construction; the output is
 the expected grade, the sum of P(grade >= k).
 
-The model is fitted on a bounded sample of labelled rows (``Sample.rows`` of each class). Scoring is one
-narrow pass over whole texts.
+The model is fitted on a bounded sample of labelled rows (``Sample.rows`` of each class). A sampled row weighs
+as many rows as it stands for among all training labels, so the bound does not move the odds of a class.
+Scoring is one narrow pass over whole texts.
 
 Defined cases: a null text counts as empty; an empty text has no features and gets the model's severity
 for that; repeated rows each get a row; labels without both classes give severity 0 for every text; other
@@ -111,8 +112,8 @@ def grades(model: ToxicityModel, toxic: list[bytes]) -> np.ndarray:
     return 1 + np.searchsorted(np.quantile(share, [1 / 3, 2 / 3]), share, side="right")
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, ridge: float = 1.0, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ascending cuts by Adam on the ridge likelihood; cuts are a first one and positive gaps."""
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ascending cuts by Adam on the ridge likelihood; cuts are a first one and positive gaps. Row weights have the mean 1."""
     d, k = x.shape[1], GRADES
     theta = np.concatenate([np.zeros(d), [1.0], np.zeros(k - 1)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -124,7 +125,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, ridge: float = 1.0, rounds: in
         padded = np.concatenate([np.ones((len(x), 1)), p, np.zeros((len(x), 1))], axis=1)
         slope = np.concatenate([np.zeros((len(x), 1)), p * (1 - p), np.zeros((len(x), 1))], axis=1)
         likelihood = np.maximum(padded[rows, grade] - padded[rows, grade + 1], 1e-9)
-        up, down = slope[rows, grade] / likelihood, slope[rows, grade + 1] / likelihood
+        up, down = weight * slope[rows, grade] / likelihood, weight * slope[rows, grade + 1] / likelihood
         by_cut = np.zeros((len(x), k + 2))
         by_cut[rows, grade] -= up
         by_cut[rows, grade + 1] += down
@@ -136,13 +137,14 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, ridge: float = 1.0, rounds: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> ToxicityModel:
-    by = labelled_sample(docs, labels, "toxic", sample)
+    by, stands_for = labelled_sample(docs, labels, "toxic", sample)
     toxic, clean = by[1], by[0]
     if not toxic or not clean:
         return ToxicityModel()
     model = ToxicityModel(find_markers(toxic, clean))
     x = model.features(toxic + clean)
-    w, cuts = fit_ordinal(x, np.concatenate([grades(model, toxic), np.zeros(len(clean), dtype=int)]))
+    weight = np.repeat([stands_for[1], stands_for[0]], [len(toxic), len(clean)])
+    w, cuts = fit_ordinal(x, np.concatenate([grades(model, toxic), np.zeros(len(clean), dtype=int)]), weight / weight.mean())
     model.weights, model.cuts = w.tolist(), cuts.tolist()
     return model
 
