@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from llm_helpers import by_id
 from tradewind.llm import set_sketch, spelling, token_alignment
@@ -104,11 +105,13 @@ def test_variants_of_ties_nulls_and_repeated_rows(spark, docs):
 
 def aligned_by_hand(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
     model = token_alignment.Tokenizers(BYTES_50K, PIECES)
+    library = Tokenizer.from_file(BYTES_50K)
+    library.encode_special_tokens = True
     counts: Counter = Counter()
     made = []
     for doc_id, text in rows:
         raw = b" " + (text or "").encode()
-        a = model.a.encode(" " + (text or ""), add_special_tokens=False).ids
+        a = library.encode(" " + (text or ""), add_special_tokens=False).ids
         b = model.b.encode(text or "")
         pieces_a, pieces_b = [model.bytes_a[i] for i in a], [model.bytes_b[i] for i in b]
         if not text or b"".join(pieces_a) != raw or b"".join(pieces_b) != raw:
@@ -140,7 +143,7 @@ def aligned_by_hand(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
 def mixed() -> list[str | None]:
     rng = random.Random(9)
     base = [" ".join(words_of(rng, rng.randint(1, 80))) for _ in range(30)]
-    odd = [None, "", " ", "a▁b", "<|endoftext|> <s> <0x41>", "日本語 テキスト 🎉 ﬁ é", "x" * 3000, "  two  blanks \n\n\t\r", "\x00\x1c", " ".join(words_of(rng, 4000)), "word " * 2000]
+    odd = [None, "", " ", "a▁b", "<|endoftext|> <s> <0x41>", "日本語 テキスト 🎉 ﬁ é", "x" * 3000, "  two  blanks \n\n\t\r", "\x00\x1c", "it's we'll 123 4.5%", "a \x1cb \x85 c\u3000d \u00a0e ", " x  y z", "a \n b", " ".join(words_of(rng, 4000)), "word " * 2000]
     return base + base[:4] + odd
 
 

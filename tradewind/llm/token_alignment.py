@@ -18,7 +18,8 @@ no rows; other columns of the input are never read.
 
 from __future__ import annotations
 
-import os
+import json
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,9 @@ from tradewind.llm.common import arrow_table, map_batches, raw_texts, sha256_hex
 from tradewind.sources.stages import stage
 
 PIECE = 256
+REMEMBERED_LENGTH, REMEMBERED = 48, 150_000
 _MARK = "▁"
+_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -41,24 +44,35 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Tokenizers:
-    """Both tokenizers with the bytes and the length of every id; one a worker."""
+    """Both tokenizers with the bytes and the length of every id; one a worker.
+
+    A's ids rise in the order of its merges, so its vocabulary is its list of ranks as well and runs in the faster of the
+    two libraries for byte-level merges.
+    """
 
     held: dict[tuple[str, str], Tokenizers] = {}
 
     def __init__(self, path_a: str, path_b: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        with open(path_a) as f:
+            described = json.load(f)
+        vocabulary, added = described["model"]["vocab"], {x["content"] for x in described["added_tokens"]}
         alphabet = byte_alphabet()
-        self.bytes_a = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab().items():
-            if all(c in alphabet for c in token):
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            if token not in added:
                 self.bytes_a[i] = bytes(alphabet[c] for c in token)
+        ranks = {token: i for i, token in enumerate(self.bytes_a) if token}
+        self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.memory: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.older: dict[str, tuple[bytes, bytes, bool]] = {}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        if any(_MARK in p[1:] and set(p) != {_MARK} for p in pieces):
+            raise ValueError("a piece holds the space mark behind another character")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)]
         self.length_a, self.length_b = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (self.bytes_a, self.bytes_b))
         self.inside = [np.array([f"{i}," for i in range(len(x))], dtype=object) for x in (self.bytes_a, self.bytes_b)]
@@ -70,18 +84,44 @@ class Tokenizers:
             cls.held[path_a, path_b] = cls(path_a, path_b)
         return cls.held[path_a, path_b]
 
+    def _made(self, chunks: list[str]) -> list[tuple[bytes, bytes, bool]]:
+        """Ids of both for each chunk, and whether the joined bytes are a space and the chunk."""
+        out = []
+        for chunk, b in zip(chunks, self.b.encode(chunks, num_threads=1)):
+            a = self.a.encode_ordinary(" " + chunk)
+            want = b" " + chunk.encode()
+            same = b"".join(map(self.bytes_a.__getitem__, a)) == want and b"".join(map(self.bytes_b.__getitem__, b)) == want
+            out.append((np.array(a, dtype="<i4").tobytes(), np.array(b, dtype="<i4").tobytes(), same))
+        return out
+
     def encode(self, raw: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of both for each text; both empty where the joined bytes differ from a space and the text."""
-        spaced = [b" " + t for t in raw]
+        """Ids of both for each text; both empty where the joined bytes differ from a space and the text.
+
+        Neither side has a token that crosses a single blank between two other characters: chunks between such blanks are
+        encoded alone and remembered, in two tables of ``REMEMBERED`` chunks, of which a full one becomes the older one.
+        """
+        items = [t.decode() for t in raw]
+        chunks = [_BLANK.split(t) for t in items]
+        memory, older = self.memory, self.older
+        table = {}
+        missing = []
+        for chunk in set().union(*chunks):
+            found = memory.get(chunk) or older.get(chunk)
+            if found is None:
+                missing.append(chunk)
+            else:
+                table[chunk] = found
+        table.update(zip(missing, self._made(missing)))
+        if len(memory) + len(table) > REMEMBERED:
+            self.older, self.memory = memory, {}
+        self.memory.update((c, x) for c, x in table.items() if len(c) <= REMEMBERED_LENGTH)
         none = np.zeros(0, np.int64)
-        found_a = self.a.encode_batch_fast([t.decode() for t in spaced], add_special_tokens=False)
-        found_b = self.b.encode([t.decode() for t in raw], num_threads=1)
         out_a, out_b = [], []
-        for text, made, b in zip(spaced, found_a, found_b):
-            a = made.ids
-            same = len(text) > 1 and b"".join(map(self.bytes_a.__getitem__, a)) == text and b"".join(map(self.bytes_b.__getitem__, b)) == text
-            out_a.append(np.array(a, dtype=np.int64) if same else none)
-            out_b.append(np.array(b, dtype=np.int64) if same else none)
+        for text, own in zip(items, chunks):
+            parts = [table[c] for c in own]
+            same = bool(text) and all(x[2] for x in parts)
+            out_a.append(np.frombuffer(b"".join([x[0] for x in parts]), dtype="<i4").astype(np.int64) if same else none)
+            out_b.append(np.frombuffer(b"".join([x[1] for x in parts]), dtype="<i4").astype(np.int64) if same else none)
         return out_a, out_b
 
 
