@@ -213,16 +213,13 @@ def test_set_sketch_like_brute_force(docs, copies, bucket):
     assert {i: tuple(r)[1:] for i, r in got.items()} == near_by_hand(copies)
 
 
-def test_set_sketch_blocks_lose_no_pair_between_components(spark):
-    rng = np.random.default_rng(4)
-    base = rng.integers(1, 1 << 48, 200).astype(np.uint64)
-    sets = [np.unique(np.concatenate([base[: 200 - i], rng.integers(1, 1 << 48, i).astype(np.uint64)])) for i in range(12)]
-    rows = [(b"%02d" % i, len(s), r.tobytes()) for i, (s, r) in enumerate(zip(sets, set_sketch.levels(sets)))]
-    nodes = spark.createDataFrame(rows, "node binary, n long, sketch binary")
-    shared = nodes.select(F.lit(7).cast("long").alias("key"), "node")
-    labels = spark.createDataFrame([(b"%02d" % i, b"00") for i in range(5)], "node binary, label binary")
-    got = {(bytes(r["u"]), bytes(r["v"])) for r in set_sketch._rest(shared, nodes, labels, 3).collect()}
-    assert got == {(b"%02d" % i, b"%02d" % k) for i in range(12) for k in range(i + 1, 12) if k >= 5}
+def test_set_sketch_parts_bring_asked_nodes_to_all_others(spark):
+    named = spark.createDataFrame([(7, b"%02d" % i, b"00" if i < 5 else b"%02d" % i) for i in range(12)] + [(8, b"20", b"a"), (8, b"21", b"a")], "key long, node binary, label binary")
+    parts: dict = defaultdict(list)
+    for r in set_sketch._dealt(named, 3).collect():
+        parts[r["part"]].append((bytes(r["node"]), r["asked"]))
+    met = {tuple(sorted((a, b))) for some in parts.values() for a, asked in some if asked for b, _ in some if a != b}
+    assert met == {(b"%02d" % i, b"%02d" % k) for i in range(12) for k in range(i + 1, 12) if k >= 5}
 
 
 def test_set_sketch_estimates_and_merges():

@@ -10,13 +10,15 @@ larger of two levels), and two sets agree in a register at least as often as the
 
 1. every node is paired with the smallest node of each of its buckets: a star, never all pairs of a bucket;
 2. the likelihood of the registers' three outcomes (larger, smaller, equal) given both set sizes estimates the
-   similarity, and pairs estimated below ``LEAST`` (5 deviations below the threshold) go;
-3. each node keeps its best pair by node order, which is confirmed on the full sets: 100 * common >= 80 * union;
-4. buckets whose nodes are still in different components are compared inside tasks, only between components; what
-   the likelihood lets pass is confirmed on full sets as well.
+   similarity, and pairs estimated below ``LEAST`` (5 deviations below the threshold) go. What is left joins nodes to
+   groups; buckets that still lie in several groups are compared inside tasks, and a spanning forest of the pairs
+   that the likelihood lets pass joins the groups further. So nodes that may reach the threshold share a group;
+3. the full sets go to the groups, each once, and are linked there where 100 * common >= 80 * union. A group is cut in
+   blocks of ``BUCKET`` nodes by a hash, each with the group's first node, and a block gives a spanning forest;
+4. in a group of several blocks the nodes that are still outside its largest component are compared, in teams of
+   ``BUCKET``, with every block; a node gives one link for each other component that it reaches.
 
-So no link between components is lost but by the two stated probabilities. In a bucket with more than ``BUCKET`` nodes
-the nodes outside its largest component are compared, in blocks, with blocks of the whole bucket.
+So no link between components is lost but by the two stated probabilities, and no step writes all pairs of anything.
 
 Defined cases: a null or empty text, or one of blanks, has an empty set and links with nothing; sets of up to three
 shingles link with equal sets only, because no other set can reach the threshold; repeated rows each get a row;
@@ -42,7 +44,7 @@ BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
 BASE, RATE = 1.1, 20.0
 LEAST = 0.68
-BUCKET = 1024
+BUCKET = 4096
 #: No set of up to this size reaches the threshold with another set.
 ALONE = 3
 #: Rows of an involved-node list up to which it is broadcast (about 16 bytes each).
@@ -121,15 +123,15 @@ def alike(sketch_a: np.ndarray, size_a: np.ndarray, sketch_b: np.ndarray, size_b
 
 
 def _packed(ordered: np.ndarray) -> bytes:
-    """Ascending 48-bit numbers as 6-byte differences."""
+    """Ascending 48-bit numbers as 6-byte differences, byte by byte: the highest ones are nearly all zero and compress."""
     steps = ordered.copy()
     steps[1:] -= ordered[:-1]
-    return steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
     steps = np.zeros((len(data) // 6, 8), np.uint8)
-    steps[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    steps[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(6, -1).T
     return np.cumsum(steps.view("<u8")[:, 0], dtype=np.uint64)
 
 
@@ -186,88 +188,164 @@ def _likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return wide.mapInArrow(run, "u binary, v binary")
 
 
-def _confirmed(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The (u, v) of ``pairs`` whose full sets reach the threshold."""
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = stage(wanted.join(nodes.select("node", "row"), "node").select("row"), "sketch-wanted")
-    picked = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    sets = stage(rows.select("row", "node", "elements").join(picked, "row", "left_semi").select("node", "elements"), "sketch-sets")
-    a, b = sets.select(F.col("node").alias("u"), F.col("elements").alias("eu")), sets.select(F.col("node").alias("v"), F.col("elements").alias("ev"))
+# ---- groups by sketches
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for left, right in zip(batch.column("eu").to_pylist(), batch.column("ev").to_pylist()):
-                x, y = _unpacked(left), _unpacked(right)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(COMMON * common >= UNION * (len(x) + len(y) - common))
-            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(b, "v").join(a, "u").select("u", "v", "eu", "ev").mapInArrow(run, "u binary, v binary")
+def _forest_of(n: int, near) -> list[tuple[int, int]]:
+    """Links that join ``n`` places into the components of ``near(place, others) -> mask``; each place is compared once with those not reached yet."""
+    out, left = [], np.arange(n)
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            centre = queue.pop()
+            reached = near(centre, left)
+            out += [(centre, x) for x in left[reached]]
+            queue += list(left[reached])
+            left = left[~reached]
+    return out
 
 
-_PART = "part long, node binary, label binary, n long, sketch binary, asked boolean"
+_PAIR = "u binary, v binary"
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Pairs of a bucket's block that are in different components and may reach the threshold; each asked node against all."""
-    table = table.combine_chunks()
-    sketch, n, asked = _rows_of(table.column("sketch"), REGISTERS), table.column("n").to_numpy(), table.column("asked").to_numpy()
-    label = table.column("label").combine_chunks().dictionary_encode() if table.num_rows else None
-    label = np.asarray((label.combine_chunks() if isinstance(label, pa.ChunkedArray) else label).indices)
-    node = table.column("node").to_pylist()
-    out_u, out_v = [], []
-    for i in np.flatnonzero(asked):
-        others = np.flatnonzero(label != label[i])
-        near = others[alike(sketch[others], n[others], np.broadcast_to(sketch[i], (len(others), REGISTERS)), np.full(len(others), n[i]))]
-        for k in near:
-            out_u.append(min(node[i], node[k]))
-            out_v.append(max(node[i], node[k]))
-    return arrow_table("u binary, v binary", {"u": out_u, "v": out_v})
-
-
-def _rest(shared: DataFrame, nodes: DataFrame, labels: DataFrame, bucket: int) -> DataFrame:
-    """Likely pairs (u, v) of shared buckets between different components; all of them, found block by block.
-
-    A bucket is cut in blocks of ``bucket`` nodes by a hash. The nodes outside its largest component visit, as asked
-    nodes, every block, and in numbers beyond ``bucket`` they do so in blocks of their own.
+def _pair_table(node: list[bytes], links: list[tuple[int, int]]) -> pa.Table:
+    return arrow_table(_PAIR, {"u": [min(node[i], node[k]) for i, k in links], "v": [max(node[i], node[k]) for i, k in links]})
+
+
+def _bucket_forest(table: pa.Table) -> pa.Table:
+    sketch, n = _rows_of(table.column("sketch"), REGISTERS), table.column("n").to_numpy()
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        return alike(sketch[others], n[others], np.broadcast_to(sketch[i], (len(others), REGISTERS)), np.full(len(others), n[i]))
+
+    return _pair_table(table.column("node").to_pylist(), _forest_of(len(n), near))
+
+
+def _dealt(named: DataFrame, bucket: int) -> DataFrame:
+    """(part, node, label, asked) of ``named`` (key, node, label): keys with several labels in parts that bring every asked node to every other node.
+
+    Asked nodes are those outside their key's largest label. A key's nodes are cut in blocks of about ``bucket`` by a
+    hash, its asked nodes in teams of as many; a part is one block and one team. A key without asked nodes has no part.
     """
-    named = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     by_label = stage(named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("many")), "sketch-labels")
     mixed = by_label.groupBy("key").agg(F.sum("many").alias("size"), F.max(F.struct("many", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     mixed = mixed.select("key", F.ceil(F.col("size") / bucket).alias("blocks"), F.col("main.label").alias("main"), F.ceil((F.col("size") - F.col("main.many")) / bucket).alias("teams"))
     dealt = named.join(mixed, "key").withColumn("asked", F.col("label") != F.col("main"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    team = F.pmod(F.xxhash64("node", F.lit(1)), F.col("teams"))
-    asked = dealt.filter("asked").select("key", "node", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), team.alias("team"), F.lit(True).alias("asked"))
-    held = dealt.select("key", "node", "label", own.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("teams") - 1)).alias("team"), F.lit(False).alias("asked"))
+
+    def each(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+    asked = dealt.filter("asked").select("key", "node", "label", each("blocks").alias("block"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("teams")).alias("team"), F.lit(True).alias("asked"))
+    held = dealt.select("key", "node", "label", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), each("teams").alias("team"), F.lit(False).alias("asked"))
     part: Column = F.xxhash64("key", "block", "team")
-    wide = asked.unionByName(held).groupBy(part.alias("part"), "node", "label").agg(F.bool_or("asked").alias("asked"))
-    return wide.join(nodes.select("node", "n", "sketch"), "node").select("part", "node", "label", "n", "sketch", "asked").groupBy("part").applyInArrow(_across, "u binary, v binary").distinct()
+    return asked.unionByName(held).groupBy(part.alias("part"), "node", "label").agg(F.bool_or("asked").alias("asked"))
 
 
-def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
-    rows = stage(_sketches(docs).withColumn("row", F.monotonically_increasing_id()), "sketch-rows")
-    full = rows.filter("node is not null")
-    firsts = stage(full.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("first")), "sketch-firsts")
-    nodes = stage(full.join(firsts.select("row"), "row").select("node", "row", F.col("n_shingles").alias("n"), "sketch"), "sketch-nodes")
+def _labelled(links: DataFrame, name: str) -> DataFrame:
+    """(node, label) of every node that has a link."""
+    return components(links, name).withColumnRenamed("root", "label")
+
 
+def groups(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(node, label): groups of nodes such that two nodes with a bucket in common and a likelihood that passes share one."""
     keyed = _buckets(nodes)
     crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("least")).filter("many > 1").select("key", "least")
     shared = stage(keyed.join(crowded, "key"), "sketch-shared")
+    star = stage(_likely_pairs(shared.filter("node != least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), nodes), "sketch-star")
+    first = _labelled(star, "sketch-first")
+    parts = _dealt(shared.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), bucket)
+    further = parts.join(nodes.select("node", "n", "sketch"), "node").select("part", "node", "n", "sketch").groupBy("part").applyInArrow(_bucket_forest, _PAIR).distinct()
+    return _labelled(stage(star.unionByName(further), "sketch-pairs"), "sketch-groups")
+
+
+# ---- links by full sets
+
+
+class Sets:
+    """Full sets of a task, compared one against many: sizes, registers and a bound on the common elements come first."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.sketch = _rows_of(table.column("sketch"), REGISTERS)
+        self.elements = [_unpacked(x) for x in table.column("elements").to_pylist()]
+        self.n = np.array([len(x) for x in self.elements], dtype=np.int64)
+        self.low = [(x & np.uint64(0xFFFF)).astype(np.uint16) for x in self.elements]
+
+    def linked(self, i: int, others: np.ndarray, one_is_enough: bool = False) -> np.ndarray:
+        out = alike(self.sketch[others], self.n[others], np.broadcast_to(self.sketch[i], (len(others), REGISTERS)), np.full(len(others), self.n[i]))
+        at = np.flatnonzero(out)
+        if not len(at):
+            return out
+        mine = np.zeros(1 << 16, dtype=np.int32)
+        mine[self.low[i]] = 1
+        for k in at:
+            other = others[k]
+            both = int(self.n[i] + self.n[other])
+            if (COMMON + UNION) * int(mine[self.low[other]].sum()) < UNION * both:
+                out[k] = False
+                continue
+            common = len(np.intersect1d(self.elements[i], self.elements[other], assume_unique=True))
+            out[k] = COMMON * common >= UNION * (both - common)
+            if one_is_enough and out[k]:
+                out[at[at > k]] = False
+                break
+        return out
+
+
+def _block_forest(table: pa.Table) -> pa.Table:
+    sets = Sets(table)
+    return _pair_table(table.column("node").to_pylist(), _forest_of(len(sets.n), sets.linked))
 
-    star = shared.filter("node != least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
-    tried = stage(_likely_pairs(star, nodes).groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "sketch-tried")
-    sure = stage(_confirmed(tried, rows, nodes), "sketch-sure")
-    labels = components(sure, "sketch-first").withColumnRenamed("root", "label")
 
-    rest = stage(_rest(shared.select("key", "node"), nodes, labels, bucket), "sketch-rest")
-    late = stage(_confirmed(rest, rows, nodes), "sketch-late")
-    roots = labels if late.isEmpty() else components(sure.unionByName(late), "sketch-all").withColumnRenamed("root", "label")
+def _across(table: pa.Table) -> pa.Table:
+    """For each asked node one link to each other component of the part that it reaches."""
+    table = table.combine_chunks()
+    sets = Sets(table)
+    label = np.unique(np.array([x.hex() for x in table.column("label").to_pylist()]), return_inverse=True)[1]
+    order = np.argsort(label, kind="stable")
+    runs = np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
+    links = []
+    for i in np.flatnonzero(table.column("asked").to_numpy()):
+        for run in runs:
+            if label[run[0]] != label[i]:
+                links += [(int(i), int(k)) for k in run[sets.linked(int(i), run, True)]]
+    return _pair_table(table.column("node").to_pylist(), links)
+
+
+def _with_sets(members: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, label, sketch, elements) of the members of groups."""
+    wanted = stage(members.join(nodes.select("node", "row", "sketch"), "node"), "sketch-members")
+    picked = F.broadcast(wanted.select("row")) if wanted.count() <= BROADCAST_ROWS else wanted.select("row")
+    sets = rows.select("row", "elements").join(picked, "row", "left_semi")
+    return stage(wanted.join(sets, "row").select("node", "label", "sketch", "elements"), "sketch-sets")
+
+
+def links(rows: DataFrame, nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(u, v): confirmed links whose components are those of all links."""
+    sets = _with_sets(groups(nodes, bucket), rows, nodes)
+    sizes = sets.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    large = stage(sizes.filter(F.col("size") > bucket), "sketch-large")
+    blocks = sets.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS // 4 else large, "label", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / bucket), F.lit(1).cast("long")))
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")))
+    place = F.when(F.col("node") == F.col("label"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(own)
+    placed = blocks.select("label", "node", "sketch", "elements", F.explode(place).alias("block"))
+    sure = stage(placed.groupBy("label", "block").applyInArrow(_block_forest, _PAIR), "sketch-sure")
+    if large.isEmpty():
+        return sure
+    known = _labelled(sure, "sketch-known")
+    crowd = sets.select("node", F.col("label").alias("group")).join(large.select(F.col("label").alias("group")), "group")
+    named = crowd.join(known, "node", "left").select(F.col("group").alias("key"), "node", F.coalesce("label", "node").alias("label"))
+    parts = _dealt(named, bucket).join(sets.select("node", "sketch", "elements"), "node").select("part", "node", "label", "asked", "sketch", "elements")
+    return sure.unionByName(stage(parts.groupBy("part").applyInArrow(_across, _PAIR), "sketch-late"))
 
-    rooted = firsts.join(roots, "node", "left").select("node", "first", F.coalesce("label", "node").alias("root"))
-    rooted = stage(rooted, "sketch-roots")
+
+def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row."""
+    rows = stage(_sketches(docs).withColumn("row", F.monotonically_increasing_id()), "sketch-rows")
+    full = rows.filter("node is not null")
+    firsts = stage(full.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("first")), "sketch-firsts")
+    nodes = stage(full.join(firsts.select("row"), "row").select("node", "row", F.col("n_shingles").alias("n"), "sketch"), "sketch-nodes")
+    roots = _labelled(links(rows, nodes, bucket), "sketch-roots")
+    rooted = stage(firsts.join(roots, "node", "left").select("node", "first", F.coalesce("label", "node").alias("root")), "sketch-rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
     out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
