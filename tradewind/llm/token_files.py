@@ -24,12 +24,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -38,55 +40,88 @@ from tradewind.llm.common import arrow_table, corpus_size, map_batches, raw_text
 
 END_ID = 1
 REMEMBERED_LENGTH, REMEMBERED = 48, 250_000
+#: Chunks that hold one word, or one word and one run of marks behind it.
+_SIMPLE = re.compile("([a-zß-öø-ÿ]+)([.,;:!?*&#$%@]+)?")
 _WRITTEN = "part int, n_docs long, n_ids long"
 _READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 class Encoder:
-    """The tokenizer with remembered chunks, in two tables as bounded as each other: a full one becomes the older one."""
+    """The tokenizer with remembered chunks as bytes of the file's integers, in two tables: a full one becomes the older one."""
 
-    held: dict[str, Encoder] = {}
+    held: dict[tuple[str, str], Encoder] = {}
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, integer: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        # Lower-case words need no normalizing; nor does the library's own memory help, since no word is asked twice.
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words.model._resize_cache(0)
+        self.integer, self.size = integer, np.dtype(integer).itemsize
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.end = np.array([END_ID], dtype=integer).tobytes()
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks_ends = bool(self.ends.any())
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls.held:
-            cls.held[path] = cls(path)
-        return cls.held[path]
-
-    def encode(self, items: list[str]) -> list[bytes]:
-        """Ids of each text with the end id, as 32-bit integers."""
-        chunks = [t.replace("\n", " ").split(" ") for t in items]
-        table = {}
-        missing = []
-        for chunk in set().union(*chunks):
-            found = self.memory.get(chunk)
-            if found is None:
-                found = self.older.get(chunk)
-                if found is not None:
-                    self._remember(chunk, found)
-            if found is None:
-                missing.append(chunk)
-            else:
-                table[chunk] = found
-        for chunk, made in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False)):
-            table[chunk] = data = np.array(made.ids, dtype="<u4").tobytes()
-            if len(chunk) <= REMEMBERED_LENGTH:
-                self._remember(chunk, data)
-        end = np.array([END_ID], dtype="<u4").tobytes()
-        return [b"".join([*map(table.__getitem__, c), end]) for c in chunks]
-
-    def _remember(self, chunk: str, data: bytes) -> None:
-        if len(self.memory) >= REMEMBERED:
+    def of(cls, path: str, integer: str) -> Encoder:
+        if (path, integer) not in cls.held:
+            cls.held[path, integer] = cls(path, integer)
+        return cls.held[path, integer]
+
+    def _made(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of each chunk. Words go through the library as one text, each of them ends with an id of a token's end; marks behind them and other chunks as they are."""
+        found = [_SIMPLE.fullmatch(c) if self.marks_ends else None for c in chunks]
+        words = list({m[1] for m in found if m})
+        others = list({m[2] for m in found if m and m[2]} | {c for c, m in zip(chunks, found) if not m})
+        out = {c: np.array(x.ids, dtype=self.integer).tobytes() for c, x in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False))}
+        if words:
+            ids = np.array(self.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=self.integer)
+            data, cuts = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * self.size).tolist()
+            out.update(zip(words, [data[a:b] for a, b in zip([0, *cuts], cuts)]))
+        return {c: out[c] if m is None or not m[2] else out[m[1]] + out[m[2]] for c, m in zip(chunks, found)}
+
+    def _looked_up(self, chunks: list[str]) -> list[bytes]:
+        """Ids of different chunks, remembered or new."""
+        if len(self.memory) > REMEMBERED:
             self.older, self.memory = self.memory, {}
-        self.memory[chunk] = data
+        found = list(map(self.memory.get, chunks))
+        missing = [i for i, x in enumerate(found) if x is None]
+        for i in missing:
+            found[i] = self.older.get(chunks[i])
+        new = [i for i in missing if found[i] is None]
+        made = self._made([chunks[i] for i in new])
+        for i in new:
+            found[i] = made[chunks[i]]
+        self.memory.update((chunks[i], found[i]) for i in missing if len(chunks[i]) <= REMEMBERED_LENGTH)
+        return found
+
+    def encode(self, items: list[bytes]) -> list[bytes]:
+        """Ids of each text with the end id. Each different chunk of the texts is looked up once; the rest is array work."""
+        parts = pc.split_pattern(pa.array([_blanked(t) for t in items], pa.large_string()), " ")
+        coded = parts.values.dictionary_encode()
+        ids = [*self._looked_up(coded.dictionary.to_pylist()), self.end]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.size
+        flat = np.frombuffer(b"".join(ids), dtype=self.integer)
+        stops = parts.offsets.to_numpy()[1:]
+        order = np.insert(coded.indices.to_numpy(), stops, len(ids) - 1)
+        taken = sizes[order]
+        ends = np.cumsum(taken)
+        data = flat[np.repeat((np.cumsum(sizes) - sizes)[order] - (ends - taken), taken) + np.arange(ends[-1])].tobytes()
+        cuts = (ends[stops + np.arange(len(items))] * self.size).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
+
+
+def _blanked(raw: bytes) -> bytes:
+    """A text with blanks for line feeds. The tokenizer lowers A-Z itself; lowering them first, unless special tokens may be spelt, lets more chunks be equal."""
+    return (raw if b"<|" in raw else raw.lower()).replace(b"\n", b" ")
 
 
 def _files(folder: str) -> tuple[fs.FileSystem, str]:
@@ -138,8 +173,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, part_bytes: int = o
     system.create_dir(root, recursive=True)
 
     def encode(batch: pa.RecordBatch) -> dict:
-        ids = Encoder.of(tokenizer_path).encode([t.decode() for t in raw_texts(batch)])
-        return {"part": batch.column("part"), "at": batch.column("at"), "ids": [np.frombuffer(x, dtype="<u4").astype(kind).tobytes() for x in ids]}
+        ids = Encoder.of(tokenizer_path, kind).encode(raw_texts(batch))
+        return {"part": batch.column("part"), "at": batch.column("at"), "ids": ids}
 
     def store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = None, []
