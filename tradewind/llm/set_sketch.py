@@ -6,7 +6,8 @@ only the level it reaches on a scale of powers of ``BASE`` is kept, one byte. Re
 larger of two levels), and two sets agree in a register at least as often as their Jaccard similarity says.
 
 ``BANDS`` bands of ``ROWS`` registers name buckets. A pair at the threshold shares none of them with probability
-(1 - 0.8^6)^48, about 5e-7. Equal sets are one node from the start, so copies cost nothing. Then:
+(1 - 0.8^6)^48, about 5e-7. Equal sets are one node from the start, named by the number of their first row, so copies cost nothing. The large joins
+are sort-merge joins at any size, so that small runs tell what large ones move. Then:
 
 1. every node is paired with the smallest node of each of its buckets: a star, never all pairs of a bucket;
 2. the likelihood of the registers' three outcomes (larger, smaller, equal) given both set sizes estimates the
@@ -135,7 +136,7 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(steps.view("<u8")[:, 0], dtype=np.uint64)
 
 
-_ROW = "doc_id long, n_shingles long, node binary, sketch binary, elements binary"
+_ROW = "doc_id long, n_shingles long, name binary, sketch binary, elements binary"
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
@@ -148,7 +149,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 sketch[i] = registers.tobytes()
         return {
             "doc_id": batch.column("doc_id"), "n_shingles": [len(s) for s in sets], "sketch": sketch,
-            "node": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "elements": [_packed(s) for s in sets],
+            "name": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "elements": [_packed(s) for s in sets],
         }
 
     return map_batches(texts(docs), run, _ROW)
@@ -157,6 +158,9 @@ def _sketches(docs: DataFrame) -> DataFrame:
 # ---- candidates
 
 
+_PAIR = "u long, v long"
+
+
 def _rows_of(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
@@ -170,14 +174,14 @@ def _buckets(nodes: DataFrame) -> DataFrame:
         order = pa.array(np.repeat(np.arange(len(registers)), BANDS))
         return {"key": np.array(keys, dtype=np.uint64).view(np.int64), "node": batch.column("node").take(order)}
 
-    return map_batches(nodes.filter(F.col("n") > ALONE).select("node", "sketch"), run, "key long, node binary")
+    return map_batches(nodes.filter(F.col("n") > ALONE).select("node", "sketch"), run, "key long, node long")
 
 
 def _likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The (u, v) of ``pairs`` that the likelihood lets pass."""
     a = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
     b = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
-    wide = pairs.join(b, "v").join(a, "u").select("u", "v", "nu", "nv", "su", "sv")
+    wide = pairs.hint("merge").join(b, "v").hint("merge").join(a, "u").select("u", "v", "nu", "nv", "su", "sv")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +189,7 @@ def _likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 ok = alike(_rows_of(batch.column("su"), REGISTERS), batch.column("nu").to_numpy(), _rows_of(batch.column("sv"), REGISTERS), batch.column("nv").to_numpy())
                 yield batch.select(["u", "v"]).filter(pa.array(ok))
 
-    return wide.mapInArrow(run, "u binary, v binary")
+    return wide.mapInArrow(run, _PAIR)
 
 
 # ---- groups by sketches
@@ -205,10 +209,8 @@ def _forest_of(n: int, near) -> list[tuple[int, int]]:
     return out
 
 
-_PAIR = "u binary, v binary"
-
 
-def _pair_table(node: list[bytes], links: list[tuple[int, int]]) -> pa.Table:
+def _pair_table(node: list[int], links: list[tuple[int, int]]) -> pa.Table:
     return arrow_table(_PAIR, {"u": [min(node[i], node[k]) for i, k in links], "v": [max(node[i], node[k]) for i, k in links]})
 
 
@@ -254,7 +256,7 @@ def groups(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     star = stage(_likely_pairs(shared.filter("node != least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), nodes), "sketch-star")
     first = _labelled(star, "sketch-first")
     parts = _dealt(shared.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), bucket)
-    further = parts.join(nodes.select("node", "n", "sketch"), "node").select("part", "node", "n", "sketch").groupBy("part").applyInArrow(_bucket_forest, _PAIR).distinct()
+    further = parts.hint("merge").join(nodes.select("node", "n", "sketch"), "node").select("part", "node", "n", "sketch").groupBy("part").applyInArrow(_bucket_forest, _PAIR).distinct()
     return _labelled(stage(star.unionByName(further), "sketch-pairs"), "sketch-groups")
 
 
@@ -300,7 +302,7 @@ def _across(table: pa.Table) -> pa.Table:
     """For each asked node one link to each other component of the part that it reaches."""
     table = table.combine_chunks()
     sets = Sets(table)
-    label = np.unique(np.array([x.hex() for x in table.column("label").to_pylist()]), return_inverse=True)[1]
+    label = table.column("label").to_numpy()
     order = np.argsort(label, kind="stable")
     runs = np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
     links = []
@@ -311,17 +313,16 @@ def _across(table: pa.Table) -> pa.Table:
     return _pair_table(table.column("node").to_pylist(), links)
 
 
-def _with_sets(members: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def _with_sets(members: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, label, sketch, elements) of the members of groups."""
-    wanted = stage(members.join(nodes.select("node", "row", "sketch"), "node"), "sketch-members")
-    picked = F.broadcast(wanted.select("row")) if wanted.count() <= BROADCAST_ROWS else wanted.select("row")
-    sets = rows.select("row", "elements").join(picked, "row", "left_semi")
-    return stage(wanted.join(sets, "row").select("node", "label", "sketch", "elements"), "sketch-sets")
+    picked = F.broadcast(members.select("node")) if members.count() <= BROADCAST_ROWS else members.select("node")
+    sets = rows.select(F.col("row").alias("node"), "sketch", "elements").join(picked, "node", "left_semi")
+    return stage(members.hint("merge").join(sets, "node").select("node", "label", "sketch", "elements"), "sketch-sets")
 
 
 def links(rows: DataFrame, nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(u, v): confirmed links whose components are those of all links."""
-    sets = _with_sets(groups(nodes, bucket), rows, nodes)
+    sets = _with_sets(stage(groups(nodes, bucket), "sketch-members"), rows)
     sizes = sets.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     large = stage(sizes.filter(F.col("size") > bucket), "sketch-large")
     blocks = sets.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS // 4 else large, "label", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / bucket), F.lit(1).cast("long")))
@@ -341,12 +342,13 @@ def links(rows: DataFrame, nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     rows = stage(_sketches(docs).withColumn("row", F.monotonically_increasing_id()), "sketch-rows")
-    full = rows.filter("node is not null")
-    firsts = stage(full.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("first")), "sketch-firsts")
-    nodes = stage(full.join(firsts.select("row"), "row").select("node", "row", F.col("n_shingles").alias("n"), "sketch"), "sketch-nodes")
+    full = rows.filter("name is not null")
+    firsts = stage(full.groupBy("name").agg(F.min("row").alias("node"), F.min("doc_id").alias("first")), "sketch-firsts")
+    first_rows = full.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "sketch")
+    nodes = stage(first_rows.hint("merge").join(firsts.select("node"), "node"), "sketch-nodes")
     roots = _labelled(links(rows, nodes, bucket), "sketch-roots")
-    rooted = stage(firsts.join(roots, "node", "left").select("node", "first", F.coalesce("label", "node").alias("root")), "sketch-rooted")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    rooted = stage(firsts.join(roots, "node", "left").select("name", "first", F.coalesce("label", "node").alias("root")), "sketch-rooted")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("name", "component_id")
+    out = rows.select("doc_id", "n_shingles", "name").join(named, "name", "left")
+    own = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
