@@ -269,14 +269,18 @@ register("v_grain_old", "SELECT CAST(NULL AS VARCHAR) AS brand, country, categor
 register("v_grain_new", "SELECT CAST(NULL AS VARCHAR) AS brand, country, category, ym, cents FROM v_new_rows UNION ALL SELECT CASE WHEN category = 'SMALL' THEN 'Brand#1' ELSE 'Brand#2' END, country, category, ym, cents FROM v_new_rows")
 
 
-@query("grain_upsert", """
-SELECT * FROM v_grain_new UNION ALL SELECT * FROM v_grain_old o WHERE NOT EXISTS (SELECT 1 FROM v_grain_new n WHERE n.country = o.country AND n.category = o.category AND n.brand IS NOT DISTINCT FROM o.brand)""")
-def grain_upsert(t: Tables) -> DataFrame:
+def grain_rows(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Old and new rows of a table of two grains."""
     old, new = _rows(t)
     cols = ["brand", *CORRIDOR_KEYS, "ym", "cents"]
     both = lambda df, brand: df.withColumn("brand", F.lit(None).cast("string")).select(*cols).unionByName(df.withColumn("brand", brand).select(*cols))
-    base = both(old, F.lit("Brand#1"))
-    delta = both(new, F.when(F.col("category") == "SMALL", "Brand#1").otherwise("Brand#2"))
+    return both(old, F.lit("Brand#1")), both(new, F.when(F.col("category") == "SMALL", "Brand#1").otherwise("Brand#2"))
+
+
+@query("grain_upsert", """
+SELECT * FROM v_grain_new UNION ALL SELECT * FROM v_grain_old o WHERE NOT EXISTS (SELECT 1 FROM v_grain_new n WHERE n.country = o.country AND n.category = o.category AND n.brand IS NOT DISTINCT FROM o.brand)""")
+def grain_upsert(t: Tables) -> DataFrame:
+    base, delta = grain_rows(t)
     return merge.upsert_by_grain(base, delta, "brand", ["brand", *CORRIDOR_KEYS], CORRIDOR_KEYS)
 
 
