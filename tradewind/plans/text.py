@@ -183,15 +183,15 @@ def html_names(t: Tables) -> DataFrame:
 
 _HREF = "regexp_extract_all(html, '(?is)<a\\s[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>', 1)"
 _ATEXT = f"list_transform(regexp_extract_all(html, '(?is)<a\\s[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>', 2), lambda x: {_STRIP('x')})"
-_PHRASE = lambda c: " OR ".join(f"contains(lower({c}), '{p}')" for p in pages.LINK_PHRASES)
+_PHRASE = lambda c: " OR ".join(f"contains(lower({c}), '{p}')" for p in pages.WHERE_TO_BUY)
 
 
 @query("html_links", f"""
-SELECT page_id, len(hrefs) AS links, list_filter(list_zip(hrefs, texts), lambda a: {_PHRASE('a[1]')} OR {_PHRASE('a[2]')})[1][1] AS target FROM (SELECT page_id, {_HREF} AS hrefs, {_ATEXT} AS texts FROM pages)""")
+SELECT page_id, len(hrefs) AS links, regexp_extract(url, '^(https?://[^/?#]+)', 1) || list_filter(list_zip(hrefs, texts), lambda a: {_PHRASE('a[1]')} OR {_PHRASE('a[2]')})[1][1] AS target FROM (SELECT page_id, url, {_HREF} AS hrefs, {_ATEXT} AS texts FROM pages)""")
 def html_links(t: Tables) -> DataFrame:
     html = F.col("html")
     return t.read("pages").select(
-        "page_id", F.size(text.anchors(html)).cast("bigint").alias("links"), text.first_link(html, pages.LINK_PHRASES).alias("target")
+        "page_id", F.size(text.anchors(html)).cast("bigint").alias("links"), pages.first_link(html, F.col("url"), pages.WHERE_TO_BUY).alias("target")
     )
 
 
