@@ -31,7 +31,9 @@ from tradewind.llm.common import arrow_table, map_batches, raw_texts, sha256_hex
 from tradewind.sources.stages import stage
 
 PIECE = 256
-REMEMBERED_LENGTH, REMEMBERED = 48, 150_000
+#: Documents whose tokens and links a worker holds at once.
+AT_ONCE = 250
+REMEMBERED_LENGTH, REMEMBERED = 48, 100_000
 _MARK = "▁"
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
 
@@ -206,28 +208,35 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Blocks: rows of kind 0 are documents (``pairs``: 32-bit places in the block's list, ``times``: links of each), a row of
     kind 1 is the list itself (``pairs``: id of A * 2^32 + id of B, ``times``: the block's documents with the pair)."""
 
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        model = Tokenizers.of(path_a, path_b)
-        all_a, all_b = model.encode(raw_texts(batch))
+    def part(raw: list[bytes]) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+        """Columns of a few documents, and their different pairs: how many each document has, which, and how often."""
+        model, n = Tokenizers.of(path_a, path_b), len(raw)
+        all_a, all_b = model.encode(raw)
         found = lockstep([model.length_a[x] for x in all_a], [model.length_b[x] for x in all_b])
         ids_a, ids_b = np.concatenate(all_a), np.concatenate(all_b)
-        n = batch.num_rows
         sizes_a, sizes_b = (np.array([len(x) for x in side], dtype=np.int64) for side in (all_a, all_b))
         listed, place = np.unique(ids_a[found.link_a] << 32 | ids_b[found.link_b], return_inverse=True)
         keyed, times = np.unique(found.doc * len(listed) + place, return_counts=True)
         owner, place = np.divmod(keyed, max(1, len(listed)))
-        cuts = np.searchsorted(owner, np.arange(n + 1))
-        texts_of = rendered(model, ids_a, ids_b, found, sizes_a, sizes_b)
-        owner_a = np.repeat(np.arange(n), sizes_a)
-        place, times = place.astype("<u4"), times.astype("<u4")
-        yield {
-            "kind": [0] * n, "doc_id": batch.column("doc_id"), "n_a": sizes_a, "n_b": sizes_b,
-            "n_groups": np.bincount(owner_a[found.cut_a], minlength=n), "n_links": np.bincount(found.doc, minlength=n),
-            "groups_sha256": [sha256_hex(t.encode()) if t else "" for t in texts_of],
-            "pairs": [place[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], "times": [times[a:b].tobytes() for a, b in zip(cuts, cuts[1:])],
+        columns = {
+            "n_a": sizes_a, "n_b": sizes_b, "n_groups": np.bincount(np.repeat(np.arange(n), sizes_a)[found.cut_a], minlength=n), "n_links": np.bincount(found.doc, minlength=n),
+            "groups_sha256": [sha256_hex(t.encode()) if t else "" for t in rendered(model, ids_a, ids_b, found, sizes_a, sizes_b)],
         }
+        return columns, np.bincount(owner, minlength=n), listed[place], times.astype("<u4")
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        raw = raw_texts(batch)
+        parts = [part(raw[i : i + AT_ONCE]) for i in range(0, len(raw), AT_ONCE)]
+        columns = {c: np.concatenate([p[0][c] for p in parts]) for c in ("n_a", "n_b", "n_groups", "n_links")}
+        columns["groups_sha256"] = [x for p in parts for x in p[0]["groups_sha256"]]
+        listed, place = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+        place, times = place.astype("<u4"), np.concatenate([p[3] for p in parts])
+        ends = np.cumsum(np.concatenate([p[1] for p in parts])).tolist()
+        cuts = list(zip([0, *ends], ends))
+        own = {"kind": [0] * len(raw), "doc_id": batch.column("doc_id")}
+        yield own | columns | {"pairs": [place[a:b].tobytes() for a, b in cuts], "times": [times[a:b].tobytes() for a, b in cuts]}
         in_docs = np.bincount(place, minlength=len(listed)).astype("<u4")
-        nothing = {c: [None] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
+        nothing = {c: [None] for c in ("doc_id", *columns)}
         yield {"kind": [1], **nothing, "pairs": [listed.astype("<i8").tobytes()], "times": [in_docs.tobytes()]}
 
     def numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
