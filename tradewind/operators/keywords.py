@@ -48,3 +48,29 @@ def emerging_terms(queries: DataFrame, keys: list[str], k: int = 5) -> DataFrame
     top = first.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rn", "query"))), lambda s: s["query"])
     return top.groupBy(*keys).agg(F.array_join(ordered, ",").alias("terms"))
+
+
+def signal_terms(queries: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
+    """(keys, terms) as an array: what a run stores for the next one."""
+    return emerging_terms(queries, keys, k).withColumn("terms", F.split("terms", ","))
+
+
+def dynamic_keywords(signals: DataFrame, keys: list[str], as_of: str, recent: int = 16, per: int = 2, days: int = 30) -> DataFrame:
+    """(keys, category, keyword, place): rising terms that earlier runs stored and that join today's keywords.
+
+    ``signals`` (keys, category, captured_on, terms) are the stored runs. Those older than ``days`` have expired; of the rest
+    the newest ``recent`` of each key count, and each category takes its first ``per`` different terms, newest first.
+    """
+    alive = signals.filter(F.col("captured_on") >= F.date_sub(F.lit(as_of).cast("date"), days))
+    newest = Window.partitionBy(*keys).orderBy(F.desc("captured_on"), "category")
+    ranked = alive.withColumn("age", F.row_number().over(newest)).filter(F.col("age") <= recent)
+    terms = ranked.select(*keys, "category", "age", F.posexplode("terms").alias("pos", "keyword"))
+    first = terms.groupBy(*keys, "category", "keyword").agg(F.min(F.struct("age", "pos")).alias("at"))
+    place = F.row_number().over(Window.partitionBy(*keys, "category").orderBy("at", "keyword"))
+    return first.withColumn("place", place).filter(F.col("place") <= per).select(*keys, "category", "keyword", "place")
+
+
+def keywords_of_day(base: DataFrame, dynamic: DataFrame, keys: list[str]) -> DataFrame:
+    """The fixed keywords (keys, category, keyword) and behind them the dynamic ones that are not among them."""
+    fixed = base.select(*keys, "category", "keyword", F.lit(0).alias("place"))
+    return fixed.unionByName(dynamic.join(fixed.select(*keys, "category", "keyword"), [*keys, "category", "keyword"], "left_anti"))

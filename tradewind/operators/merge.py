@@ -44,3 +44,26 @@ def stale_keys(wanted: DataFrame, captured: DataFrame, keys: list[str], fresh: C
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def valid(captured_at: Column, kind: Column, as_of: Column) -> Column:
+    """Whether a capture still holds: ``hours`` for 20 hours, ``day`` on its own day, ``month`` for 30 days, ``year`` for good once its year is closed, before that for 30 days."""
+    month = captured_at >= as_of - F.expr("INTERVAL 30 DAYS")
+    return (
+        F.when(kind == "hours", captured_at >= as_of - F.expr("INTERVAL 20 HOURS"))
+        .when(kind == "day", F.to_date(captured_at) == F.to_date(as_of))
+        .when(kind == "month", month)
+        .when(kind == "year", (F.year(captured_at) < F.year(as_of)) | month)
+    )
+
+
+def reuse(wanted: DataFrame, captured: DataFrame, keys: list[str], as_of: Column, values: list[str]) -> DataFrame:
+    """(keys, kind, reused, values): for each wanted key the newest capture that still holds, else ``reused`` is false.
+
+    ``captured`` has the keys, ``captured_at`` and the values; captures after ``as_of`` do not count. Captures are reduced to one a key before they meet the wanted keys.
+    """
+    kinds = wanted.select(*keys, "kind").distinct()
+    alive = captured.filter(F.col("captured_at") <= as_of).join(kinds, keys).filter(valid(F.col("captured_at"), F.col("kind"), as_of))
+    newest = alive.groupBy(*keys, "kind").agg(F.max(F.struct("captured_at", *values)).alias("c"))
+    found = wanted.join(newest, [*keys, "kind"], "left")
+    return found.select(*wanted.columns, F.col("c").isNotNull().alias("reused"), *[F.col(f"c.{v}").alias(v) for v in values])

@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from tradewind import sinks
-from tradewind.operators import leads
+from tradewind.operators import keywords, leads, merge
 from tradewind.plans.feeds import grain_rows
 from tradewind.plans.leads import SCORING, LeadInputs
 from tradewind.plans.registry import query
-from tradewind.sources import views
+from tradewind.sources import dims, postings, views
 from tradewind.sources.stages import stage_root
 from tradewind.sources.tables import Tables
 
@@ -86,3 +86,71 @@ def export_roundtrip(t: Tables) -> DataFrame:
         F.col("lastCampaign.id").alias("last_campaign"), F.col("lastCampaign.status").alias("campaign_status"), F.col("lastCampaign.sentAt").alias("campaign_on"),
         F.col("pipeline.stage").alias("stage"), F.col("pipeline.estimatedValue").alias("estimated_value"),
     )
+
+
+FIRST_RUN, SECOND_RUN, EXPIRY = "2024-01-15", "2024-01-20", 12
+
+
+@query("dynamic_keywords", f"""
+WITH e AS (SELECT 'group' || CAST(user_id % 10 AS VARCHAR) AS grp, event_type AS category, CAST(ts AS DATE) AS day, event_type || ' ' || (props->>'$.k') AS query, event_id, value FROM events),
+sig AS (SELECT grp, category, day, query, row_number() OVER (PARTITION BY grp, category, day ORDER BY pos, query) AS rn FROM (
+ SELECT grp, category, day, query, min(event_id) AS pos FROM e WHERE value > 50 AND day < DATE '{SECOND_RUN}' GROUP BY 1, 2, 3, 4) QUALIFY rn <= 5),
+runs AS (SELECT grp, category, day, row_number() OVER (PARTITION BY grp ORDER BY day DESC, category) AS age FROM (SELECT DISTINCT grp, category, day FROM sig WHERE day >= DATE '{SECOND_RUN}' - {EXPIRY}) QUALIFY age <= 16),
+dyn AS (SELECT grp, category, query AS keyword, row_number() OVER (PARTITION BY grp, category ORDER BY best, query) AS place FROM (
+ SELECT s.grp, s.category, s.query, min(r.age * 10 + s.rn) AS best FROM sig s JOIN runs r USING (grp, category, day) GROUP BY 1, 2, 3) QUALIFY place <= 2),
+listed AS (SELECT DISTINCT grp, category, category AS keyword, 0 AS place FROM e WHERE day >= DATE '{SECOND_RUN}' UNION ALL SELECT grp, category, keyword, place FROM dyn)
+SELECT l.grp, l.category, l.keyword, CAST(l.place AS INTEGER) AS place, (SELECT count(*) FROM e WHERE e.grp = l.grp AND e.category = l.category AND e.day >= DATE '{SECOND_RUN}' AND (l.place = 0 OR e.query = l.keyword)) AS n FROM listed l""")
+def dynamic_keywords(t: Tables) -> DataFrame:
+    """Two runs store their rising terms; the third day's keyword list takes up what they stored and counts it in the new events."""
+    store, day, grp = _folder(t, "signals"), F.to_date("ts"), F.concat(F.lit("group"), (F.col("user_id") % 10).cast("string"))
+    events = t.read("events").select(
+        grp.alias("grp"), F.col("event_type").alias("category"), day.alias("captured_on"), F.concat_ws(" ", "event_type", F.get_json_object("props", "$.k")).alias("query"), F.col("event_id").alias("pos"), "value"
+    )
+    keys = ["grp", "category", "captured_on"]
+    for start, end in (("0001-01-01", FIRST_RUN), (FIRST_RUN, SECOND_RUN)):
+        seen = events.filter((F.col("captured_on") >= start) & (F.col("captured_on") < end) & (F.col("value") > 50))
+        sinks.upsert_table(t.spark, store, "signals", keywords.signal_terms(seen, keys), keys, buckets=8)
+    dynamic = keywords.dynamic_keywords(sinks.read_table(t.spark, store, "signals"), ["grp"], SECOND_RUN, days=EXPIRY)
+    today = events.filter(F.col("captured_on") >= SECOND_RUN)
+    listed = keywords.keywords_of_day(today.select("grp", "category", F.col("category").alias("keyword")).distinct(), dynamic, ["grp"])
+    both = today.groupBy("grp", "category", "query").agg(F.count(F.lit(1)).alias("n"))
+    terms = both.select("grp", "category", F.col("query").alias("keyword"), "n").unionByName(
+        both.groupBy("grp", "category").agg(F.sum("n").alias("n")).select("grp", "category", F.col("category").alias("keyword"), "n")
+    )
+    return listed.join(terms, ["grp", "category", "keyword"], "left").select("grp", "category", "keyword", "place", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+KINDS = ["hours", "day", "month", "year"]
+_CAPTURED_AT = "o_orderdate + INTERVAL 1 HOUR * (o_orderkey % 24)"
+
+
+@query("freshness_classes", f"""
+WITH wanted AS (SELECT c_custkey, ['hours', 'day', 'month', 'year'][c_custkey % 4 + 1] AS kind FROM customer),
+held AS (SELECT o_custkey, o_orderkey, o_orderstatus, {_CAPTURED_AT} AS made FROM orders WHERE {_CAPTURED_AT} <= TIMESTAMP '{{0}}'),
+alive AS (SELECT c_custkey, kind, o_orderkey, o_orderstatus, made FROM wanted JOIN held ON o_custkey = c_custkey WHERE CASE kind WHEN 'hours' THEN made >= TIMESTAMP '{{0}}' - INTERVAL 20 HOUR
+ WHEN 'day' THEN CAST(made AS DATE) = DATE '{{1}}' WHEN 'month' THEN made >= TIMESTAMP '{{0}}' - INTERVAL 30 DAY ELSE year(made) < year(DATE '{{1}}') OR made >= TIMESTAMP '{{0}}' - INTERVAL 30 DAY END
+ QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY made DESC, o_orderkey DESC) = 1)
+SELECT w.c_custkey, w.kind, a.o_orderkey IS NOT NULL AS reused, a.o_orderkey, a.o_orderstatus FROM wanted w LEFT JOIN alive a USING (c_custkey)""".format(f"{dims.AS_OF} 00:00:00", dims.AS_OF))
+def freshness_classes(t: Tables) -> DataFrame:
+    """Customers as keys of four validity classes, their orders as captures: what still holds is used again, the rest is to be fetched."""
+    wanted = t.read("customer").select("c_custkey", F.element_at(F.array(*map(F.lit, KINDS)), (F.col("c_custkey") % 4 + 1).cast("int")).alias("kind"))
+    at = F.col("o_orderdate") + F.expr("make_interval(0, 0, 0, 0, cast(o_orderkey % 24 as int), 0, 0)")
+    captured = t.read("orders").select(F.col("o_custkey").alias("c_custkey"), at.alias("captured_at"), "o_orderkey", "o_orderstatus")
+    return merge.reuse(wanted, captured, ["c_custkey"], F.lit(dims.AS_OF).cast("timestamp"), ["o_orderkey", "o_orderstatus"])
+
+
+WANTED = ["ECONOMY", "SMALL"]
+
+
+@query("array_predicates", f"""
+WITH kinds AS (SELECT l_orderkey, list(DISTINCT p_type) AS kinds FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
+SELECT 'every' AS mode, l_orderkey, CAST(len(kinds) AS BIGINT) AS n FROM kinds WHERE list_has_all(kinds, {WANTED}) UNION ALL SELECT 'any', l_orderkey, len(kinds) FROM kinds WHERE list_has_any(kinds, {WANTED})""")
+def array_predicates(t: Tables) -> DataFrame:
+    """Orders by the types of their parts, found over postings: all wanted types, or any of them."""
+    path = _folder(t, "postings")
+    lines = t.read("lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(t.read("part").select("p_partkey", "p_type"), "p_partkey")
+    kinds = lines.groupBy("l_orderkey").agg(F.collect_set("p_type").alias("kinds"))
+    rows = kinds.select("l_orderkey", F.size("kinds").cast("long").alias("n"))
+    postings.write(kinds, "l_orderkey", "kinds", path)
+    found = [postings.holding(rows, path, "l_orderkey", WANTED, every).select(F.lit(mode).alias("mode"), "l_orderkey", "n") for mode, every in (("every", True), ("any", False))]
+    return found[0].unionByName(found[1])
