@@ -207,6 +207,19 @@ def test_a_map_version_is_never_overwritten(spark, tmp_path):
         sharding.store_map(table, str(tmp_path / "m"))
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_equal_rows_spread_over_all_shards(spark, tmp_path, doc_id):
+    rows = [(doc_id, "same text " * 20)] * 3000 + [(1000 + i, f"text {i} " * 20) for i in range(100)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard(table, str(tmp_path / "maps"), shards=8).collect()
+    size, slots = Counter(), {}
+    for r in got:
+        size[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == 3100 and len(size) == 8 and max(size.values()) < 1.02 * min(size.values())
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_shards_of_no_documents(docs, tmp_path):
     assert sharding.shard(docs([]), str(tmp_path / "maps")).count() == 0
 

@@ -6,14 +6,14 @@ shards' bytes are near equal (law ``bytes``). Rebalancing edits the map and noth
 moves as few slots as it needs, and with a new shard slots move only into that one.
 
 Records with equal texts share a slot as long as their group is small against a shard. A group with more than
-a HOT_SHARE of a shard's fair bytes is spread by document id instead; there are at most shards / HOT_SHARE
+a HOT_SHARE of a shard's fair bytes is spread by row number instead; there are at most shards / HOT_SHARE
 such groups, which bounds what is broadcast. The map has SLOTS rows, which bounds what the driver sees.
 
 A record's place in its shard is the number of rows in the slots before its own plus its place in its slot, so
 rows are only sorted inside slots.
 
 Defined cases: a null text has no bytes and crc32 0; a null id hashes as such; rows equal in id and text
-share a slot; no documents give an empty result and a map of empty slots; other columns of the input are never read.
+are rows like any other; no documents give an empty result and a map of empty slots; other columns of the input are never read.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ import heapq
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tradewind.sources.stages import stage
+
 SLOTS = 4096
 ROW_BYTES = 16
 #: Share of a shard's fair bytes beyond which a group of equal texts is spread.
@@ -44,10 +46,10 @@ def hot_groups(rows: DataFrame, shards: int) -> DataFrame:
 
 
 def with_slot(rows: DataFrame, hot: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``rows`` with virtual slot ``vslot``."""
-    marked = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), ["group", "text_crc32"], "left")
-    spread = F.xxhash64(F.lit("row"), "doc_id", "group")
-    return marked.withColumn("vslot", F.pmod(F.when(F.col("hot"), spread).otherwise(F.xxhash64(F.lit("group"), "group")), F.lit(slots)).cast("int")).drop("hot")
+    """``rows`` with virtual slot ``vslot``. A row of a hot group goes by its number in the table, so that rows equal in id and text part as well."""
+    marked = rows.withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(hot.withColumn("hot", F.lit(True))), ["group", "text_crc32"], "left")
+    spread = F.xxhash64(F.lit("row"), "row")
+    return marked.withColumn("vslot", F.pmod(F.when(F.col("hot"), spread).otherwise(F.xxhash64(F.lit("group"), "group")), F.lit(slots)).cast("int")).drop("hot", "row")
 
 
 def slot_loads(slotted: DataFrame) -> list[tuple[int, int, int]]:
@@ -122,7 +124,7 @@ def shard(docs: DataFrame, folder: str, shards: int = 40, slots: int = SLOTS) ->
     """
     spark = docs.sparkSession
     rows = records(docs)
-    slotted = with_slot(rows, hot_groups(rows, shards), slots)
+    slotted = stage(with_slot(rows, hot_groups(rows, shards), slots), "shard-slots")  # row numbers are taken once
     loads = slot_loads(slotted)
     store_map(map_table(spark, assign(loads, shards, slots), loads, 1), folder)
     place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "group")) - 1
