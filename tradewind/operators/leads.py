@@ -269,12 +269,13 @@ def exhibitor_match(exhibitors: DataFrame, brands: DataFrame, brand_scores: Data
 
 
 def playbook(shows: DataFrame, show_categories: DataFrame, matched: DataFrame, corridor_scores: DataFrame, coverage: DataFrame, top: DataFrame,
-             as_of: str = dims.AS_OF) -> DataFrame:
-    """One row per upcoming show: categories, best corridors, exhibitor cards, coverage gaps, pipeline brands."""
+             as_of: str = dims.AS_OF, shown: int | None = None) -> DataFrame:
+    """One row per upcoming show: categories, its corridors by score (all, or the first ``shown``), exhibitor cards, coverage gaps, pipeline brands."""
     names = show_categories.groupBy("show_id").agg(F.array_join(F.sort_array(F.collect_set("category")), ",").alias("categories"))
     in_show = show_categories.select("show_id", "category").join(corridor_scores.select(*CORRIDOR, "composite_score"), "category")
     w = Window.partitionBy("show_id").orderBy(F.desc("composite_score"), *CORRIDOR)
-    ranked = in_show.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").join(coverage, CORRIDOR, "left")
+    ranked = in_show.withColumn("rank", F.row_number().over(w))
+    ranked = (ranked if shown is None else ranked.filter(F.col("rank") <= shown)).join(coverage, CORRIDOR, "left")
     corridors = ranked.groupBy("show_id").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", *CORRIDOR))), lambda s: F.concat_ws("/", s["category"], s["country"])), "; "

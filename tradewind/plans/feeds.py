@@ -327,14 +327,18 @@ def severity_order(t: Tables) -> DataFrame:
     )
 
 
-@query("brand_detail", """
+#: Scores that a brand's page shows.
+BRAND_SCORES = 20
+
+
+@query("brand_detail", f"""
 SELECT b.brand, round(b.revenue, 2) AS revenue, b.eu_presence, c.categories, s.best, coalesce(l.leads, 0) AS leads FROM v_brands b LEFT JOIN (SELECT brand, string_agg(category, ',' ORDER BY category) AS categories FROM v_brand_cat GROUP BY 1) c USING (brand)
-LEFT JOIN (SELECT brand, string_agg(category || '/' || country, ',' ORDER BY rn) AS best FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY composite_score DESC, country, category) AS rn FROM v_brand_scores) WHERE rn <= 3 GROUP BY 1) s USING (brand)
+LEFT JOIN (SELECT brand, string_agg(category || '/' || country, ',' ORDER BY rn) AS best FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY composite_score DESC, country, category) AS rn FROM v_brand_scores) WHERE rn <= {BRAND_SCORES} GROUP BY 1) s USING (brand)
 LEFT JOIN (SELECT brand, count(*) AS leads FROM v_leads WHERE linked GROUP BY 1) l USING (brand)""")
 def brand_detail(t: Tables) -> DataFrame:
     x = LeadInputs(t)
     w = Window.partitionBy("brand").orderBy(F.desc("composite_score"), "country", "category")
-    top = x.brand_fit.withColumn("rn", F.row_number().over(w)).filter("rn <= 3")
+    top = x.brand_fit.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= BRAND_SCORES)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rn", "category", "country"))), lambda s: F.concat_ws("/", s["category"], s["country"]))
     best = top.groupBy("brand").agg(F.array_join(listed, ",").alias("best"))
     names = x.brand_categories.groupBy("brand").agg(F.array_join(F.sort_array(F.collect_set("category")), ",").alias("categories"))
@@ -346,21 +350,12 @@ def brand_detail(t: Tables) -> DataFrame:
 
 
 @query("lead_detail", """
-SELECT l.lead, company, status, coalesce(n, 0) AS campaigns, recent, stage FROM v_leads l LEFT JOIN (
- SELECT lead, count(*) AS n, string_agg(campaign, ',' ORDER BY rn) FILTER (WHERE rn <= 3) AS recent, max(stage) FILTER (WHERE rn = 1) AS stage FROM (
-  SELECT *, row_number() OVER (PARTITION BY lead ORDER BY created_on DESC, campaign DESC) AS rn FROM v_campaigns) GROUP BY 1) c USING (lead)""")
+SELECT l.lead, company, l.status, coalesce(n, 0) AS campaigns, c.campaign, strftime(c.created_on, '%Y-%m-%d') AS campaign_on, c.status AS campaign_status, s.stage FROM v_leads l LEFT JOIN v_campaigns c ON c.lead = l.lead
+LEFT JOIN (SELECT lead, count(*) AS n, arg_max(stage, (created_on, campaign)) AS stage FROM v_campaigns GROUP BY 1) s ON s.lead = l.lead""")
 def lead_detail(t: Tables) -> DataFrame:
-    """Every lead with its campaign count, its latest three campaigns and the pipeline stage.
-
-    The three latest are picked by rank, so a lead with very many campaigns is never gathered whole.
-    """
+    """Every lead with its campaign count and pipeline stage, one row for each of its campaigns, however many; a lead without campaigns has one row."""
     history = views.campaigns(t)
-    counts = history.groupBy("lead").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("lead").orderBy(F.desc("created_on"), F.desc("campaign"))
-    top = history.withColumn("rn", F.row_number().over(w)).filter("rn <= 3")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("rn", "campaign"))), lambda s: s["campaign"].cast("string"))
-    recent = top.groupBy("lead").agg(F.array_join(listed, ",").alias("recent"), F.max(F.when(F.col("rn") == 1, F.col("stage"))).alias("stage"))
-    return (
-        views.leads(t).select("lead", "company", "status").join(counts, "lead", "left").join(recent, "lead", "left")
-        .select("lead", "company", "status", F.coalesce("n", F.lit(0)).alias("campaigns"), "recent", "stage")
-    )
+    whole = history.groupBy("lead").agg(F.count("*").alias("n"), F.max_by("stage", F.struct("created_on", "campaign")).alias("stage"))
+    each = history.select("lead", "campaign", F.date_format("created_on", "yyyy-MM-dd").alias("campaign_on"), F.col("status").alias("campaign_status"))
+    rows = views.leads(t).select("lead", "company", "status").join(whole, "lead", "left").join(each, "lead", "left")
+    return rows.select("lead", "company", "status", F.coalesce("n", F.lit(0)).alias("campaigns"), "campaign", "campaign_on", "campaign_status", "stage")

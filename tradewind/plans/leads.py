@@ -388,7 +388,7 @@ SELECT s.show_id, s.show_name, n.categories, c.corridors, c.gaps, coalesce(x.exh
 FROM v_shows s JOIN (SELECT show_id, string_agg(category, ',' ORDER BY category) AS categories FROM v_show_cat GROUP BY 1) n USING (show_id)
 LEFT JOIN (SELECT show_id, string_agg(category || '/' || country, '; ' ORDER BY rank) AS corridors, count(*) FILTER (WHERE coverage_gap) AS gaps FROM (
   SELECT k.show_id, v.*, o.coverage_gap, row_number() OVER (PARTITION BY k.show_id ORDER BY composite_score DESC, v.country, v.category) AS rank
-  FROM v_show_cat k JOIN v_scores v ON v.category = k.category LEFT JOIN v_cover o ON o.country = v.country AND o.category = v.category) WHERE rank <= 5 GROUP BY 1) c USING (show_id)
+  FROM v_show_cat k JOIN v_scores v ON v.category = k.category LEFT JOIN v_cover o ON o.country = v.country AND o.category = v.category) GROUP BY 1) c USING (show_id)
 LEFT JOIN (SELECT show_id, count(*) AS exhibitors, count(brand) AS matched FROM v_exhibitor_match GROUP BY 1) x USING (show_id)
 LEFT JOIN (SELECT show_id, string_agg(DISTINCT brand, ',' ORDER BY brand) AS pipeline_brands FROM v_show_cat k JOIN v_top_brands b ON b.category = k.category GROUP BY 1) p USING (show_id)
 WHERE s.start_on >= DATE '2001-08-01'""")
