@@ -62,3 +62,19 @@ def test_postings_answer_all_and_any_from_their_buckets(spark, tmp_path):
     plan = postings.keys_holding(path, rows.select("k"), ["a"], False)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan or "PartitionFilters: [bucket" in plan
     assert "EqualTo(value,a)" in plan or "In(value" in plan
+
+
+def test_reliance_takes_stored_primary_fallback_category_and_default(spark):
+    from tradewind.operators import scores
+
+    corridors = spark.createDataFrame([(c, k) for c in (1, 2) for k in ("a", "b", "c", "d")], "country int, category string")
+    mapping = spark.createDataFrame([("a", "P", "Q", 0.9), ("b", "X", "Q", 0.8), ("c", "Z", "Q", 0.7)], "category string, primary string, fallback string, usual double")
+    flows = spark.createDataFrame([(1, "P", 3, 4), (1, "Q", 9, 6), (1, "Z", 0, 0)], "country int, code string, own long, world long")
+    stored = spark.createDataFrame([(2, "a", "2001-07-25", 0.1), (2, "b", "2001-06-01", 0.2)], "country int, category string, at string, reliance double").select(
+        "country", "category", F.col("at").cast("timestamp").alias("captured_at"), "reliance"
+    )
+    got = {(r["country"], r["category"]): (r["reliance"], r["source"]) for r in scores.reliance_by_code(corridors, mapping, flows, stored, "2001-08-01", 0.15).collect()}
+    assert got == {
+        (1, "a"): (0.75, "primary"), (1, "b"): (1.0, "fallback"), (1, "c"): (0.7, "category"), (1, "d"): (0.15, "default"),
+        (2, "a"): (0.1, "stored"), (2, "b"): (0.8, "category"), (2, "c"): (0.7, "category"), (2, "d"): (0.15, "default"),
+    }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tradewind.functions.numeric import clamp, half_up, ladder, min_max
+from tradewind.operators import merge
 from tradewind.operators.routing import complexity
 from tradewind.sources import dims
 from tradewind.sources.stages import stage
@@ -25,6 +26,23 @@ def import_reliance(corridors: DataFrame, share: DataFrame) -> DataFrame:
     )
 
 
+def reliance_by_code(corridors: DataFrame, mapping: DataFrame, flows: DataFrame, stored: DataFrame, as_of: str, default: float) -> DataFrame:
+    """country, category, reliance, source: own over all imports of a category, capped at 1.
+
+    A stored value of the last 30 days is used again. Else the flow of the category's primary code counts, where there is none that
+    of its fallback code; without imports the category's own default, and without a mapping ``default``.
+    ``mapping`` has one row a category: primary, fallback, usual. ``flows`` has one a country and code: own, world.
+    """
+    kept = merge.reuse(corridors.select(*CORRIDOR, F.lit("month").alias("kind")), stored, CORRIDOR, F.lit(as_of).cast("timestamp"), ["reliance"])
+    flow_of = lambda code: flows.select("country", F.col("code").alias(code), F.struct("own", "world").alias(f"{code}_flow"))
+    wide = kept.join(mapping, "category", "left").join(flow_of("primary"), ["country", "primary"], "left").join(flow_of("fallback"), ["country", "fallback"], "left")
+    flow = F.coalesce("primary_flow", "fallback_flow")
+    ratio = F.when(flow["world"] > 0, F.least(F.lit(1.0), flow["own"] / flow["world"]))
+    source = F.when(F.col("reused"), "stored").when(ratio.isNotNull(), F.when(F.col("primary_flow").isNotNull(), "primary").otherwise("fallback"))
+    value = F.when(F.col("reused"), F.col("reliance")).otherwise(F.coalesce(ratio, "usual", F.lit(default)))
+    return wide.select(*CORRIDOR, half_up(value, 6).alias("reliance"), source.when(F.col("usual").isNotNull(), "category").otherwise("default").alias("source"))
+
+
 def brand_density(distributors: DataFrame, categories: DataFrame, brands: DataFrame) -> DataFrame:
     """Distinct brands carried by a market's distributors of a category."""
     local = distributors.select("suppkey", "country").join(categories, "suppkey")

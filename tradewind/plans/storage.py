@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from tradewind import sinks
-from tradewind.operators import keywords, leads, merge
+from tradewind.operators import keywords, leads, merge, scores
 from tradewind.plans.feeds import grain_rows
 from tradewind.plans.leads import SCORING, LeadInputs
 from tradewind.plans.registry import query
+from tradewind.plans.scores import R
 from tradewind.sources import dims, postings, views
 from tradewind.sources.stages import stage_root
 from tradewind.sources.tables import Tables
@@ -154,3 +155,37 @@ def array_predicates(t: Tables) -> DataFrame:
     postings.write(kinds, "l_orderkey", "kinds", path)
     found = [postings.holding(rows, path, "l_orderkey", WANTED, every).select(F.lit(mode).alias("mode"), "l_orderkey", "n") for mode, every in (("every", True), ("any", False))]
     return found[0].unionByName(found[1])
+
+
+#: For each category a primary and a fallback code and the usual reliance; other categories have none.
+CODES = [("ECONOMY", "Brand#1", "Brand#2", 0.45), ("SMALL", "Brand#99", "Brand#3", 0.3), ("LARGE", "Brand#98", "Brand#97", 0.2)]
+DEFAULT = 0.15
+_CODES = ", ".join(f"('{c}', '{p}', '{f}', {u}::DOUBLE)" for c, p, f, u in CODES)
+
+
+@query("reliance_codes", f"""
+WITH mapping(category, prime, spare, usual) AS (VALUES {_CODES}), corridors AS (SELECT n_nationkey AS nation, unnest({[c for c, *_ in CODES] + ['OTHER']}) AS category FROM nation),
+flows AS (SELECT c_nationkey AS country, p_brand AS code, sum(CASE WHEN s_nationkey % 5 = 0 THEN cents ELSE 0 END) AS own, sum(cents) AS world FROM (
+ SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey) GROUP BY 1, 2),
+held AS (SELECT nation AS country, category, usual, nation % 8 = 0 AS reused, p.own AS p_own, p.world AS p_world, f.own AS f_own, f.world AS f_world FROM corridors LEFT JOIN mapping USING (category)
+ LEFT JOIN flows p ON p.country = nation AND p.code = prime LEFT JOIN flows f ON f.country = nation AND f.code = spare)
+SELECT country, category, {R("CASE WHEN reused THEN 0.5::DOUBLE ELSE coalesce(CASE WHEN coalesce(p_world, f_world) > 0 THEN least(1.0, CASE WHEN p_world IS NOT NULL THEN p_own ELSE f_own END / coalesce(p_world, f_world)::DOUBLE) END, usual, " + str(DEFAULT) + "::DOUBLE) END", 6)} AS reliance,
+ CASE WHEN reused THEN 'stored' WHEN p_world > 0 THEN 'primary' WHEN p_world IS NULL AND f_world > 0 THEN 'fallback' WHEN usual IS NOT NULL THEN 'category' ELSE 'default' END AS source FROM held""")
+def reliance_codes(t: Tables) -> DataFrame:
+    """Reliance of each nation and category by code; every eighth nation has a stored value that holds, every other fourth one that has expired."""
+    spark = t.spark
+    categories = F.array(*[F.lit(c) for c in [c for c, *_ in CODES] + ["OTHER"]])
+    corridors = t.read("nation").select(F.col("n_nationkey").alias("country"), F.explode(categories).alias("category"))
+    lines = t.read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+    wide = (
+        lines.join(t.read("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("code")), "l_partkey")
+        .join(t.read("supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_nationkey") % 5 == 0).alias("near")), "l_suppkey")
+        .groupBy("l_orderkey", "code").agg(F.sum(F.when(F.col("near"), F.col("cents")).otherwise(0)).alias("own"), F.sum("cents").alias("world"))
+        .join(t.read("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey")
+        .join(t.read("customer").select("c_custkey", F.col("c_nationkey").alias("country")), "c_custkey")
+    )
+    flows = wide.groupBy("country", "code").agg(F.sum("own").alias("own"), F.sum("world").alias("world"))
+    age = F.when(F.col("country") % 8 == 0, 10).otherwise(40)
+    stored = corridors.filter("country % 4 = 0").select("country", "category", F.date_sub(F.lit(dims.AS_OF).cast("date"), age).cast("timestamp").alias("captured_at"), F.lit(0.5).alias("reliance"))
+    mapping = spark.createDataFrame(CODES, "category string, primary string, fallback string, usual double")
+    return scores.reliance_by_code(corridors, mapping, flows, stored, dims.AS_OF, DEFAULT)
