@@ -97,22 +97,26 @@ def json_explode(t: Tables) -> DataFrame:
 
 
 def timelines(t: Tables) -> DataFrame:
-    """Event counts per day and kind as a search-interest timeline per user group; the last day is partial."""
-    kinds = ["click", "error", "purchase", "signup", "view"]
+    """Event counts per day and kind as a search-interest timeline per user group; the last day of the table is partial.
+
+    The kinds and the last day are read from the table: one row reaches the driver.
+    """
     day = F.to_date("ts")
+    seen = t.read("events").agg(F.sort_array(F.collect_set("event_type")).alias("kinds"), F.max(day).alias("last")).first()
+    kinds, last = list(seen["kinds"] or []), seen["last"]
     group = F.concat(F.lit("group"), (F.col("user_id") % 10).cast("string"))
     per_day = t.read("events").groupBy(group.alias("grp"), day.alias("day")).agg(
-        F.array(*[F.count_if(F.col("event_type") == k).cast("double") for k in kinds]).alias("value")
+        F.array(*[F.count_if(F.col("event_type") == k).cast("double") for k in kinds]).cast("array<double>").alias("value")
     )
-    point = F.struct(F.unix_timestamp(F.col("day").cast("timestamp")).alias("time"), "value", (F.col("day") >= F.lit("2024-01-30").cast("date")).alias("isPartial"))
+    point = F.struct(F.unix_timestamp(F.col("day").cast("timestamp")).alias("time"), "value", (F.col("day") >= F.lit(last)).alias("isPartial"))
     # A timeline has one point per day of the period, so the list is bounded by the calendar.
     lists = per_day.groupBy("grp").agg(F.array_sort(F.collect_list(point)).alias("points"))
     return lists.select("grp", F.to_json(F.struct(F.array(*[F.lit(k) for k in kinds]).alias("keywords"), "points")).alias("payload"))
 
 
 register("v_points", """
-SELECT grp, day, keyword, CAST(count(event_id) AS DOUBLE) AS value, day >= DATE '2024-01-30' AS is_partial FROM (
- SELECT DISTINCT 'group' || CAST(user_id % 10 AS VARCHAR) AS grp, CAST(ts AS DATE) AS day FROM events) d CROSS JOIN (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS keyword) k
+SELECT grp, day, keyword, CAST(count(event_id) AS DOUBLE) AS value, day >= (SELECT max(CAST(ts AS DATE)) FROM events) AS is_partial FROM (
+ SELECT DISTINCT 'group' || CAST(user_id % 10 AS VARCHAR) AS grp, CAST(ts AS DATE) AS day FROM events) d CROSS JOIN (SELECT DISTINCT event_type AS keyword FROM events) k
 LEFT JOIN (SELECT event_id, 'group' || CAST(user_id % 10 AS VARCHAR) AS grp, CAST(ts AS DATE) AS day, event_type AS keyword FROM events) e USING (grp, day, keyword) GROUP BY 1, 2, 3""", True)
 
 
