@@ -43,7 +43,7 @@ SELECT lead, strftime(opened_at, '%Y-%m-%d %H:%M:%S') AS opened_at, strftime(cli
 FROM (SELECT lead, max(ts) FILTER (WHERE kind = 'opened') AS opened_at, max(ts) FILTER (WHERE kind = 'clicked') AS clicked_at, max(ts) FILTER (WHERE kind = 'bounced') AS bounced_at, max(ts) FILTER (WHERE kind = 'replied') AS replied_at,
   arg_max(st, (ts, event_id)) FILTER (WHERE st IS NOT NULL) AS status, arg_max(sentiment, (ts, event_id)) FILTER (WHERE kind = 'replied') AS sentiment, count(*) AS events
  FROM (SELECT *, CASE WHEN kind = 'bounced' AND hard THEN 'invalid' WHEN kind = 'complained' THEN 'lost' WHEN kind = 'replied' AND sentiment = 'negative' THEN 'lost' WHEN kind = 'replied' THEN 'replied' END AS st FROM (
-  SELECT e.*, {SENTIMENT_SQL} AS sentiment FROM v_engagement e LEFT JOIN (SELECT conv_id, min(text) AS text FROM conversations WHERE turn = 0 GROUP BY 1) c ON c.conv_id = e.lead)) GROUP BY 1)""")
+  SELECT e.*, {SENTIMENT_SQL} AS sentiment FROM v_engagement e LEFT JOIN (SELECT conv_id, arg_max(text, (turn, text)) AS text FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY 1) c ON c.conv_id = e.lead)) GROUP BY 1)""")
 def stream_engagement(t: Tables) -> DataFrame:
     state = jobs.engagement_state(jobs.events_stream(t), jobs.reply_texts(t.read("conversations")))
     rows = jobs.run_available(state, "update", ["lead"])

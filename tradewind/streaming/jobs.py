@@ -110,8 +110,9 @@ def engagement_state(events: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def reply_texts(conversations: DataFrame) -> DataFrame:
-    """Opening turn of each conversation as the reply of the lead with that number."""
-    return conversations.filter("turn = 0").groupBy(F.col("conv_id").alias("lead")).agg(F.min("text").alias("text"))
+    """The latest user turn of each conversation as the reply of the lead with that number."""
+    said = conversations.filter((F.col("role") == "user") & F.col("text").isNotNull())
+    return said.groupBy(F.col("conv_id").alias("lead")).agg(F.max_by("text", F.struct("turn", "text")).alias("text"))
 
 
 def events_stream(t: Tables) -> DataFrame:
