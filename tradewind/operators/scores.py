@@ -9,16 +9,18 @@ from tradewind.operators import merge
 from tradewind.operators.routing import complexity
 from tradewind.sources import dims
 from tradewind.sources.stages import stage
+from tradewind.sources.views import closed_years, month_before
 
 CORRIDOR = ["country", "category"]
 
 
-def import_reliance(corridors: DataFrame, share: DataFrame) -> DataFrame:
-    """Direct imports over all imports, capped at 1: latest year, else the year before, else a default."""
+def import_reliance(corridors: DataFrame, share: DataFrame, as_of: str = dims.AS_OF) -> DataFrame:
+    """Direct imports over all imports, capped at 1: last closed year, else the year before, else a default."""
+    latest, before = closed_years(as_of, 2)
     of = lambda year: F.max(
         F.when((F.col("year") == year) & (F.col("world") > 0), F.least(F.lit(1.0), F.coalesce("us", F.lit(0.0)) / F.col("world")))
     )
-    by_market = share.groupBy(*CORRIDOR).agg(of(2000).alias("primary"), of(1999).alias("fallback"))
+    by_market = share.groupBy(*CORRIDOR).agg(of(latest).alias("primary"), of(before).alias("fallback"))
     return corridors.join(by_market, CORRIDOR, "left").select(
         *CORRIDOR,
         half_up(F.coalesce("primary", "fallback", F.lit(dims.DEFAULT_RELIANCE)), 6).alias("reliance"),
@@ -100,7 +102,7 @@ def gap_scores(trends: DataFrame, strength: DataFrame, density: DataFrame, relia
     )
 
 
-def active_trends(trends: DataFrame, since_ym: int = 200105) -> DataFrame:
+def active_trends(trends: DataFrame, since_ym: int = month_before(dims.AS_OF, 3)) -> DataFrame:
     return trends.filter(F.col("last_ym") >= since_ym)
 
 

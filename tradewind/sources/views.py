@@ -174,25 +174,38 @@ def share(cube: DataFrame) -> DataFrame:
     )
 
 
-def consumption(cube: DataFrame) -> DataFrame:
-    """Domestic consumption proxy in EUR millions: all arrivals from outside the two named regions."""
+def month_before(as_of: str, months: int) -> int:
+    """The month (as 200107) that lies so many months before that of a date."""
+    year, month = int(as_of[:4]), int(as_of[5:7])
+    n = year * 12 + month - 1 - months
+    return n // 12 * 100 + n % 12 + 1
+
+
+def closed_years(as_of: str, n: int) -> list[int]:
+    """The last years that are over at a date, the latest first."""
+    return [int(as_of[:4]) - i for i in range(1, n + 1)]
+
+
+def consumption(cube: DataFrame, as_of: str = dims.AS_OF, left_out: tuple[str, ...] = ("AMERICA", "ASIA")) -> DataFrame:
+    """Domestic consumption proxy in EUR millions of the last two closed years: all arrivals from outside the regions left out."""
     return (
         cube.withColumn("year", F.floor(F.col("ym") / 100).cast("int"))
-        .filter(F.col("year").isin([1999, 2000]) & ~F.col("reporter").isin("AMERICA", "ASIA"))
+        .filter(F.col("year").isin(closed_years(as_of, 2)) & ~F.col("reporter").isin(*left_out))
         .groupBy(F.col("partner").alias("country"), "category", "year")
         .agg((money(F.sum("cents")) / dims.USD_PER_EUR / 1e6).alias("eur_m"))
     )
 
 
-def trends(cube: DataFrame) -> DataFrame:
-    """One trend per (country, category): growth of the last 12 months on the 12 before, with its tier."""
+def trends(cube: DataFrame, as_of: str = dims.AS_OF) -> DataFrame:
+    """One trend per (country, category): growth of the last 12 closed months on the 12 before, with its tier."""
     ym = F.col("ym")
+    first, middle, last = (month_before(as_of, n) for n in (24, 12, 1))
     month = (
-        cube.filter(ym.between(199908, 200107))
+        cube.filter(ym.between(first, last))
         .groupBy(F.col("partner").alias("country"), "category", "ym")
         .agg(F.sum("cents").cast("double").alias("c"))
     )
-    current, previous = ym.between(200008, 200107), ym.between(199908, 200007)
+    current, previous = ym >= middle, ym < middle
     vol = half_up(0.5 * F.col("sd") / F.col("mean"), 6)
     return (
         month.groupBy("country", "category")
@@ -224,10 +237,10 @@ def tier(growth: Column, volatility: Column, confidence: Column) -> Column:
     return out.when(growth < 0, "disrupted").otherwise("watch")
 
 
-def corridor_strength(cube: DataFrame) -> DataFrame:
-    """Mean signal strength (0-1) per corridor over the last three months."""
+def corridor_strength(cube: DataFrame, as_of: str = dims.AS_OF) -> DataFrame:
+    """Mean signal strength (0-1) per corridor over the last three closed months."""
     return (
-        cube.filter(F.col("ym").between(200105, 200107))
+        cube.filter(F.col("ym").between(month_before(as_of, 3), month_before(as_of, 1)))
         .groupBy(F.col("partner").alias("country"), "category")
         .agg((F.sum("qty") / F.sum("n") / 50.0).alias("strength"))
     )
