@@ -82,24 +82,25 @@ def distributor_score(distributors: DataFrame, categories: DataFrame, active: Da
 
 
 def lead_profiles(leads: DataFrame, brand_categories: DataFrame) -> DataFrame:
-    """Each lead with its profile: the sorted list of its categories, as one key; empty for a brand without categories.
+    """Each lead with its profile: the sorted list of its categories, as one key; its best category for a brand without any.
 
-    Matching depends on a lead only through its country and categories, so it is done once per
-    (country, profile) and leads look the result up; pairs of leads and distributors are never formed.
+    ``leads`` carries its resolved corridor (country, category). Matching depends on a lead only through that country and
+    its categories, so it is done once per (country, profile) and leads look the result up; pairs of leads and
+    distributors are never formed. A lead without a corridor has no country and finds nothing.
     """
     profiles = brand_categories.groupBy("brand").agg(F.array_join(F.sort_array(F.collect_set("category")), ",").alias("profile"))
-    return leads.join(profiles, "brand", "left").withColumn("profile", F.coalesce("profile", F.lit("")))
+    return leads.join(profiles, "brand", "left").withColumn("profile", F.coalesce("profile", "category", F.lit("")))
 
 
 def profile_categories(leads_with_profile: DataFrame) -> DataFrame:
-    """Distinct (country, profile) with one row per category of the profile."""
-    distinct = leads_with_profile.select(*PROFILE).distinct()
+    """Distinct (country, profile) of the leads with a corridor, one row per category of the profile."""
+    distinct = leads_with_profile.filter("country IS NOT NULL").select(*PROFILE).distinct()
     listed = F.split("profile", ",")
     return distinct.select(*PROFILE, F.size(listed).alias("n_categories"), F.explode(listed).alias("category"))
 
 
 def match(profiles: DataFrame, distributors: DataFrame, categories: DataFrame, intent: DataFrame, scores: DataFrame) -> DataFrame:
-    """Distributors of a profile's country with a shared category, scored; at least 0.30 to stay."""
+    """Distributors of a profile's country, the leads' best corridor's, with a shared category, scored; at least 0.30 to stay."""
     supply = (
         categories.join(distributors.select("suppkey", "name", "country"), "suppkey")
         .join(intent.select("suppkey", "category", "strength"), ["suppkey", "category"], "left")
@@ -177,16 +178,21 @@ def proximity(matches: DataFrame, portfolio: DataFrame, lead_labels: DataFrame)
     )
 
 
-def regulatory_risk(profiles: DataFrame, flags: DataFrame) -> DataFrame:
-    """Highest risk of the flags on a profile's categories in its market or everywhere; low without any."""
+def regulatory_risk(corridors: DataFrame, flags: DataFrame) -> DataFrame:
+    """Highest risk of the flags on a corridor's category in its country or in the whole market; low without any.
+
+    ``corridors`` are (country, category) of leads, repeats allowed; one row each comes back.
+    """
+    key = ["country", "category"]
     order = F.create_map(*[x for k, v in dims.FLAG_ORDER.items() for x in (F.lit(k), F.lit(v))])
     best = F.coalesce(F.max("level"), F.lit(1))
     return (
-        profiles.join(flags, "category", "left")
+        corridors.filter("country IS NOT NULL").select(*key).distinct()
+        .join(flags, "category", "left")
         .withColumn("level", F.when(F.col("market").isin("EU") | (F.col("market") == F.col("country")), F.try_element_at(order, F.col("risk"))))
-        .groupBy(*PROFILE)
+        .groupBy(*key)
         .agg(F.count("level").alias("flags"), best.alias("level"))
-        .select(*PROFILE, "flags", F.element_at(F.array(*[F.lit(k) for k in dims.FLAG_ORDER]), F.col("level")).alias("risk"))
+        .select(*key, "flags", F.element_at(F.array(*[F.lit(k) for k in dims.FLAG_ORDER]), F.col("level")).alias("risk"))
     )
 
 

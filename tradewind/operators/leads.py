@@ -32,25 +32,38 @@ def brand_targets(brand_scores: DataFrame, corridor_scores: DataFrame, brand_cat
     )
 
 
-def lead_quality(
-    leads: DataFrame, targets: DataFrame, gaps: DataFrame, trends: DataFrame, counts: DataFrame, risks: DataFrame
-) -> DataFrame:
+def resolve_corridor(leads: DataFrame, targets: DataFrame) -> DataFrame:
+    """Best corridor of every lead as (country, category) with its ``composite`` score; the lead's own country becomes ``home``.
+
+    A linked lead takes its brand's best scored corridor, any other the best corridor of the brand's categories at 0.7 of
+    its score. A brand without scores gives no corridor. The targets are one row a brand, so the leads are not grouped.
+    """
+    linked = F.col("linked") & F.col("own_score").isNotNull()
+    pick = lambda own, fallback: F.when(linked, F.col(own)).otherwise(fallback)
+    return (
+        leads.withColumnRenamed("country", "home")
+        .join(targets, "brand", "left")
+        .withColumn("country", pick("own_country", F.col("fb_country")))
+        .withColumn("category", pick("own_category", F.col("fb_category")))
+        .withColumn("composite", pick("own_score", F.coalesce(F.col("fb_score") * 0.7, F.lit(0.0))))
+        .drop("own_score", "own_country", "own_category", "fb_score", "fb_country", "fb_category")
+    )
+
+
+def lead_quality(leads: DataFrame, gaps: DataFrame, trends: DataFrame, counts: DataFrame, risks: DataFrame) -> DataFrame:
     """Quality 0-100 of every lead from its best corridor, contacts, distributor matches and risk.
 
-    ``leads`` carries ``profile`` and ``linked`` (whether the brand is known). Everything joined here
-    is at brand, corridor or profile grain; the lead table is never shuffled on a skewed key unless
-    those grains outgrow a broadcast.
+    ``leads`` carries its resolved corridor and ``profile``. Everything joined here is at corridor or profile grain; the
+    lead table is never shuffled on a skewed key unless those grains outgrow a broadcast.
     """
     c = F.col
-    linked = c("linked") & c("own_score").isNotNull()
     bonus_map = F.create_map(*[x for k, v in dims.TIER_BONUS.items() for x in (F.lit(k), F.lit(v))])
     have = lambda name, w: F.when(c(name), F.lit(w)).otherwise(0.0)
     contact = have("has_email", 50.0) + have("has_profile", 30.0) + have("has_site", 20.0)
-    composite = F.when(linked, c("own_score")).otherwise(F.coalesce(c("fb_score") * 0.7, F.lit(0.0)))
     penalty = F.when(c("risk") == "high", 20.0).when(c("risk") == "medium", 8.0).otherwise(0.0)
     bonus = F.coalesce(F.try_element_at(bonus_map, c("tier")), F.lit(0.0))
     total = (
-        composite * 0.35
+        c("composite") * 0.35
         + F.coalesce("gap_score", F.lit(0.0)) * 0.22
         + bonus * 0.18
         + contact * 0.12
@@ -58,15 +71,10 @@ def lead_quality(
         - penalty
     )
     return (
-        leads.withColumnRenamed("country", "home")
-        .join(targets, "brand", "left")
-        .withColumn("country", F.when(linked, c("own_country")).otherwise(c("fb_country")))
-        .withColumn("category", F.when(linked, c("own_category")).otherwise(c("fb_category")))
-        .withColumn("composite", composite)
-        .join(gaps.select(*CORRIDOR, "gap_score"), CORRIDOR, "left")
+        leads.join(gaps.select(*CORRIDOR, "gap_score"), CORRIDOR, "left")
         .join(trends.select(*CORRIDOR, "tier"), CORRIDOR, "left")
-        .join(counts.select(c("country").alias("home"), "profile", "matches"), ["home", "profile"], "left")
-        .join(risks.select(c("country").alias("home"), "profile", "risk"), ["home", "profile"], "left")
+        .join(counts.select("country", "profile", "matches"), ["country", "profile"], "left")
+        .join(risks.select(*CORRIDOR, "risk"), CORRIDOR, "left")
         .select(
             "lead",
             "company",
@@ -76,7 +84,7 @@ def lead_quality(
             "status",
             "exported_on",
             "has_email",
-            F.when(composite > 0, half_up(composite)).alias("opportunity_score"),
+            F.when(c("composite") > 0, half_up(c("composite"))).alias("opportunity_score"),
             c("country").alias("best_country"),
             c("category").alias("best_category"),
             "gap_score",
@@ -102,7 +110,7 @@ def pitch_angle(quality: DataFrame, corridor_strength: DataFrame) -> DataFrame:
         .otherwise("margin_expansion")
     )
     hook = (
-        F.when(c("angle") == "distributor_pull", F.format_string("%d distributors in %s are sourcing this category now.", "matches", "home"))
+        F.when(c("angle") == "distributor_pull", F.format_string("%d distributors in %s are sourcing this category now.", "matches", "best_country"))
         .when(c("angle") == "first_mover", F.format_string("The %s market in %s is growing rapidly.", "best_category", "best_country"))
         .when(
             c("angle") == "unmet_demand",

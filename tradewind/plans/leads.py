@@ -42,9 +42,14 @@ FROM (SELECT d.suppkey, d.country, coalesce(al, 0) AS al, coalesce(act, 0) AS ac
  FROM v_distributors d LEFT JOIN (SELECT suppkey, CAST(count(*) FILTER (WHERE category IN (SELECT category FROM v_all_scores WHERE composite_score >= 60)) AS DOUBLE) / count(*) AS al
    FROM v_dist_cat GROUP BY 1) USING (suppkey) LEFT JOIN (SELECT suppkey, avg(strength) AS act FROM v_intent GROUP BY 1) USING (suppkey))""", True)
 register("v_profiles", "SELECT brand, string_agg(category, ',' ORDER BY category) AS profile FROM v_brand_cat GROUP BY 1")
-register("v_lead_prof", "SELECT l.*, coalesce(profile, '') AS profile FROM v_leads l LEFT JOIN v_profiles USING (brand)", True)
+register("v_lead_corridor", """
+SELECT l.* EXCLUDE (country), l.country AS home,
+ CASE WHEN linked AND own_score IS NOT NULL THEN own_score ELSE coalesce(fb_score * 0.7::DOUBLE, 0) END AS comp,
+ CASE WHEN linked AND own_score IS NOT NULL THEN own_country ELSE fb_country END AS country, CASE WHEN linked AND own_score IS NOT NULL THEN own_category ELSE fb_category END AS category
+FROM v_leads l LEFT JOIN v_brand_targets USING (brand)""")
+register("v_lead_prof", "SELECT l.*, coalesce(profile, category, '') AS profile FROM v_lead_corridor l LEFT JOIN v_profiles USING (brand)", True)
 register("v_prof_cat", """
-SELECT country, profile, len(string_split(profile, ',')) AS n_categories, unnest(string_split(profile, ',')) AS category FROM (SELECT DISTINCT country, profile FROM v_lead_prof)""", True)
+SELECT country, profile, len(string_split(profile, ',')) AS n_categories, unnest(string_split(profile, ',')) AS category FROM (SELECT DISTINCT country, profile FROM v_lead_prof WHERE country IS NOT NULL)""", True)
 register("v_match", f"""
 SELECT country, profile, suppkey, name, {R("ov", 6)} AS category_overlap, {R("mi", 6)} AS max_intent, {R("ms", 6)} AS match_score,
  'category_alignment' || CASE WHEN mi > 0.5 THEN ',intent_signal' ELSE '' END || ',country_match' AS reasons
@@ -56,9 +61,9 @@ register("v_match_counts", "SELECT country, profile, count(*) AS matches, max(ma
 register("v_match_top", """
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY country, profile ORDER BY match_score DESC, suppkey) AS INTEGER) AS rank FROM v_match) WHERE rank <= 5""")
 register("v_risk", """
-SELECT country, profile, count(level) AS flags, ['low', 'medium', 'high'][coalesce(max(level), 1)] AS risk FROM (
- SELECT p.country, p.profile, CASE WHEN market IN ('EU', p.country) THEN CASE risk WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END END AS level
- FROM v_prof_cat p LEFT JOIN v_flags f USING (category)) GROUP BY 1, 2""", True)
+SELECT country, category, count(level) AS flags, ['low', 'medium', 'high'][coalesce(max(level), 1)] AS risk FROM (
+ SELECT p.country, p.category, CASE WHEN market IN ('EU', p.country) THEN CASE risk WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END END AS level
+ FROM (SELECT DISTINCT country, category FROM v_lead_prof WHERE country IS NOT NULL) p LEFT JOIN v_flags f USING (category)) GROUP BY 1, 2""", True)
 register("v_brand_targets", """
 SELECT brand, o.composite_score AS own_score, o.country AS own_country, o.category AS own_category, f.composite_score AS fb_score, f.country AS fb_country, f.category AS fb_category
 FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY composite_score DESC, country, category) AS rn FROM v_brand_scores) WHERE rn = 1) o
@@ -69,14 +74,11 @@ SELECT lead, company, home, brand, profile, status, exported_on, has_email, CASE
  {R("least(greatest(round(comp * 0.35 + coalesce(gap_score, 0) * 0.22 + coalesce(bonus, 0) * 0.18 + contact * 0.12 + least(coalesce(matches, 0) * 3.0, 15.0) - CASE risk WHEN 'high' THEN 20 WHEN 'medium' THEN 8 ELSE 0 END, 9), 0), 100)")} AS quality
 FROM (SELECT x.*, g.gap_score, t.tier, bonus::DOUBLE AS bonus, m.matches, r.risk,
   (CASE WHEN has_email THEN 50 ELSE 0 END + CASE WHEN has_profile THEN 30 ELSE 0 END + CASE WHEN has_site THEN 20 ELSE 0 END)::DOUBLE AS contact
- FROM (SELECT lead, company, l.country AS home, brand, profile, status, exported_on, has_email, has_profile, has_site,
-   CASE WHEN linked AND own_score IS NOT NULL THEN own_score ELSE coalesce(fb_score * 0.7::DOUBLE, 0) END AS comp,
-   CASE WHEN linked AND own_score IS NOT NULL THEN own_country ELSE fb_country END AS country, CASE WHEN linked AND own_score IS NOT NULL THEN own_category ELSE fb_category END AS category
-  FROM v_lead_prof l LEFT JOIN v_brand_targets USING (brand)) x
+ FROM v_lead_prof x
  LEFT JOIN v_gap g ON g.country = x.country AND g.category = x.category LEFT JOIN v_active t ON t.country = x.country AND t.category = x.category LEFT JOIN v_tier_bonus b ON b.tier = t.tier
- LEFT JOIN v_match_counts m ON m.country = x.home AND m.profile = x.profile LEFT JOIN v_risk r ON r.country = x.home AND r.profile = x.profile)""", True)
+ LEFT JOIN v_match_counts m ON m.country = x.country AND m.profile = x.profile LEFT JOIN v_risk r ON r.country = x.country AND r.category = x.category)""", True)
 register("v_pitch", f"""
-SELECT *, CASE angle WHEN 'distributor_pull' THEN matches || ' distributors in ' || home || ' are sourcing this category now.' WHEN 'first_mover' THEN 'The ' || best_category || ' market in ' || best_country || ' is growing rapidly.'
+SELECT *, CASE angle WHEN 'distributor_pull' THEN matches || ' distributors in ' || best_country || ' are sourcing this category now.' WHEN 'first_mover' THEN 'The ' || best_category || ' market in ' || best_country || ' is growing rapidly.'
  WHEN 'unmet_demand' THEN 'Retailers in ' || best_country || ' look for ' || best_category || ' (gap score: ' || CAST(floor(coalesce(gap_score, 0) + 0.5) AS BIGINT) || '/100).'
  WHEN 'cost_optimisation' THEN 'Gateway routing cuts the landed cost.' ELSE 'The ' || best_category || ' category in ' || best_country || ' commands higher unit values.' END AS hook
 FROM (SELECT q.*, CASE WHEN matches >= 2 THEN 'distributor_pull' WHEN coalesce(gap_score, 0) > 70 AND tier IN ('breakthrough', 'accelerating') THEN 'first_mover'
@@ -133,7 +135,9 @@ class LeadInputs(Inputs):
 
     @cached_property
     def leads(self) -> DataFrame:
-        return dist.lead_profiles(views.leads(self.t), self.brand_categories)
+        """Leads with their best corridor and profile."""
+        targets = leads.brand_targets(self.brand_fit, self.corridor_scores, self.brand_categories)
+        return dist.lead_profiles(leads.resolve_corridor(views.leads(self.t), stage(targets, "brand_targets")), self.brand_categories)
 
     @cached_property
     def profiles(self) -> DataFrame:
@@ -146,12 +150,11 @@ class LeadInputs(Inputs):
 
     @cached_property
     def risks(self) -> DataFrame:
-        return dist.regulatory_risk(self.profiles, F.broadcast(dims.regulatory_flags(self.t.spark)))
+        return dist.regulatory_risk(self.leads, F.broadcast(dims.regulatory_flags(self.t.spark)))
 
     @cached_property
     def quality(self) -> DataFrame:
-        targets = leads.brand_targets(self.brand_fit, self.corridor_scores, self.brand_categories)
-        return leads.lead_quality(self.leads, targets, self.gap, self.active, dist.match_counts(self.matches), self.risks)
+        return leads.lead_quality(self.leads, self.gap, self.active, dist.match_counts(self.matches), self.risks)
 
     @cached_property
     def pitched(self) -> DataFrame:
@@ -186,14 +189,14 @@ def lead_match(t: Tables) -> DataFrame:
 
 
 @query("lead_match_count", """
-SELECT l.lead, l.country, profile, coalesce(matches, 0) AS matches, best_match FROM v_lead_prof l LEFT JOIN v_match_counts USING (country, profile)
+SELECT l.lead, l.home, l.country, profile, coalesce(matches, 0) AS matches, best_match FROM v_lead_prof l LEFT JOIN v_match_counts USING (country, profile)
 WHERE status IN ('new', 'reviewed', 'approved')""")
 def lead_match_count(t: Tables) -> DataFrame:
     x = LeadInputs(t, *SCORING)
     rows = x.leads.filter(F.col("status").isin("new", "reviewed", "approved"))
     counts = dist.match_counts(x.matches)
     return rows.join(counts, dist.PROFILE, "left").select(
-        "lead", "country", "profile", F.coalesce("matches", F.lit(0)).alias("matches"), "best_match"
+        "lead", "home", "country", "profile", F.coalesce("matches", F.lit(0)).alias("matches"), "best_match"
     )
 
 
@@ -221,11 +224,13 @@ def match_top5(t: Tables) -> DataFrame:
 
 
 @query("risk_level", """
-SELECT lead, coalesce(flags, 0) AS flags, coalesce(r.risk, 'low') AS risk FROM v_lead_prof l LEFT JOIN v_risk r USING (country, profile)""")
+SELECT lead, country AS best_country, category AS best_category, coalesce(flags, 0) AS flags, coalesce(r.risk, 'low') AS risk
+FROM v_lead_prof l LEFT JOIN v_risk r USING (country, category)""")
 def risk_level(t: Tables) -> DataFrame:
-    x = LeadInputs(t)
-    return x.leads.join(x.risks, dist.PROFILE, "left").select(
-        "lead", F.coalesce("flags", F.lit(0)).alias("flags"), F.coalesce("risk", F.lit("low")).alias("risk")
+    x = LeadInputs(t, *SCORING)
+    return x.leads.join(x.risks, leads.CORRIDOR, "left").select(
+        "lead", F.col("country").alias("best_country"), F.col("category").alias("best_category"),
+        F.coalesce("flags", F.lit(0)).alias("flags"), F.coalesce("risk", F.lit("low")).alias("risk")
     )
 
 
@@ -248,7 +253,7 @@ SELECT country, profile, brand, suppkey, CASE WHEN exact > 0 THEN 'exact' WHEN a
  {R("least(match_score * CASE WHEN exact > 0 THEN 0.85::DOUBLE WHEN adjacent > 0 THEN 1.05::DOUBLE ELSE 1 END, 1)", 6)} AS adjusted_score
 FROM (SELECT m.country, m.profile, b.brand, m.suppkey, match_score, sum(CASE WHEN p.label = b.label THEN n ELSE 0 END) AS exact,
   sum(CASE WHEN p.label <> b.label AND p.parent = b.parent THEN n ELSE 0 END) AS adjacent
- FROM v_match m JOIN (SELECT brand, profile, label, parent FROM v_brand_label JOIN v_profiles USING (brand)) b USING (profile) JOIN v_portfolio p ON p.suppkey = m.suppkey GROUP BY 1, 2, 3, 4, 5)""")
+ FROM v_match m JOIN (SELECT DISTINCT brand, profile, label, parent FROM v_brand_label JOIN v_lead_prof USING (brand)) b USING (profile) JOIN v_portfolio p ON p.suppkey = m.suppkey GROUP BY 1, 2, 3, 4, 5)""")
 
 
 def part_labels(t: Tables) -> DataFrame:
