@@ -217,22 +217,6 @@ def approvals(fired: DataFrame, leads: DataFrame) -> DataFrame:
     return leads.join(chosen, "brand", "left").withColumn("status", F.when(change, "approved").otherwise(F.col("status"))).drop("hit")
 
 
-def insight_pick(scores: DataFrame, recent: DataFrame, threshold: float, brand_limit: int = 20, briefs: int = 10) -> DataFrame:
-    """Corridor alerts, top brand alerts and market briefs with titles not used lately."""
-    score = F.col("composite_score")
-    base = lambda df, kind, title: df.select(F.lit(kind).alias("kind"), title.alias("title"), score.alias("score"))
-    corridor = scores.filter("brand IS NULL")
-    brand = scores.filter("brand IS NOT NULL")
-    top = corridor.orderBy(F.desc("composite_score"), *CORRIDOR).limit(briefs)
-    best = brand.filter(score >= threshold).orderBy(F.desc("composite_score"), "brand", *CORRIDOR).limit(brand_limit)
-    out = (
-        base(corridor.filter(score >= threshold), "alert", alert_title("Opportunity alert"))
-        .unionByName(base(best, "brand_alert", F.format_string("Brand opportunity: %s in %s x %s", "brand", "category", "country")))
-        .unionByName(base(top, "brief", F.format_string("Market brief: %s in %s", "category", "country")))
-    )
-    return out.join(recent, "title", "left_anti")
-
-
 def top_brands(brand_scores: DataFrame, per_category: int = 3) -> DataFrame:
     best = best_by(brand_scores, ["brand", "category"], "composite_score", ["country"], ["composite_score", "country"])
     w = Window.partitionBy("category").orderBy(F.desc("composite_score"), "brand")

@@ -325,17 +325,6 @@ def rule_approvals(t: Tables) -> DataFrame:
     return leads.approvals(LeadInputs(t, *SCORING).fired(), views.leads(t)).select("lead", "brand", "status")
 
 
-@query("insights_pick", """
-SELECT * FROM (SELECT 'alert' AS kind, 'Opportunity alert: ' || category || ' x ' || country AS title, composite_score AS score FROM v_scores WHERE composite_score >= 50
- UNION ALL SELECT * FROM (SELECT 'brand_alert', 'Brand opportunity: ' || brand || ' in ' || category || ' x ' || country, composite_score FROM v_brand_scores WHERE composite_score >= 50 ORDER BY composite_score DESC, brand, country, category LIMIT 20)
- UNION ALL SELECT * FROM (SELECT 'brief', 'Market brief: ' || category || ' in ' || country, composite_score FROM v_scores ORDER BY composite_score DESC, country, category LIMIT 10))
-WHERE title NOT IN (SELECT 'Opportunity alert: ' || category || ' x ' || country FROM v_day_pairs)""")
-def insights_pick(t: Tables) -> DataFrame:
-    x = LeadInputs(t, *SCORING)
-    recent = x.day_pairs().select(leads.alert_title("Opportunity alert").alias("title"))
-    return leads.insight_pick(x.all_scores, recent, threshold=50.0)
-
-
 @query("top_brands", "SELECT * FROM v_top_brands")
 def top_brands(t: Tables) -> DataFrame:
     return leads.top_brands(LeadInputs(t, *SCORING).brand_fit)

@@ -164,7 +164,9 @@ _MATERIALIZED = {"v_cube", "v_annual", "v_growth", "v_trends", "v_dist_cat", "v_
 
 
 def register(name: str, sql: str, materialized: bool = False) -> None:
-    """Let a query module add its result as a view that later oracles can name."""
+    """Let a query module add its result as a view that later oracles can name; a name is given once."""
+    if name in VIEWS:
+        raise ValueError(f"view {name} is registered twice")
     VIEWS[name] = sql
     if materialized:
         _MATERIALIZED.add(name)
