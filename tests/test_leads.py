@@ -1,3 +1,5 @@
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from tradewind.operators import distributors as dist
@@ -67,3 +69,30 @@ def test_quality_uses_matches_and_risk_of_the_corridor(spark):
     risks = spark.createDataFrame([("NATION_6", "SMALL", "medium"), ("NATION_1", "SMALL", "high")], "country string, category string, risk string")
     got = {r.lead: (r.matches, r.risk, r.quality) for r in ops.lead_quality(leads, gaps, tiers, counts, risks).collect()}
     assert got == {1: (2, "medium", 70 * 0.35 + 6 - 8), 2: (0, "low", 19.6), 3: (0, "low", 0.0), 4: (0, "low", 0.0)}
+
+
+def test_export_carries_the_pipeline_and_the_newest_briefing(spark):
+    quality = spark.createDataFrame(
+        [(1, "One", "won", 10.0, "N1", "LARGE", None), (2, "Two", "new", 80.0, "N1", "LARGE", None), (3, "Three", "new", 80.0, "N1", "LARGE", date(2001, 7, 30))],
+        "lead long, company string, status string, quality double, best_country string, best_category string, exported_on date",
+    )
+    campaigns = spark.createDataFrame(
+        [(7, 1, "sent", date(2001, 1, 2), "x", 1), (8, 1, "draft", date(2001, 1, 1), "y", 2)], "campaign long, lead long, status string, created_on date, stage string, cents long"
+    )
+    pipeline = spark.createDataFrame([(1, "proposal", 12.5, 60)], "lead long, stage string, estimated_value double, probability_percent int")
+    briefings = spark.createDataFrame(
+        [(1, "old", date(2001, 1, 1)), (1, "a", date(2001, 2, 1)), (1, "b", date(2001, 2, 1)), (9, "other", date(2001, 3, 1))], "lead long, title string, created_on date"
+    )
+    chosen = ops.crm_selection(quality, campaigns, pipeline, briefings, as_of="2001-08-01")
+    got = {r.lead: (r.status, r.last_campaign, r.stage, r.estimated_value, r.probability_percent, r.briefing) for r in chosen.collect()}
+    assert got == {1: ("won", 7, "proposal", 12.5, 60, "b"), 2: ("new", None, None, None, None, None)}
+    nested = {r.lead: r for r in ops.nested_export(chosen).collect()}
+    assert (nested[1].pipeline.probabilityPercent, nested[1].briefingTitle, nested[2].pipeline, nested[2].lastCampaign) == (60, "b", None, None)
+
+
+def test_match_rate_is_zero_without_exhibitors_and_skips_unknown_and_past_shows(spark):
+    shows = spark.createDataFrame([(1, date(2001, 8, 1)), (2, date(2001, 9, 1)), (3, date(2001, 7, 1)), (4, date(2001, 9, 1))], "show_id int, start_on date")
+    categories = spark.createDataFrame([(1, "LARGE"), (1, "SMALL"), (2, "LARGE"), (3, "LARGE")], "show_id int, category string")
+    booths = spark.createDataFrame([(1, "A"), (1, None), (1, None), (3, "B"), (4, "C")], "show_id int, brand string")
+    assert tuple(ops.match_rate(shows, categories, booths, "2001-08-01").first()) == (2, 3, 1, 0.333333)
+    assert tuple(ops.match_rate(shows, categories, booths.filter("false"), "2001-08-01").first()) == (2, 0, 0, 0.0)

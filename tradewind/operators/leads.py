@@ -152,34 +152,46 @@ def outreach_pick(
     )
 
 
-def crm_selection(quality: DataFrame, campaigns: DataFrame, as_of: str = dims.AS_OF, min_quality: float = 75.0) -> DataFrame:
-    """Leads to export: by status, or good and not exported for a week; latest campaign attached."""
+def crm_selection(
+    quality: DataFrame, campaigns: DataFrame, pipeline: DataFrame, briefings: DataFrame, as_of: str = dims.AS_OF, min_quality: float = 75.0
+) -> DataFrame:
+    """Leads to export: by status, or good and not exported for a week; latest campaign, pipeline entry and newest briefing attached.
+
+    ``pipeline`` has one row a lead; of several briefings the newest counts (ties: the later title).
+    """
+    titles = briefings.groupBy("lead").agg(F.max_by("title", F.struct("created_on", "title")).alias("briefing"))
     stale = F.col("exported_on").isNull() | (F.col("exported_on") < F.date_sub(F.lit(as_of).cast("date"), 7))
     chosen = quality.filter(F.col("status").isin("replied", "qualified", "won") | ((F.col("quality") >= min_quality) & stale))
-    return chosen.join(latest_campaign(campaigns), "lead", "left").select(
+    joined = chosen.join(latest_campaign(campaigns), "lead", "left").join(pipeline, "lead", "left").join(titles, "lead", "left")
+    return joined.select(
         "lead",
         "company",
-        "status",
+        chosen.status,
         "quality",
         "best_country",
         "best_category",
         F.col("last.campaign").alias("last_campaign"),
         F.col("last.status").alias("campaign_status"),
         F.date_format("last.created_on", "yyyy-MM-dd").alias("campaign_on"),
-        F.col("last.stage").alias("stage"),
-        (F.col("last.cents") / 100.0).alias("estimated_value"),
+        "stage",
+        "estimated_value",
+        "probability_percent",
+        "briefing",
     )
 
 
 def nested_export(selection: DataFrame) -> DataFrame:
-    """The JSON shape of the export: the campaign and pipeline parts as sub-objects."""
+    """The JSON shape of the export: the campaign and pipeline parts as sub-objects. A selection without probability or briefing has none in its JSON."""
+    chance = [F.col("probability_percent").alias("probabilityPercent")] if "probability_percent" in selection.columns else []
+    briefing = [F.col("briefing").alias("briefingTitle")] if "briefing" in selection.columns else []
     return selection.select(
         "lead", "company", "status", "quality", "best_country", "best_category",
         F.when(
             F.col("last_campaign").isNotNull(),
             F.struct(F.col("last_campaign").alias("id"), F.col("campaign_status").alias("status"), F.col("campaign_on").alias("sentAt")),
         ).alias("lastCampaign"),
-        F.when(F.col("stage").isNotNull(), F.struct("stage", F.col("estimated_value").alias("estimatedValue"))).alias("pipeline"),
+        F.when(F.col("stage").isNotNull(), F.struct("stage", F.col("estimated_value").alias("estimatedValue"), *chance)).alias("pipeline"),
+        *briefing,
     )
 
 
@@ -260,6 +272,16 @@ def exhibitor_match(exhibitors: DataFrame, brands: DataFrame, brand_scores: Data
     )
 
 
+def match_rate(shows: DataFrame, show_categories: DataFrame, matched: DataFrame, as_of: str = dims.AS_OF) -> DataFrame:
+    """Over all shows to come that have a known category: shows, exhibitors, those found among the brands, and their share (0 without any)."""
+    coming = shows.filter(F.col("start_on") >= F.lit(as_of).cast("date")).join(show_categories.select("show_id").distinct(), "show_id").select("show_id")
+    per_show = matched.groupBy("show_id").agg(F.count("*").alias("e"), F.count("brand").alias("m"))
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0))
+    return coming.join(per_show, "show_id", "left").agg(F.count("*").alias("shows"), total("e").alias("exhibitors"), total("m").alias("matched")).withColumn(
+        "match_rate", half_up(F.when(F.col("exhibitors") > 0, F.col("matched") / F.col("exhibitors")).otherwise(0.0), 6)
+    )
+
+
 def playbook(shows: DataFrame, show_categories: DataFrame, matched: DataFrame, corridor_scores: DataFrame, coverage: DataFrame, top: DataFrame,
              as_of: str = dims.AS_OF, shown: int | None = None) -> DataFrame:
     """One row per upcoming show: categories, its corridors by score (all, or the first ``shown``), exhibitor cards, coverage gaps, pipeline brands."""

@@ -208,3 +208,15 @@ def brand_fit(brands: DataFrame, matches: DataFrame, corridors: DataFrame, dimen
             half_up(total["category"] * F.col("category_score") + total["brand"] * fit + total["ni"] * routing).alias("composite_score"),
         )
     )
+
+
+def gap_summary(gaps: DataFrame) -> DataFrame:
+    """Corridors, those at 80 or more, the mean score as a whole number and the largest gap (ties: first by country and category)."""
+    score = F.col("gap_score")
+    return gaps.agg(
+        F.count("*").alias("corridors"),
+        F.count_if(score >= 80).alias("above_80"),
+        half_up(F.avg(F.round(score * 10).cast("bigint")) / 10.0, 0).alias("mean_score"),
+        F.min_by(F.concat_ws(" x ", "category", "country"), F.struct((-score).alias("s"), *CORRIDOR)).alias("top_gap"),
+        F.max(score).alias("top_score"),
+    )

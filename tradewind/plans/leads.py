@@ -87,8 +87,8 @@ FROM (SELECT q.*, CASE WHEN matches >= 2 THEN 'distributor_pull' WHEN coalesce(g
 register("v_last_campaign", "SELECT lead, arg_max(c, (c.created_on, c.campaign)) AS last FROM (SELECT lead, v_campaigns AS c FROM v_campaigns) GROUP BY 1")
 register("v_export", """
 SELECT q.lead, company, q.status, quality, best_country, best_category, l.last.campaign AS last_campaign, l.last.status AS campaign_status,
- strftime(l.last.created_on, '%Y-%m-%d') AS campaign_on, l.last.stage AS stage, l.last.cents / 100.0::DOUBLE AS estimated_value
-FROM v_quality q LEFT JOIN v_last_campaign l USING (lead)
+ strftime(l.last.created_on, '%Y-%m-%d') AS campaign_on, p.stage, p.estimated_value, p.probability_percent, b.briefing
+FROM v_quality q LEFT JOIN v_last_campaign l USING (lead) LEFT JOIN v_pipeline p USING (lead) LEFT JOIN v_briefings b USING (lead)
 WHERE q.status IN ('replied', 'qualified', 'won') OR (quality >= 75 AND (exported_on IS NULL OR exported_on < DATE '2001-07-25'))""")
 register("v_fired", """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY metric_value DESC, country, category, brand NULLS FIRST) AS rank FROM (
@@ -293,7 +293,7 @@ def outreach_pick(t: Tables) -> DataFrame:
 
 @query("crm_export", "SELECT * FROM v_export")
 def crm_export(t: Tables) -> DataFrame:
-    return leads.crm_selection(LeadInputs(t, *SCORING).quality, views.campaigns(t))
+    return leads.crm_selection(LeadInputs(t, *SCORING).quality, views.campaigns(t), views.pipeline(t), views.briefings(t))
 
 
 @query("stage_rollup", """
@@ -371,6 +371,18 @@ def show_summary(t: Tables) -> DataFrame:
     )
 
 
+@query("match_rate", f"""
+SELECT *, {R("CASE WHEN exhibitors > 0 THEN matched / exhibitors ELSE 0 END::DOUBLE", 6)} AS match_rate FROM (
+ SELECT count(DISTINCT s.show_id) AS shows, count(e.suppkey) AS exhibitors, count(b.brand) AS matched FROM v_shows s
+ LEFT JOIN v_exhibitors e USING (show_id) LEFT JOIN (SELECT DISTINCT p_brand AS brand FROM part) b ON lower(b.brand) = lower(e.exhibitor)
+ WHERE s.start_on >= DATE '2001-08-01' AND s.show_id IN (SELECT show_id FROM v_show_cat))""")
+def match_rate(t: Tables) -> DataFrame:
+    names = t.read("part").select(F.lower("p_brand").alias("lower_name"), F.col("p_brand").alias("brand")).distinct()
+    booths = views.exhibitors(t).withColumn("lower_name", F.lower("exhibitor")).join(names, "lower_name", "left")
+    categories = retail.show_categories(views.shows(t), dims.show_keywords(t.spark))
+    return leads.match_rate(views.shows(t), categories, booths)
+
+
 @query("coverage_names", "SELECT * FROM v_cover")
 def coverage_names(t: Tables) -> DataFrame:
     x = LeadInputs(t)

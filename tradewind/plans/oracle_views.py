@@ -128,6 +128,11 @@ SELECT o_orderkey AS campaign, o_custkey AS lead,
   CAST(o_orderdate AS DATE) AS created_on,
   ['won', 'qualified', 'engaged', 'contacted', 'lost'][CAST(o_orderpriority[1] AS INTEGER)] AS stage,
   CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders""",
+    "v_pipeline": """
+SELECT o_custkey AS lead, ['negotiation', 'proposal', 'meeting', 'contact', 'prospect'][min(CAST(o_orderpriority[1] AS INTEGER))] AS stage,
+  CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS estimated_value, [80, 60, 40, 20, 10][min(CAST(o_orderpriority[1] AS INTEGER))] AS probability_percent
+FROM orders WHERE o_orderstatus = 'O' GROUP BY 1""",
+    "v_briefings": "SELECT o_custkey AS lead, 'Briefing of ' || strftime(max(o_orderdate), '%Y-%m-%d') AS briefing FROM orders WHERE o_orderstatus = 'F' GROUP BY 1",
     "v_shows": """
 SELECT n_nationkey AS show_id, 'Expo ' || n_name AS show_name, n_name AS country,
   DATE '2001-08-01' + CAST(n_nationkey * 15 - 30 AS INTEGER) AS start_on,

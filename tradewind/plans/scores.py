@@ -393,6 +393,13 @@ def top_gaps(t: Tables) -> DataFrame:
     return trade.top_rows(Inputs(t).gap.select("country", "category", "gap_score"), "gap_score", ["country", "category"], 20)
 
 
+@query("gap_summary", f"""
+SELECT count(*) AS corridors, count(*) FILTER (WHERE gap_score >= 80) AS above_80, {R("avg(CAST(round(gap_score * 10) AS BIGINT)) / 10.0", 0)} AS mean_score,
+ arg_min(category || ' x ' || country, (-gap_score, country, category)) AS top_gap, max(gap_score) AS top_score FROM v_gap""")
+def gap_summary(t: Tables) -> DataFrame:
+    return scores.gap_summary(Inputs(t, "cube", "dist_categories").gap)
+
+
 @query("composite_scores", "SELECT * FROM v_scores")
 def composite_scores(t: Tables) -> DataFrame:
     return Inputs(t, "cube", "dist_categories").corridor_scores

@@ -79,13 +79,14 @@ def audit_roundtrip(t: Tables) -> DataFrame:
 def export_roundtrip(t: Tables) -> DataFrame:
     """The nested export, one folder a status, read back and laid flat again."""
     path = _folder(t, "export")
-    nested = leads.nested_export(leads.crm_selection(LeadInputs(t, *SCORING).quality, views.campaigns(t)))
+    nested = leads.nested_export(leads.crm_selection(LeadInputs(t, *SCORING).quality, views.campaigns(t), views.pipeline(t), views.briefings(t)))
     sinks.export_json(nested, path, ["status"])
     back = sinks.read_export(t.spark, path, nested.schema)
     return back.select(
         "lead", "company", "status", "quality", "best_country", "best_category",
         F.col("lastCampaign.id").alias("last_campaign"), F.col("lastCampaign.status").alias("campaign_status"), F.col("lastCampaign.sentAt").alias("campaign_on"),
         F.col("pipeline.stage").alias("stage"), F.col("pipeline.estimatedValue").alias("estimated_value"),
+        F.col("pipeline.probabilityPercent").alias("probability_percent"), F.col("briefingTitle").alias("briefing"),
     )
 
 

@@ -344,3 +344,27 @@ def summary_counts(t: Tables) -> DataFrame:
     return by_kind.groupBy("country", "category").agg(
         F.sum("n").alias("signals"), F.max_by("kind", F.struct("n", "kind")).alias("top_kind"), F.date_format(F.max("l"), "yyyy-MM-dd").alias("last_on")
     )
+
+
+@query("signal_totals", """
+SELECT kind, signals, countries, top_country, CAST(top_signals AS BIGINT) AS top_signals FROM (SELECT kind, CAST(sum(n) AS BIGINT) AS signals, count(*) AS countries,
+ arg_min(country, (-n, country)) AS top_country, max(n) AS top_signals FROM (SELECT coalesce(kind, 'all') AS kind, country, count(*) AS n FROM v_activity GROUP BY GROUPING SETS ((kind, country), (country))) GROUP BY 1)""")
+def signal_totals(t: Tables) -> DataFrame:
+    """Signals by source and over all of them, with the country that has most (ties: first by name)."""
+    per_country = views.activity(t).groupBy("kind", "country").agg(F.count("*").alias("n"))
+    every = per_country.groupBy("country").agg(F.sum("n").alias("n")).select(F.lit("all").alias("kind"), "country", "n")
+    return per_country.select("kind", "country", "n").unionByName(every).groupBy("kind").agg(
+        F.sum("n").alias("signals"), F.count("*").alias("countries"), F.min_by("country", F.struct(-F.col("n"), "country")).alias("top_country"), F.max("n").alias("top_signals")
+    )
+
+
+@query("latest_jobs", """
+SELECT event_type AS job_type, strftime(last.ts, '%Y-%m-%d %H:%M:%S') AS started_at, last.event_id AS job, last.user_id AS run_by, n AS runs
+FROM (SELECT event_type, arg_max({'ts': ts, 'event_id': event_id, 'user_id': user_id}, (ts, event_id)) AS last, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1)""")
+def latest_jobs(t: Tables) -> DataFrame:
+    """The last started job of each type: one row a type leaves each task."""
+    last = F.max_by(F.struct("ts", "event_id", "user_id"), F.struct("ts", "event_id")).alias("last")
+    return t.read("events").filter("ts IS NOT NULL").groupBy("event_type").agg(last, F.count("*").alias("runs")).select(
+        F.col("event_type").alias("job_type"), F.date_format("last.ts", "yyyy-MM-dd HH:mm:ss").alias("started_at"), F.col("last.event_id").alias("job"),
+        F.col("last.user_id").alias("run_by"), "runs",
+    )

@@ -81,6 +81,9 @@ REGULATORY_FLAGS = [
     ("SMALL", "NATION_6", "low", "waste", "Take-back scheme for old devices"),
 ]
 
+# Stages of open business, the furthest first, with the probability of a close in percent.
+PIPELINE_PROBABILITY = {"negotiation": 80, "proposal": 60, "meeting": 40, "contact": 20, "prospect": 10}
+
 # Alert and approval rules (name, metric, threshold, action).
 TRIGGER_RULES = [
     ("high_composite", "composite_score", 45.0, "alert_insight"),

@@ -389,6 +389,26 @@ def campaigns(t: Tables) -> DataFrame:
     )
 
 
+def pipeline(t: Tables) -> DataFrame:
+    """Open business of a lead, one row each: its open orders, at the furthest stage among them, with that stage's probability."""
+    stages = F.array(*[F.lit(s) for s in dims.PIPELINE_PROBABILITY])
+    chance = F.array(*[F.lit(p) for p in dims.PIPELINE_PROBABILITY.values()])
+    step = F.least(F.substring("o_orderpriority", 1, 1).cast("int"), F.lit(len(dims.PIPELINE_PROBABILITY)))
+    return (
+        t.read("orders").filter("o_orderstatus = 'O'")
+        .groupBy(F.col("o_custkey").alias("lead")).agg(F.min(step).alias("step"), F.sum(cents(F.col("o_totalprice"))).alias("c"))
+        .select("lead", F.element_at(stages, F.col("step")).alias("stage"), (F.col("c") / 100.0).alias("estimated_value"), F.element_at(chance, F.col("step")).alias("probability_percent"))
+    )
+
+
+def briefings(t: Tables) -> DataFrame:
+    """Briefings written on a lead: one for each day with a filled order (lead, title, created_on)."""
+    day = F.to_date("o_orderdate")
+    return t.read("orders").filter("o_orderstatus = 'F'").select(
+        F.col("o_custkey").alias("lead"), F.concat(F.lit("Briefing of "), F.date_format(day, "yyyy-MM-dd")).alias("title"), day.alias("created_on")
+    ).distinct()
+
+
 def shows(t: Tables) -> DataFrame:
     """Trade shows: one per nation, on a date that depends on it, in two of the product groups."""
     key = F.col("n_nationkey")
