@@ -303,3 +303,37 @@ def test_pipeline_stages_like_their_operators(spark, tmp_path):
     assert {r["doc_id"]: r["text"] for r in last} == left and all(r["ids"] == library.encode(left[r["doc_id"]]) + [2] for r in last)
     again = corpus_pipeline.run(spark, tables).collect()
     assert {(r["doc_id"], tuple(r["ids"])) for r in again} == {(r["doc_id"], tuple(r["ids"])) for r in last}
+
+
+def test_a_repeated_id_is_sampled_once(spark, labelled):
+    docs, labels, truth = labelled
+    taken = [t[0] for t in truth if zlib.crc32(b"%d" % t[0]) % 4 != 2][0]
+    copies = docs.filter(F.col("doc_id") == taken).crossJoin(spark.range(3000)).select(docs.columns)
+    sample = compress_quality.Sample(rows=60)
+    once, stands = compress_quality.labelled_sample(docs, labels, "quality", sample)
+    many, again = compress_quality.labelled_sample(docs.unionByName(copies), labels.unionByName(labels), "quality", sample)
+    assert (many, again) == (once, stands) and all(0 < len(v) <= 60 for v in many.values())
+
+
+def test_other_texts_of_an_id_change_no_bound(spark, labelled):
+    docs, labels, truth = labelled
+    others = docs.withColumn("text", F.concat(F.lit("another "), "text"))
+    by, _ = compress_quality.labelled_sample(docs.unionByName(others), labels, "quality", compress_quality.Sample(rows=60))
+    assert all(len(v) <= 60 for v in by.values())
+
+
+def test_the_sample_keeps_within_its_bytes_and_counts_what_it_leaves_out(spark, labelled):
+    docs, labels, _ = labelled
+    whole, stands = compress_quality.labelled_sample(docs, labels, "quality", compress_quality.Sample())
+    bound = sum(map(len, whole[1])) // 2
+    part, more = compress_quality.labelled_sample(docs, labels, "quality", compress_quality.Sample(text_bytes=bound))
+    assert all(sum(map(len, v)) <= bound for v in part.values()) and 0 < len(part[1]) < len(whole[1])
+    assert set(part[1]) <= set(whole[1]) and more[1] * len(part[1]) == pytest.approx(stands[1] * len(whole[1]))
+    none, _ = compress_quality.labelled_sample(docs, labels, "quality", compress_quality.Sample(text_bytes=0))
+    assert not any(map(any, none.values()))
+
+
+def test_no_labels_give_no_sample(spark, labelled):
+    docs, labels, _ = labelled
+    by, stands = compress_quality.labelled_sample(docs, labels.filter("false"), "quality", compress_quality.Sample())
+    assert by == {0: [], 1: []} and stands == {0: 1.0, 1: 1.0}

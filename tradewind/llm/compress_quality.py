@@ -5,8 +5,8 @@ that is like the good ones is packed smaller with the good dictionary. The diffe
 normalised by the text's plain packed size and by its length, is calibrated to a probability by logistic
 regression on labelled texts that went into neither dictionary.
 
-The model is fitted on a bounded sample of the labelled training rows (``Sample``): the bound is a
-parameter, everything else runs over all rows. The bound takes more from the larger class, so the odds of
+The model is fitted on a bounded sample of the labelled training rows (``Sample``): the bounds, rows and bytes of
+each class, are parameters, everything else runs over all rows. An id is sampled once, however many rows have it. The bound takes more from the larger class, so the odds of
 all training labels, which are counted, replace those of the sample in the bias. Scoring is one narrow pass
 over whole texts.
 
@@ -31,9 +31,10 @@ THRESHOLD = 0.7
 
 @dataclass(frozen=True)
 class Sample:
-    """Bounds of what the model is fitted on: labelled rows of each class, and bytes of each class for its dictionary."""
+    """Bounds of what the model is fitted on: labelled rows and text bytes of each class, and bytes of each class for its dictionary."""
 
     rows: int = 4000
+    text_bytes: int = 64 << 20
     dictionary_bytes: int = 112 << 10
     level: int = 3
     fold_mod: int = 4
@@ -111,22 +112,35 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: Sample) -> tuple[dict[int, list[bytes]], dict[int, float]]:
-    """Up to ``sample.rows`` training texts of each class, chosen by a hash of the id, and how many training labels each of them stands for.
+    """Training texts of each class, at most ``sample.rows`` and ``sample.text_bytes``, and how many training labels each of them stands for.
 
-    The ids are cut to the bound before they meet the texts, so the broadcast side has at most
-    ``2 * sample.rows`` rows whatever the size of the labels table.
+    Ids are picked by a hash and cut to the bound before they meet the texts, so the broadcast side has at most
+    ``2 * sample.rows`` rows whatever the size of the labels table. An id gives one text however many rows repeat it (that of the
+    smallest hash). Sizes come to the driver first: a text that would take its class beyond ``sample.text_bytes``, in hash order
+    of the ids, is left out whole, and only the others are collected.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), sample.fold_mod, sample.fold))
-    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1))
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1)).distinct()
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     order = [F.xxhash64("doc_id"), "doc_id"]
     picked = known.filter("label = 0").orderBy(*order).limit(sample.rows).unionByName(known.filter("label = 1").orderBy(*order).limit(sample.rows))
-    rows = texts(docs).join(F.broadcast(picked.distinct()), "doc_id").select("doc_id", "label", "text").toArrow()
+    rows = texts(docs).join(F.broadcast(picked), "doc_id").withColumn("h", F.xxhash64("text"))
+    smallest = F.min(F.struct("h", F.octet_length("text").alias("size"))).alias("t")
+    found = [(r["doc_id"], r["label"], r["t"]["h"], r["t"]["size"]) for r in rows.groupBy("doc_id", "label").agg(smallest).collect()]
+    kept, used, seen, taken = [], {0: 0, 1: 0}, {0: 0, 1: 0}, {0: 0, 1: 0}
+    for doc_id, value, h, size in sorted(found, key=lambda r: (hash_order(r[0]), r)):
+        seen[value] += 1
+        if used[value] + size <= sample.text_bytes:
+            used[value] += size
+            taken[value] += 1
+            kept.append((doc_id, value, h))
+    wanted = docs.sparkSession.createDataFrame(kept, "doc_id long, label int, h long")
+    chosen = rows.join(F.broadcast(wanted), ["doc_id", "label", "h"]).groupBy("doc_id", "label").agg(F.min("text").alias("text")).toArrow()
     out: dict[int, list[bytes]] = {0: [], 1: []}
-    got = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("label").to_pylist(), raw_texts(rows)))
+    got = sorted(zip(chosen.column("doc_id").to_pylist(), chosen.column("label").to_pylist(), raw_texts(chosen)))
     for _, value, text in sorted(got, key=lambda r: (hash_order(r[0]), r)):
         out[value].append(text)
-    return out, {c: max(1.0, counts.get(c, 0) / sample.rows) for c in out}
+    return out, {c: max(1.0, counts.get(c, 0) / sample.rows) * (seen[c] / taken[c] if taken[c] else 1.0) for c in out}
 
 
 def hash_order(doc_id: int) -> int:
