@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -168,6 +170,33 @@ def test_remembered_units_are_bounded(monkeypatch):
     assert len(encoder.memory) <= 50 and len(encoder.older) <= 50
 
 
+def test_a_task_forgets_its_units_and_keeps_the_model(docs, monkeypatch):
+    """Workers stay for the next steps of a pipeline: what a task remembers goes with it."""
+    encoder, ends = piece_bpe.Encoder.of(PIECES), []
+    for build in (piece_bpe.encode_documents, piece_bpe.digests):
+        monkeypatch.setattr(piece_bpe, "map_batches", lambda df, fn, ddl, end=None: ends.append(end))
+        build(docs(["a"]), PIECES)
+    for end in ends:
+        assert encoder.ids("some words of a text unforgettable qzxv") and encoder.memory and encoder.model.n_known
+        end()
+        assert not (encoder.memory or encoder.older or encoder.model.n_known)
+        assert all(set(known) == {-1} for known in encoder.model.known)
+    assert piece_bpe.Encoder.of(PIECES) is encoder
+
+
+def test_ids_of_a_batch_take_few_bytes():
+    """A batch of 300,000 ids stays far below what they take as numbers of Python."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "text": ["of the house 日本 " * 1000] * 60})
+    encoder = piece_bpe.Encoder.of(PIECES)
+    ids = encoder.ids(batch.column("text")[0].as_py())
+    tracemalloc.start()
+    out = piece_bpe.encoded(batch, PIECES)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["ids"].to_pylist() == [ids] * 60 and len(ids) * 60 > 300_000
+    assert peak < 20 * len(ids) * 60
+
+
 # ---- operators 5 and 7
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,13 +76,21 @@ def arrow_table(ddl: str, columns: dict) -> pa.Table:
     return pa.Table.from_arrays(arrays, schema=schema)
 
 
-def map_batches(df: DataFrame, fn, ddl: str) -> DataFrame:
-    """``fn(batch) -> dict of columns`` over every Arrow batch; a narrow step without a shuffle."""
+def map_batches(df: DataFrame, fn, ddl: str, end: Callable[[], None] | None = None) -> DataFrame:
+    """``fn(batch) -> dict of columns`` over every Arrow batch; a narrow step without a shuffle.
+
+    Workers outlive their tasks: ``end`` is called behind a task's last batch, to let go of what only this step needs.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from arrow_table(ddl, fn(batch)).to_batches()
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    yield from arrow_table(ddl, fn(batch)).to_batches()
+        finally:
+            if end:
+                end()
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, ddl)
 

@@ -26,15 +26,16 @@ from array import array
 from collections.abc import Iterable
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tradewind.llm.common import map_batches, raw_texts, sha256_hex, texts
 
 MARK = "▁"
-#: Units up to this length are remembered, twice this many at most in a worker: a full table becomes the older one.
-REMEMBERED_LENGTH, REMEMBERED = 48, 250_000
-#: Answers of the pair test that a worker remembers at most.
+#: Units up to this length are remembered, twice this many at most in a task: a full table becomes the older one.
+REMEMBERED_LENGTH, REMEMBERED = 48, 100_000
+#: Answers of the pair test that a task remembers at most.
 REMEMBERED_PAIRS = 400_000
 
 
@@ -124,14 +125,18 @@ class PieceModel:
 
     def _test(self, left: int, piece: int, known: dict[int, bool]) -> bool:
         if self.n_known >= REMEMBERED_PAIRS:
-            self.n_known = 0
-            for answers in self.known:
-                answers.clear()
-                answers[-1] = True
+            self.forget()
         self.n_known += 1
         fits = known[left] = self._fits(self.pieces[left], self.pieces[piece])
         return fits
 
+    def forget(self) -> None:
+        """Let go of all answers of the pair test."""
+        self.n_known = 0
+        for answers in self.known:
+            answers.clear()
+            answers[-1] = True
+
     def _stretch(self, text: str) -> list[int]:
         """Ids of a text whose characters are all in the vocabulary: the table of last tokens, read backwards."""
         last: list[int | None] = [None] * (len(text) + 1)
@@ -201,7 +206,8 @@ class Encoder:
     """Whole documents with remembered units; one for each worker and model file.
 
     A unit is remembered as its ids in 16 bits. Two tables are kept: when the newer one is full it becomes
-    the older one, so units in use stay and memory is bounded.
+    the older one, so units in use stay and memory is bounded. A task forgets them at its end, because its worker stays
+    for the steps that follow, which need the memory.
     """
 
     held: dict[str, Encoder] = {}
@@ -236,26 +242,41 @@ class Encoder:
             self.memory[unit] = made
         return made
 
-    def ids(self, text: str) -> list[int]:
-        """Ids of a whole text with the end id."""
+    def packed(self, text: str) -> array:
+        """Ids of a whole text with the end id, in 16 bits."""
         parts = units(text)
         if "" in parts:
-            return self.model.encode(text)
+            return array("H", self.model.encode(text))
         get, made = self.memory.get, self._made
-        ids = array("H", b"".join([get(u) or made(u) for u in parts])).tolist()
+        ids = array("H", b"".join([get(u) or made(u) for u in parts]))
         ids.append(self.model.end)
         return ids
 
+    def ids(self, text: str) -> list[int]:
+        """Ids of a whole text with the end id."""
+        return self.packed(text).tolist()
 
-def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, ids (with the end id) and the text decoded from them, for every row."""
+    @classmethod
+    def forget(cls) -> None:
+        """Let go of the remembered units and pairs of all models; the models stay."""
+        for encoder in cls.held.values():
+            encoder.memory, encoder.older = {}, {}
+            encoder.model.forget()
 
-    def run(batch: pa.RecordBatch) -> dict:
-        encoder = Encoder.of(model_path)
-        ids = [encoder.ids(t.decode()) for t in raw_texts(batch)]
-        return {"doc_id": batch.column("doc_id"), "ids": ids, "decoded": [encoder.model.decode(i).decode() for i in ids]}
 
-    return map_batches(texts(docs), run, "doc_id long, ids array<int>, decoded string")
+def encoded(batch: pa.RecordBatch, model_path: str) -> dict:
+    """doc_id, ids and decoded text of a batch. Ids are never all numbers of Python at once, which take 20 times their bytes."""
+    encoder = Encoder.of(model_path)
+    packed = [encoder.packed(t.decode()) for t in raw_texts(batch)]
+    ends = np.cumsum([0, *map(len, packed)], dtype=np.int32)
+    values = np.frombuffer(b"".join(packed), dtype=np.uint16).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+    return {"doc_id": batch.column("doc_id"), "ids": ids, "decoded": [encoder.model.decode(i).decode() for i in packed]}
+
+
+def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, ids (with the end id) and the text decoded from them, for every row."""
+    return map_batches(texts(docs), lambda batch: encoded(batch, model_path), "doc_id long, ids array<int>, decoded string", Encoder.forget)
 
 
 def digests(docs: DataFrame, model_path: str) -> DataFrame:
@@ -271,4 +292,4 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
             out["decoded_sha256"].append(sha256_hex(model.decode(ids)))
         return out
 
-    return map_batches(texts(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(texts(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", Encoder.forget)
