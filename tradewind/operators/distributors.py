@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tradewind.functions.numeric import half_up
 from tradewind.sources import dims
+from tradewind.sources.tables import grows
 
 PROFILE = ["country", "profile"]
 
@@ -47,8 +48,8 @@ def buying_intent(
     named = distributors.withColumn("lower_name", F.lower("name"))
     described = distributors.withColumn("category", text_category(F.lower("description"), dims.DESCRIPTION_RULES)).filter("category IS NOT NULL")
     booths = exhibitors.select("show_id", F.lower("exhibitor").alias("lower_name"))
-    shown = named.select("suppkey", "lower_name").join(booths, "lower_name").join(show_categories, "show_id")
-    buyers = named.join(buyer_companies(audits), "lower_name", "left_semi").select("suppkey").join(categories, "suppkey")
+    shown = named.select("suppkey", "lower_name").join(grows(booths), "lower_name").join(show_categories, "show_id")
+    buyers = named.join(grows(buyer_companies(audits)), "lower_name", "left_semi").select("suppkey").join(grows(categories), "suppkey")
     evidence = (
         row(categories, level["category"], "directory")
         .unionByName(row(described, level["description"], "directory"))
@@ -74,8 +75,8 @@ def distributor_score(distributors: DataFrame, categories: DataFrame, active: Da
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     total = zero("alignment") * 0.35 + coverage * 0.30 + zero("activity") * 0.25 + contact * 0.10
     return (
-        distributors.join(aligned, "suppkey", "left")
-        .join(activity, "suppkey", "left")
+        distributors.join(grows(aligned), "suppkey", "left")
+        .join(grows(activity), "suppkey", "left")
         .select("suppkey", "country", half_up(zero("alignment"), 6).alias("alignment"), half_up(zero("activity"), 6).alias("activity"),
                 F.floor(F.round(total * 100, 6) + 0.5).cast("int").alias("score"))
     )
@@ -102,8 +103,8 @@ def profile_categories(leads_with_profile: DataFrame) -> DataFrame:
 def match(profiles: DataFrame, distributors: DataFrame, categories: DataFrame, intent: DataFrame, scores: DataFrame) -> DataFrame:
     """Distributors of a profile's country, the leads' best corridor's, with a shared category, scored; at least 0.30 to stay."""
     supply = (
-        categories.join(distributors.select("suppkey", "name", "country"), "suppkey")
-        .join(intent.select("suppkey", "category", "strength"), ["suppkey", "category"], "left")
+        categories.join(grows(distributors.select("suppkey", "name", "country")), "suppkey")
+        .join(grows(intent.select("suppkey", "category", "strength")), ["suppkey", "category"], "left")
     )
     strength = F.coalesce("max_intent", F.lit(0.0))
     overlap = F.col("overlap") / F.col("n_categories")
@@ -112,7 +113,7 @@ def match(profiles: DataFrame, distributors: DataFrame, categories: DataFrame, i
         profiles.join(supply, ["country", "category"])
         .groupBy(*PROFILE, "suppkey", "name", "n_categories")
         .agg(F.count("*").alias("overlap"), F.max("strength").alias("max_intent"))
-        .join(scores.select("suppkey", "score"), "suppkey")
+        .join(grows(scores.select("suppkey", "score")), "suppkey")
         .withColumn("match_score", total)
         .filter("match_score >= 0.30")
         .select(
@@ -160,8 +161,8 @@ def proximity(matches: DataFrame, portfolio: DataFrame, lead_labels: DataFrame)
     same = F.col("label") == F.col("lead_label")
     return (
         matches.select(*PROFILE, "suppkey", "match_score")
-        .join(sought, "profile")
-        .join(portfolio, "suppkey")
+        .join(F.broadcast(sought), "profile")  # a row for each profile of a brand
+        .join(grows(portfolio), "suppkey")
         .groupBy(*PROFILE, "brand", "suppkey", "match_score")
         .agg(
             F.sum(F.when(same, F.col("n")).otherwise(0)).alias("exact"),
@@ -199,7 +200,7 @@ def regulatory_risk(corridors: DataFrame, flags: DataFrame) -> DataFrame:
 def coverage(categories: DataFrame, distributors: DataFrame, corridors: DataFrame, shown: int = 10) -> DataFrame:
     """Distributors per corridor, all counted, with the first ``shown`` names for the report; one or none is a gap."""
     key = ["country", "category"]
-    local = categories.join(distributors.select("suppkey", "name", "country"), "suppkey")
+    local = categories.join(grows(distributors.select("suppkey", "name", "country")), "suppkey")
     w = Window.partitionBy(*key).orderBy("name")
     names = (
         local.withColumn("rn", F.row_number().over(w))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tradewind.functions.numeric import clamp, half_up
 from tradewind.sources import dims
+from tradewind.sources.tables import grows
 
 LATEST, EARLIER = 2000, 1998
 MIN_GROWTH = 5.0
@@ -100,7 +101,7 @@ def importer_counts(distributors: DataFrame, categories: DataFrame) -> DataFrame
     """Importing distributors per (category, country)."""
     return (
         distributors.filter("imports")
-        .join(categories, "suppkey")
+        .join(grows(categories), "suppkey")
         .groupBy("category", "country")
         .agg(F.count("*").alias("importers"))
     )

@@ -9,6 +9,7 @@ from tradewind.operators import merge
 from tradewind.operators.routing import complexity
 from tradewind.sources import dims
 from tradewind.sources.stages import stage
+from tradewind.sources.tables import grows
 from tradewind.sources.views import closed_years, month_before
 
 CORRIDOR = ["country", "category"]
@@ -47,8 +48,8 @@ def reliance_by_code(corridors: DataFrame, mapping: DataFrame, flows: DataFrame,
 
 def brand_density(distributors: DataFrame, categories: DataFrame, brands: DataFrame) -> DataFrame:
     """Distinct brands carried by a market's distributors of a category."""
-    local = distributors.select("suppkey", "country").join(categories, "suppkey")
-    return local.join(brands, "suppkey").groupBy(*CORRIDOR).agg(F.countDistinct("brand").alias("density"))
+    local = distributors.select("suppkey", "country").join(grows(categories), "suppkey")
+    return local.join(grows(brands), "suppkey").groupBy(*CORRIDOR).agg(F.countDistinct("brand").alias("density"))
 
 
 def _shares_below(values: DataFrame, column: str, size: int) -> DataFrame:

@@ -200,7 +200,7 @@ def url_match(t: Tables) -> DataFrame:
 SELECT suppkey, brand, CASE WHEN suppkey % 2 = 0 THEN 'direct' ELSE 'retail' END AS category, 0.9::DOUBLE AS confidence FROM v_dist_brand WHERE suppkey % 7 <> 0""")
 def portfolio_edges(t: Tables) -> DataFrame:
     key = F.col("suppkey")
-    carried = views.distributor_brands(t).join(_targets(t).withColumnsRenamed({"id": "suppkey"}), "suppkey")
+    carried = views.distributor_brands(views.supply_rollup(t)).join(_targets(t).withColumnsRenamed({"id": "suppkey"}), "suppkey")
     shout = F.concat(F.upper("name"), F.lit("."))
     payload = F.to_json(
         F.struct(
@@ -324,7 +324,7 @@ SELECT CAST(row_number() OVER (ORDER BY CASE risk WHEN 'high' THEN 3 WHEN 'mediu
 FROM v_flags f LEFT JOIN (SELECT category, count(*) AS n FROM v_dist_cat GROUP BY 1) d ON d.category = f.category""")
 def severity_order(t: Tables) -> DataFrame:
     level = F.when(F.col("risk") == "high", 3).when(F.col("risk") == "medium", 2).otherwise(1)
-    counts = views.distributor_categories(t).groupBy("category").agg(F.count("*").alias("n"))
+    counts = views.distributor_categories(views.supply_rollup(t)).groupBy("category").agg(F.count("*").alias("n"))
     order = Window.orderBy(level.desc(), "category", "market", "kind")  # as many rows as the fixed flag list
     return dims.regulatory_flags(t.spark).join(counts, "category", "left").select(
         F.row_number().over(order).alias("position"), "category", "market", "risk", "kind", F.coalesce("n", F.lit(0)).alias("distributors")

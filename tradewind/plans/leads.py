@@ -15,7 +15,7 @@ from tradewind.plans.registry import query
 from tradewind.plans.scores import Inputs, R
 from tradewind.sources import dims, views
 from tradewind.sources.stages import stage
-from tradewind.sources.tables import Tables, list_scan, optional
+from tradewind.sources.tables import Tables, grows, list_scan, optional
 
 
 def _rules_sql(column: str, rules: list[tuple[str, list[str]]]) -> str:
@@ -170,7 +170,7 @@ class LeadInputs(Inputs):
 
 
 # Independent inputs of the score chain, staged side by side.
-SCORING = ("cube", "dist_categories", "cells")
+SCORING = ("market", "supply", "distributors")
 
 
 @query("distributor_score", "SELECT * FROM v_dist_score")
@@ -207,7 +207,7 @@ def match_list(t: Tables) -> DataFrame:
     x = LeadInputs(t, *SCORING)
     waiting = x.leads.filter("status = 'qualified'").groupBy(*dist.PROFILE).agg(F.count("*").alias("n"))
     return (
-        x.matches.join(x.distributors.select("suppkey", "region"), "suppkey")
+        x.matches.join(grows(x.distributors.select("suppkey", "region")), "suppkey")
         .join(waiting, dist.PROFILE, "left")
         .select(*dist.PROFILE, "suppkey", "match_score", "region", F.coalesce("n", F.lit(0)).alias("leads"))
     )

@@ -80,9 +80,17 @@ class Inputs:
             with ThreadPoolExecutor(len(names)) as pool:
                 list(pool.map(lambda name: getattr(self, name), names))
 
+    @cached_property
+    def market(self) -> DataFrame:
+        return stage(views.market_rollup(self.t), "market_rollup")
+
+    @cached_property
+    def supply(self) -> DataFrame:
+        return stage(views.supply_rollup(self.t), "supply_rollup")
+
     @cached_property
     def cube(self) -> DataFrame:
-        return views.corridor_cube(self.t, reuse=True)
+        return stage(views.named_cube(self.t, self.market.filter("monthly = 1")), "corridor_cube")
 
     @cached_property
     def annual(self) -> DataFrame:
@@ -102,11 +110,11 @@ class Inputs:
 
     @cached_property
     def distributors(self) -> DataFrame:
-        return views.distributors(self.t)
+        return stage(views.distributors(self.t), "distributors")
 
     @cached_property
     def dist_categories(self) -> DataFrame:
-        return stage(views.distributor_categories(self.t), "distributor_categories")
+        return stage(views.distributor_categories(self.supply), "distributor_categories")
 
     @cached_property
     def routing_signals(self) -> DataFrame:
@@ -119,7 +127,7 @@ class Inputs:
 
     @cached_property
     def gap(self) -> DataFrame:
-        density = scores.brand_density(self.distributors, self.dist_categories, views.distributor_brands(self.t))
+        density = scores.brand_density(self.distributors, self.dist_categories, views.distributor_brands(self.supply))
         reliance = scores.import_reliance(self.active.select("country", "category"), views.share(self.cube))
         return stage(scores.gap_scores(self.active, views.corridor_strength(self.cube), density, reliance), "gap_scores")
 
@@ -134,7 +142,7 @@ class Inputs:
 
     @cached_property
     def cells(self) -> DataFrame:
-        return stage(views.brand_cells(self.t), "brand_cells")
+        return stage(views.brand_cells(self.t, self.market), "brand_cells")
 
     @cached_property
     def brand_categories(self) -> DataFrame:
@@ -385,7 +393,7 @@ def import_reliance(t: Tables) -> DataFrame:
 
 @query("gap_scores", "SELECT * FROM v_gap")
 def gap_scores(t: Tables) -> DataFrame:
-    return Inputs(t, "cube", "dist_categories").gap
+    return Inputs(t, "market", "supply", "distributors").gap
 
 
 @query("top_gaps", "SELECT country, category, gap_score FROM v_gap ORDER BY gap_score DESC, country, category LIMIT 20")
@@ -397,12 +405,12 @@ def top_gaps(t: Tables) -> DataFrame:
 SELECT count(*) AS corridors, count(*) FILTER (WHERE gap_score >= 80) AS above_80, {R("avg(CAST(round(gap_score * 10) AS BIGINT)) / 10.0", 0)} AS mean_score,
  arg_min(category || ' x ' || country, (-gap_score, country, category)) AS top_gap, max(gap_score) AS top_score FROM v_gap""")
 def gap_summary(t: Tables) -> DataFrame:
-    return scores.gap_summary(Inputs(t, "cube", "dist_categories").gap)
+    return scores.gap_summary(Inputs(t, "market", "supply", "distributors").gap)
 
 
 @query("composite_scores", "SELECT * FROM v_scores")
 def composite_scores(t: Tables) -> DataFrame:
-    return Inputs(t, "cube", "dist_categories").corridor_scores
+    return Inputs(t, "market", "supply", "distributors").corridor_scores
 
 
 @query("score_summary", f"""
@@ -410,7 +418,7 @@ SELECT count(*) AS corridors, count(*) FILTER (WHERE composite_score >= 80) AS a
  {R("avg(CAST(round(composite_score * 100) AS BIGINT)) / 100.0")} AS mean_score FROM v_scores""")
 def score_summary(t: Tables) -> DataFrame:
     s = F.col("composite_score")
-    return Inputs(t, "cube", "dist_categories").corridor_scores.agg(
+    return Inputs(t, "market", "supply", "distributors").corridor_scores.agg(
         F.count("*").alias("corridors"),
         F.count_if(s >= 80).alias("above_80"),
         F.count_if(s >= 70).alias("above_70"),
@@ -420,4 +428,4 @@ def score_summary(t: Tables) -> DataFrame:
 
 @query("brand_fit", "SELECT * FROM v_brand_scores")
 def brand_fit(t: Tables) -> DataFrame:
-    return Inputs(t, "cube", "dist_categories", "cells").brand_fit
+    return Inputs(t, "market", "supply", "distributors").brand_fit

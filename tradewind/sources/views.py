@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tradewind.functions.numeric import cents, half_up, money, ratio
 from tradewind.sources import dims
 from tradewind.sources.stages import stage
-from tradewind.sources.tables import Tables, trailing
+from tradewind.sources.tables import Tables, grows, trailing
 
 
 def flow_type(reporter: Column, partner_region: Column) -> Column:
@@ -24,7 +24,8 @@ def flow_type(reporter: Column, partner_region: Column) -> Column:
 
 
 def nations(t: Tables, prefix: str) -> DataFrame:
-    return (
+    """A fixed table of names, so it is the side that is broadcast, whatever the size of the other."""
+    return F.broadcast(
         t.read("nation")
         .join(t.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
@@ -54,18 +55,17 @@ def suppliers(t: Tables) -> DataFrame:
 def facts(t: Tables) -> DataFrame:
     """Order lines with their part, supplier, order and customer rows.
 
-    No join hint: the planner broadcasts a side only while its own size allows and shuffles on the
-    key beyond it. The tables are joined bare, so each size estimate is that of one table; only the
-    columns a caller uses reach the scans.
+    Parts and customers are sorted and merged: their broadcasts grew with the input while their files stayed under
+    the planner's threshold. The tables are joined bare; only the columns a caller uses reach the scans.
     """
     # Orders meet their customers first: customers then cost a shuffle of orders, not of lines, and a filter on order dates
     # cuts the lines before they meet the parts.
-    orders = t.read("orders").join(t.read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = t.read("orders").join(grows(t.read("customer")), F.col("o_custkey") == F.col("c_custkey"))
     return (
         t.read("lineitem")
         .join(t.read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t.read("part"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(grows(t.read("part")), F.col("l_partkey") == F.col("p_partkey"))
     )
 
 
@@ -107,18 +107,52 @@ def corridor_cube(t: Tables, reuse: bool = False, start: str | None = None, unti
     if until:
         rows = rows.filter(F.col("l_shipdate") < F.lit(until))
     # Summed by nation keys first: names join the few rows that are left.
-    by_nation = rows.groupBy(
-        "s_nationkey", "c_nationkey", F.col("p_type").alias("category"), (F.year("l_shipdate") * 100 + F.month("l_shipdate")).alias("ym")
-    ).agg(F.sum(cents(F.col("l_extendedprice"))).alias("cents"), F.sum("l_quantity").alias("qty"), F.count("*").alias("n"))
-    cube = (
-        by_nation.join(nations(t, "supp"), F.col("s_nationkey") == F.col("supp_nationkey"))
-        .join(nations(t, "cust"), F.col("c_nationkey") == F.col("cust_nationkey"))
+    by_nation = rows.groupBy("s_nationkey", "c_nationkey", F.col("p_type").alias("category"), _ship_month().alias("ym")).agg(
+        F.sum(cents(F.col("l_extendedprice"))).alias("cents"), F.sum("l_quantity").alias("qty"), F.count("*").alias("n")
+    )
+    cube = named_cube(t, by_nation)
+    return stage(cube, "corridor_cube") if reuse else cube
+
+
+def _ship_month() -> Column:
+    return F.year("l_shipdate") * 100 + F.month("l_shipdate")
+
+
+def _with_nations(t: Tables, rows: DataFrame) -> DataFrame:
+    return rows.join(nations(t, "supp"), F.col("s_nationkey") == F.col("supp_nationkey")).join(nations(t, "cust"), F.col("c_nationkey") == F.col("cust_nationkey"))
+
+
+def named_cube(t: Tables, by_nation: DataFrame) -> DataFrame:
+    """The corridor rollup from totals by nation keys."""
+    return (
+        _with_nations(t, by_nation)
         .groupBy(
             F.col("supp_region").alias("reporter"), F.col("cust_nation").alias("partner"), F.col("cust_region").alias("partner_region"), "category", "ym"
         )
         .agg(F.sum("cents").alias("cents"), F.sum("qty").alias("qty"), F.sum("n").alias("n"))
     )
-    return stage(cube, "corridor_cube") if reuse else cube
+
+
+def market_rollup(t: Tables) -> DataFrame:
+    """Totals by nations and product type, once a month (``monthly`` = 1) and once a brand (0), from one pass over the joined lines."""
+    nation, month, brand = ["s_nationkey", "c_nationkey", "category"], "ym", "brand"
+    rows = facts(t).select(
+        "s_nationkey", "c_nationkey", F.col("p_type").alias("category"), _ship_month().alias(month), F.col("p_brand").alias(brand),
+        cents(F.col("l_extendedprice")).alias("cents"), F.col("l_quantity").alias("qty"),
+    )
+    return rows.groupingSets([[*nation, month], [*nation, brand]], *nation, month, brand).agg(
+        F.grouping(brand).alias("monthly"), F.sum("cents").alias("cents"), F.sum("qty").alias("qty"), F.count("*").alias("n")
+    )
+
+
+def supply_rollup(t: Tables) -> DataFrame:
+    """Revenue and lines of a supplier, once a product type (``by_type`` = 1) and once a brand (0), from one pass over the lines."""
+    rows = t.read("lineitem").join(grows(t.read("part")), F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_suppkey").alias("suppkey"), F.col("p_type").alias("category"), F.col("p_brand").alias("brand"), cents(F.col("l_extendedprice")).alias("c")
+    )
+    return rows.groupingSets([["suppkey", "category"], ["suppkey", "brand"]], "suppkey", "category", "brand").agg(
+        F.grouping("brand").alias("by_type"), F.sum("c").alias("c"), F.count("*").alias("n")
+    )
 
 
 def annual_cube(t: Tables, reuse: bool = False) -> DataFrame:
@@ -285,35 +319,25 @@ def activity(t: Tables, days: int = 90) -> DataFrame:
     )
 
 
-def distributor_categories(t: Tables) -> DataFrame:
+def distributor_categories(supply: DataFrame) -> DataFrame:
     """(supplier, product type) pairs with at least the mean revenue of the supplier's types, so every supplier has one at any size."""
-    totals = (
-        t.read("lineitem")
-        .join(t.read("part"), F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(F.col("l_suppkey").alias("suppkey"), F.col("p_type").alias("category"))
-        .agg(F.sum(cents(F.col("l_extendedprice"))).alias("c"))
-    )
+    totals = supply.filter("by_type = 1").select("suppkey", "category", "c")
     whole = totals.groupBy("suppkey").agg(F.sum("c").alias("all_c"), F.count("*").alias("n_types"))
-    return totals.join(whole, "suppkey").filter(F.col("c") * F.col("n_types") >= F.col("all_c")).select("suppkey", "category")
+    return totals.join(grows(whole), "suppkey").filter(F.col("c") * F.col("n_types") >= F.col("all_c")).select("suppkey", "category")
 
 
-def distributor_brands(t: Tables) -> DataFrame:
+def distributor_brands(supply: DataFrame) -> DataFrame:
     """(supplier, brand) pairs with at least the mean number of lines of the supplier's brands."""
-    counts = (
-        t.read("lineitem")
-        .join(t.read("part"), F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(F.col("l_suppkey").alias("suppkey"), F.col("p_brand").alias("brand"))
-        .agg(F.count("*").alias("n"))
-    )
+    counts = supply.filter("by_type = 0").select("suppkey", "brand", "n")
     whole = counts.groupBy("suppkey").agg(F.sum("n").alias("all_n"), F.count("*").alias("n_brands"))
-    return counts.join(whole, "suppkey").filter(F.col("n") * F.col("n_brands") >= F.col("all_n")).select("suppkey", "brand")
+    return counts.join(grows(whole), "suppkey").filter(F.col("n") * F.col("n_brands") >= F.col("all_n")).select("suppkey", "brand")
 
 
 def distributors(t: Tables) -> DataFrame:
     key = F.col("s_suppkey")
     return (
         suppliers(t)
-        .join(t.read("part").select("p_partkey", "p_name"), key == F.col("p_partkey"), "left")
+        .join(grows(t.read("part").select("p_partkey", "p_name")), key == F.col("p_partkey"), "left")
         .select(
             key.alias("suppkey"),
             F.col("s_name").alias("name"),
@@ -328,9 +352,10 @@ def distributors(t: Tables) -> DataFrame:
     )
 
 
-def brand_cells(t: Tables) -> DataFrame:
+def brand_cells(t: Tables, market: DataFrame) -> DataFrame:
     """(brand, product type, buyer region) cents: at most brands x types x regions rows."""
-    return lines(t).groupBy("brand", "category", "partner_region").agg(F.sum("cents").alias("c"))
+    cells = _with_nations(t, market.filter("monthly = 0"))
+    return cells.groupBy("brand", "category", F.col("cust_region").alias("partner_region")).agg(F.sum("cents").alias("c"))
 
 
 def brand_categories(cells: DataFrame) -> DataFrame:
