@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tradewind.operators import distributors as dist
 from tradewind.operators import scores
+from tradewind.plans.leads import part_labels
 from tradewind.sources import views
 from tradewind.sources.tables import Tables
 
@@ -20,6 +21,7 @@ def test_parts_customers_and_names_are_not_broadcast(spark):
     assert not [line for line in wide if "partkey" in line or "custkey" in line]
     rollups = broadcast_joins(views.supply_rollup(t)) + broadcast_joins(views.market_rollup(t))
     assert not [line for line in rollups if "partkey" in line or "custkey" in line]
+    assert not [line for line in broadcast_joins(part_labels(t)) if "p_name" in line]
 
 
 def small(spark, columns):

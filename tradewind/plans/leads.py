@@ -257,16 +257,21 @@ FROM (SELECT m.country, m.profile, b.brand, m.suppkey, match_score, sum(CASE WHE
 
 
 def part_labels(t: Tables) -> DataFrame:
-    names = t.read("part").select("p_name").distinct()
-    return names.withColumn("s", text.subcategory(F.col("p_name"))).filter("s IS NOT NULL").select("p_name", "s.label", "s.parent")
+    """(p_partkey, p_brand, label, parent) of the parts with a label; each different name is labelled once.
+
+    The labels are staged unfiltered: a filter on them would be moved below ``distinct`` and label every part.
+    """
+    names = t.read("part").select("p_name").distinct().withColumn("s", text.subcategory(F.col("p_name")))
+    labels = stage(names.select("p_name", "s.label", "s.parent"), "name_labels").filter("label IS NOT NULL")
+    return t.read("part").select("p_name", "p_partkey", "p_brand").join(grows(labels), "p_name").drop("p_name")
 
 
 @query("proximity", "SELECT * FROM v_proximity")
 def proximity(t: Tables) -> DataFrame:
     x = LeadInputs(t, *SCORING)
-    labelled = t.read("part").join(part_labels(t), "p_name")
+    labelled = part_labels(t)
     pairs = t.read("lineitem").select(F.col("l_suppkey").alias("suppkey"), F.col("l_partkey").alias("p_partkey")).distinct()
-    portfolio = pairs.join(labelled, "p_partkey").groupBy("suppkey", "label", "parent").agg(F.count("*").alias("n"))
+    portfolio = pairs.join(grows(labelled), "p_partkey").groupBy("suppkey", "label", "parent").agg(F.count("*").alias("n"))
     counted = labelled.groupBy(F.col("p_brand").alias("brand"), "label", "parent").agg(F.count("*").alias("n"))
     sought = leads.best_by(counted, ["brand"], "n", ["label"], ["label", "parent"])
     profiles = x.leads.select("brand", "profile").distinct()
