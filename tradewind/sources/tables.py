@@ -36,6 +36,14 @@ def grows(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def hashed(df: DataFrame) -> DataFrame:
+    """As ``grows``, for a side with one short row a key that is a fraction of the other side.
+
+    Both sides are shuffled and each task hashes its share of this one, so the larger side is not sorted.
+    """
+    return df.hint("shuffle_hash")
+
+
 def list_scan(
     df: DataFrame,
     filters: dict[str, Column | None],

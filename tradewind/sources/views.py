@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tradewind.functions.numeric import cents, half_up, money, ratio
 from tradewind.sources import dims
 from tradewind.sources.stages import stage
-from tradewind.sources.tables import Tables, grows, trailing
+from tradewind.sources.tables import Tables, grows, hashed, trailing
 
 
 def flow_type(reporter: Column, partner_region: Column) -> Column:
@@ -55,17 +55,17 @@ def suppliers(t: Tables) -> DataFrame:
 def facts(t: Tables) -> DataFrame:
     """Order lines with their part, supplier, order and customer rows.
 
-    Parts and customers are sorted and merged: their broadcasts grew with the input while their files stayed under
-    the planner's threshold. The tables are joined bare; only the columns a caller uses reach the scans.
+    Parts and customers are shuffled and hashed: their broadcasts grew with the input while their files stayed under
+    the planner's threshold, and a merge sorts all lines. The tables are joined bare; only the columns a caller uses reach the scans.
     """
     # Orders meet their customers first: customers then cost a shuffle of orders, not of lines, and a filter on order dates
     # cuts the lines before they meet the parts.
-    orders = t.read("orders").join(grows(t.read("customer")), F.col("o_custkey") == F.col("c_custkey"))
+    orders = t.read("orders").join(hashed(t.read("customer")), F.col("o_custkey") == F.col("c_custkey"))
     return (
         t.read("lineitem")
         .join(t.read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(grows(t.read("part")), F.col("l_partkey") == F.col("p_partkey"))
+        .join(hashed(t.read("part")), F.col("l_partkey") == F.col("p_partkey"))
     )
 
 
@@ -147,7 +147,7 @@ def market_rollup(t: Tables) -> DataFrame:
 
 def supply_rollup(t: Tables) -> DataFrame:
     """Revenue and lines of a supplier, once a product type (``by_type`` = 1) and once a brand (0), from one pass over the lines."""
-    rows = t.read("lineitem").join(grows(t.read("part")), F.col("l_partkey") == F.col("p_partkey")).select(
+    rows = t.read("lineitem").join(hashed(t.read("part")), F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_suppkey").alias("suppkey"), F.col("p_type").alias("category"), F.col("p_brand").alias("brand"), cents(F.col("l_extendedprice")).alias("c")
     )
     return rows.groupingSets([["suppkey", "category"], ["suppkey", "brand"]], "suppkey", "category", "brand").agg(
