@@ -15,7 +15,7 @@ def broadcasts(df):
     return [line.strip() for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
 
 
-@pytest.mark.parametrize("name", ["outreach_pick", "match_list", "pitch_angle"])
+@pytest.mark.parametrize("name", ["outreach_pick", "match_list", "pitch_angle", "lead_match_count"])
 def test_growing_sides_are_not_broadcast(spark, monkeypatch, name):
     seen = []
 
