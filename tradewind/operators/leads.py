@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tradewind.functions.numeric import clamp, half_up
 from tradewind.sources import dims
+from tradewind.sources.tables import grows
 
 CORRIDOR = ["country", "category"]
 
@@ -146,7 +147,7 @@ def outreach_pick(
     return (
         candidates.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= F.lit(per_day) - sent)
-        .join(last, "lead", "left")
+        .join(grows(last), "lead", "left")
         .filter(F.col("last_on").isNull() | (F.col("last_on") <= F.date_sub(today, min_gap_days)))
         .select("lead", "company", "quality", "angle", "rank", F.ceil(F.col("quality") / 34.0).cast("int").alias("priority"))
     )
